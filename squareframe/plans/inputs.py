@@ -142,3 +142,26 @@ def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey", "o_custkey", "o_orderpriority", (F.col("o_totalprice") / 150.0).alias("rating"))
     means = t.groupBy("o_orderpriority").agg(F.avg("rating").alias("prediction"))
     return t.join(F.broadcast(means), "o_orderpriority")
+
+
+# UCI openings from the initial position, several of them transposing into each other, and continuations
+UCI_OPENINGS = [
+    "e2e4 e7e5 g1f3 b8c6 f1b5 a7a6", "e2e4 b8c6 g1f3 e7e5 f1b5 a7a6", "g1f3 b8c6 e2e4 e7e5 f1b5 a7a6",
+    "d2d4 d7d5 c2c4 e7e6 b1c3 g8f6", "c2c4 e7e6 d2d4 d7d5 b1c3 g8f6", "d2d4 g8f6 c2c4 e7e6 b1c3 d7d5",
+    "e2e4 c7c5 g1f3 d7d6 d2d4 c5d4", "e2e4 c7c5 d2d4 c5d4 g1f3 d7d6", "e2e4 e7e6 d2d4 d7d5 b1c3 f8b4",
+    "d2d4 e7e6 e2e4 d7d5 b1c3 f8b4", "e2e4 c7c6 d2d4 d7d5 b1c3 d5e4", "c2c4 e7e5",
+    "e2e4 d7d5 e4e5 f7f5 e5f6 e8f7 f6g7 a7a6 g7h8q",
+]
+UCI_TAILS = [
+    "", "f3d4 g8f6 b1c3 a7a6", "e1g1 e8g8", "g1f3 f8e7 c1g5 e8g8", "d1h5 g8f6 h5f7", "a2a3 h7h6 b2b4 z9z9 c1b2",
+    "f1e2 f8e7 e1g1 e8g8 f1e1",
+]
+START_FEN = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1"
+
+
+def uci_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(o_orderkey, fen, moves): UCI list per order from the initial position."""
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.lit(START_FEN).alias("fen"),
+        F.trim(F.concat(pick(UCI_OPENINGS, F.col("o_orderkey") % len(UCI_OPENINGS)), F.lit(" "),
+                        pick(UCI_TAILS, F.col("o_custkey") % len(UCI_TAILS)))).alias("moves"))

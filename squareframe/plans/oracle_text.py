@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .inputs import CONTINUATIONS, OPENINGS, TAG_DETAILS, TAG_FAMILIES, UCI_PLIES
+from .inputs import CONTINUATIONS, OPENINGS, TAG_DETAILS, TAG_FAMILIES, UCI_OPENINGS, UCI_PLIES, UCI_TAILS
 
 
 def bd(per: int = 8) -> str:
@@ -110,5 +110,62 @@ RATED = """r0 AS (SELECT o_orderkey, o_custkey, o_orderpriority, o_totalprice /
 rated AS (SELECT *, avg(rating) OVER (PARTITION BY o_orderpriority) AS prediction FROM r0)"""
 
 
+START_CELLS = "RNBQKBNRPPPPPPPP" + "." * 32 + "pppppppprnbqkbnr"
+
+UCI_LINES = f"""g AS (SELECT o_orderkey AS id, '{START_CELLS}' AS c0, true AS w0, string_split(trim({values(UCI_OPENINGS)}[o_orderkey % {len(UCI_OPENINGS)} + 1] || ' ' ||
+  {values(UCI_TAILS)}[o_custkey % {len(UCI_TAILS)} + 1]), ' ') AS mv FROM orders)"""
+
+UCI_GAMES = "g AS (SELECT board_id AS id, cells AS c0, board_id % 2 = 0 AS w0, string_split(moves, ' ') AS mv FROM cells JOIN games USING (board_id))"
+
+
+def _put(cells: str, sq: str, letter: str) -> str:
+    return f"(substr({cells}, 1, {sq}) || {letter} || substr({cells}, {sq} + 2))"
+
+
+def _replay() -> str:
+    moved = _put(_put("before", "src", "'.'"), "dst", "placed")
+    castled = _put(_put(moved, "rf", "'.'"), "rt", "rook")
+    return f"""rp AS (SELECT id, 0 AS ply, c0 AS before, c0 AS cells, '' AS move, w0 AS w, 0 AS src, 0 AS dst, '' AS piece, '' AS captured, '' AS promo, '' AS castling, true AS playable FROM g
+  UNION ALL
+  SELECT id, ply, before, CASE WHEN NOT playable THEN before WHEN ep THEN {_put(moved, "beside", "'.'")}
+      WHEN cas AND substr(before, rf + 1, 1) = rook THEN {castled} ELSE {moved} END, move, w, src, dst, piece,
+    CASE WHEN ep THEN CASE WHEN w THEN 'p' ELSE 'P' END WHEN target <> '.' THEN target ELSE '' END, promo,
+    CASE WHEN cas THEN CASE WHEN dst > src THEN 'K' ELSE 'Q' END ELSE '' END, playable
+  FROM (SELECT *, CASE WHEN promo = '' THEN piece WHEN w THEN upper(promo) ELSE promo END AS placed,
+      upper(piece) = 'P' AND target = '.' AND abs(dst % 8 - src % 8) = 1 AND substr(before, beside + 1, 1) = CASE WHEN w THEN 'p' ELSE 'P' END AS ep,
+      upper(piece) = 'K' AND abs(dst - src) = 2 AND src % 8 = 4 AS cas, CASE WHEN dst > src THEN src + 3 ELSE greatest(src - 4, 0) END AS rf,
+      CASE WHEN dst > src THEN src + 1 ELSE greatest(src - 1, 0) END AS rt, CASE WHEN w THEN 'R' ELSE 'r' END AS rook
+   FROM (SELECT *, substr(before, src + 1, 1) AS piece, substr(before, dst + 1, 1) AS target, src - src % 8 + dst % 8 AS beside,
+      wf AND CASE WHEN w THEN instr('PNBRQK', substr(before, src + 1, 1)) > 0 AND instr('PNBRQK', substr(before, dst + 1, 1)) = 0
+        ELSE instr('pnbrqk', substr(before, src + 1, 1)) > 0 AND instr('pnbrqk', substr(before, dst + 1, 1)) = 0 END AS playable
+    FROM (SELECT id, ply, before, move, w, wf, lower(substr(move, 5, 1)) AS promo,
+       CASE WHEN wf THEN ascii(substr(move, 1, 1)) - 97 + 8 * (ascii(substr(move, 2, 1)) - 49) ELSE 0 END AS src,
+       CASE WHEN wf THEN ascii(substr(move, 3, 1)) - 97 + 8 * (ascii(substr(move, 4, 1)) - 49) ELSE 0 END AS dst
+     FROM (SELECT r.id, r.ply + 1 AS ply, r.cells AS before, g.mv[r.ply + 1] AS move, (g.w0 = (r.ply % 2 = 0)) AS w,
+         regexp_matches(g.mv[r.ply + 1], '^[a-h][1-8][a-h][1-8][nbrqNBRQ]?$') AS wf
+       FROM rp r JOIN g ON g.id = r.id WHERE r.ply < len(g.mv))))))
+,
+ply AS (SELECT * FROM rp WHERE ply > 0)"""
+
+
+REPLAY = _replay()
+
+# pieces and attacks of every ply board, under the names the attack steps use
+PLY_BOARDS = """pid AS (SELECT id, ply, id * 100 + ply AS board_id, cells, before, w, playable FROM ply),
+bd AS (SELECT board_id, sq, CAST(instr('PNBRQKpnbrqk', substr(cells, sq + 1, 1)) - 1 AS INT) AS pc FROM pid, (SELECT CAST(range AS INT) AS sq FROM range(64))
+  WHERE substr(cells, sq + 1, 1) <> '.'),
+p AS (SELECT board_id, sq, pc, sq % 8 AS f, sq // 8 AS r, pc // 6 AS color, pc % 6 AS kind FROM bd),
+kings AS (SELECT board_id, color, min(sq) AS sq FROM p WHERE kind = 5 GROUP BY 1, 2)"""
+
+PLY_FACTS = """hit AS (SELECT a.board_id, a.color, max(CASE WHEN k.color IS NOT NULL THEN 1 ELSE 0 END) AS chk, max(CASE WHEN e.color IS NOT NULL THEN 1 ELSE 0 END) AS thr
+  FROM att a LEFT JOIN kings k ON k.board_id = a.board_id AND k.sq = a.to_sq AND k.color <> a.color
+  LEFT JOIN p e ON e.board_id = a.board_id AND e.sq = a.to_sq AND e.color <> a.color GROUP BY 1, 2),
+mat AS (SELECT board_id, sum((1 - 2*color) * CASE kind WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 3 WHEN 3 THEN 5 WHEN 4 THEN 9 ELSE 0 END) AS bal FROM p GROUP BY 1),
+facts AS (SELECT y.id, y.ply, y.w, y.playable, y.captured, y.promo, y.piece, coalesce(CASE WHEN y.playable THEN a.chk END, 0) AS chk,
+  coalesce(CASE WHEN y.playable THEN b.thr END, 0) AS thr, coalesce(mat.bal, 0) AS bal
+  FROM ply y LEFT JOIN hit a ON a.board_id = y.id * 100 + y.ply AND a.color = CASE WHEN y.w THEN 0 ELSE 1 END
+  LEFT JOIN hit b ON b.board_id = y.id * 100 + y.ply AND b.color = CASE WHEN y.w THEN 1 ELSE 0 END LEFT JOIN mat ON mat.board_id = y.id * 100 + y.ply)"""
+
+
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
