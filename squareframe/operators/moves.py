@@ -86,12 +86,16 @@ def eco_columns(toks: Column, longest: bool = True) -> dict[str, Column]:
     return out
 
 
+def _of_parity(parity: int):
+    return lambda _, i: i % 2 == parity
+
+
 def castling_columns(toks: Column, plies: int = 20) -> dict[str, Column]:
     """Castling of each side within the first plies, read from the original tokens by parity of the ply."""
     head = F.slice(toks, 1, plies)
     out = {}
     for side, parity in (("white", 0), ("black", 1)):
-        mine = F.filter(head, lambda t, i, parity=parity: i % 2 == parity)
+        mine = F.filter(head, _of_parity(parity))
         long = F.exists(mine, lambda t: F.contains(t, F.lit("O-O-O")))
         short = F.exists(mine, lambda t: F.contains(t, F.lit("O-O")) & ~F.contains(t, F.lit("O-O-O")))
         out[f"{side}_kingside_castle"] = short.cast("int")

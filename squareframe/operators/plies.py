@@ -37,41 +37,53 @@ def _let(value: Column, body):
 
 
 def apply_move(cells: Column, move: Column, white_moves: Column) -> Column:
-    """Board after one move; unchanged when the move is not playable.
+    """State after one move: the board and what happened. The board is unchanged when the move is not playable.
 
     Playable: well-formed, a piece of the mover on the start square, no own piece on the target. Castling takes the
     rook along, a pawn that goes diagonally to an empty square takes the enemy pawn beside it, a promotion letter
-    changes the piece.
+    changes the piece. Each step below is computed once per move and handed on as a struct.
     """
-    def with_move(m):
-        src, dst = m["src"], m["dst"]
-        piece, target = m["piece"], m["target"]
-        pawn, king = F.upper(piece) == "P", F.upper(piece) == "K"
-        placed = F.when(m["promo"] == "", piece).when(white_moves, F.upper(m["promo"])).otherwise(m["promo"])
-        moved = _put(_put(cells, src, F.lit(".")), dst, placed)
-        beside = src - src % 8 + dst % 8
-        passant = pawn & (target == ".") & (F.abs(dst % 8 - src % 8) == 1) & (
-            _at(cells, beside) == F.when(white_moves, "p").otherwise("P"))
-        castle = king & (F.abs(dst - src) == 2) & (src % 8 == 4)
-        rook_from = F.when(dst > src, src + 3).otherwise(src - 4)
-        rook_to = F.when(dst > src, src + 1).otherwise(src - 1)
-        rook = F.when(white_moves, "R").otherwise("r")
-        with_rook = F.when(_at(cells, rook_from) == rook, _put(_put(moved, rook_from, F.lit(".")), rook_to, rook)).otherwise(moved)
-        return (F.when(~m["playable"], cells).when(passant, _put(moved, beside, F.lit("."))).when(castle, with_rook).otherwise(moved))
-
-    return _let(move_facts(cells, move, white_moves), with_move)
-
-
-def move_facts(cells: Column, move: Column, white_moves: Column) -> Column:
-    """Struct of start, target, moved and captured letter, promotion, playable."""
     ok = F.coalesce(move.rlike(UCI), F.lit(False))
-    src = F.when(ok, square_of(move, 1)).otherwise(0)
-    dst = F.when(ok, square_of(move, 3)).otherwise(0)
-    piece, target = _at(cells, src), _at(cells, dst)
-    own = F.when(white_moves, piece.rlike("^[A-Z]$")).otherwise(piece.rlike("^[a-z]$"))
-    free = ~F.when(white_moves, target.rlike("^[A-Z]$")).otherwise(target.rlike("^[a-z]$"))
-    return F.struct(src.alias("src"), dst.alias("dst"), piece.alias("piece"), target.alias("target"),
-                    F.lower(F.substring(move, 5, 1)).alias("promo"), (ok & own & free).alias("playable"))
+    squares = F.struct(
+        cells.alias("c"), white_moves.alias("w"), ok.alias("ok"),
+        F.when(ok, square_of(move, 1)).otherwise(0).alias("src"), F.when(ok, square_of(move, 3)).otherwise(0).alias("dst"),
+        F.lower(F.substring(move, 5, 1)).alias("promo"))
+
+    def with_pieces(q):
+        return F.struct(q["c"].alias("c"), q["w"].alias("w"), q["ok"].alias("ok"), q["src"].alias("src"), q["dst"].alias("dst"),
+                        q["promo"].alias("promo"), _at(q["c"], q["src"]).alias("piece"), _at(q["c"], q["dst"]).alias("target"),
+                        _at(q["c"], q["src"] - q["src"] % 8 + q["dst"] % 8).alias("beside"))
+
+    def with_rules(q):
+        mine, foe = F.when(q["w"], S.LETTERS[:6]).otherwise(S.LETTERS[6:]), F.when(q["w"], "p").otherwise("P")
+        kind = F.upper(q["piece"])
+        playable = q["ok"] & F.contains(mine, q["piece"]) & ~F.contains(mine, q["target"])
+        passant = (kind == "P") & (q["target"] == ".") & (F.abs(q["dst"] % 8 - q["src"] % 8) == 1) & (q["beside"] == foe)
+        castle = (kind == "K") & (F.abs(q["dst"] - q["src"]) == 2) & (q["src"] % 8 == 4)
+        placed = F.when(q["promo"] == "", q["piece"]).when(q["w"], F.upper(q["promo"])).otherwise(q["promo"])
+        moved = _put(_put(q["c"], q["src"], F.lit(".")), q["dst"], placed)
+        return F.struct(
+            q["c"].alias("c"), q["src"].alias("src"), q["dst"].alias("dst"), q["piece"].alias("piece"), q["promo"].alias("promo"),
+            q["w"].alias("w"), playable.alias("playable"), passant.alias("passant"), castle.alias("castle"), moved.alias("moved"),
+            F.when(passant, foe).when(q["target"] != ".", q["target"]).otherwise("").alias("captured"))
+
+    def outcome(q):
+        beside = q["src"] - q["src"] % 8 + q["dst"] % 8
+        short = q["dst"] > q["src"]
+        rook = F.when(q["w"], "R").otherwise("r")
+        rook_from = F.when(short, q["src"] + 3).otherwise(q["src"] - 4)
+        rook_to = F.when(short, q["src"] + 1).otherwise(q["src"] - 1)
+        board = (F.when(~q["playable"], q["c"]).when(q["passant"], _put(q["moved"], beside, F.lit(".")))
+                 .when(q["castle"] & (_at(q["moved"], rook_from) == rook), _put(_put(q["moved"], rook_from, F.lit(".")), rook_to, rook))
+                 .otherwise(q["moved"]))
+        play = q["playable"]
+        return F.struct(
+            board.alias("cells"), play.alias("playable"), F.when(play, q["src"]).alias("from_sq"), F.when(play, q["dst"]).alias("to_sq"),
+            F.when(play, q["piece"]).otherwise("").alias("piece"), F.when(play, q["captured"]).otherwise("").alias("captured"),
+            F.when(play, q["promo"]).otherwise("").alias("promotion"),
+            F.when(play & q["castle"], F.when(short, "K").otherwise("Q")).otherwise("").alias("castling"))
+
+    return _let(_let(_let(squares, with_pieces), with_rules), outcome)
 
 
 def replay(games: DataFrame, key: str, fen: str = "fen", moves: str = "moves") -> DataFrame:
@@ -82,32 +94,23 @@ def replay(games: DataFrame, key: str, fen: str = "fen", moves: str = "moves") -
     start = games.select(
         key, tokens(F.col(moves)).alias("_m"), B.cells_from_placement(B.placement_key(F.col(fen))).alias("_c"),
         (F.coalesce(F.get(F.split(fen, " "), F.lit(1)), F.lit("w")) == "w").alias("_w"))
-    steps = F.zip_with(F.col("_m"), F.sequence(F.lit(1), F.greatest(F.size("_m"), F.lit(1))),
-                       lambda m, i: F.struct(m.alias("m"), (F.col("_w") == (i % 2 == 1)).alias("w")))
+    before = F.struct(
+        F.col("_c").alias("cells"), F.lit(True).alias("playable"), F.lit(None).cast("int").alias("from_sq"), F.lit(None).cast("int").alias("to_sq"),
+        F.lit("").alias("piece"), F.lit("").alias("captured"), F.lit("").alias("promotion"), F.lit("").alias("castling"))
+    steps = F.transform(F.col("_m"), lambda m, i: F.struct(m.alias("m"), (F.col("_w") == (i % 2 == 0)).alias("w")))
 
     def step(states, s):
-        return F.concat(states, F.array(apply_move(F.element_at(states, -1), s["m"], s["w"])))
+        return F.concat(states, F.array(apply_move(F.element_at(states, -1)["cells"], s["m"], s["w"])))
 
-    states = F.aggregate(F.filter(steps, lambda s: s["m"].isNotNull()), F.array(F.col("_c")), step)
     rows = (
-        start.filter(F.size("_m") > 0).withColumn("_s", states)
+        start.withColumn("_s", F.aggregate(steps, F.array(before), step))
         .select(key, "_w", "_s", F.posexplode("_m").alias("_i", "move"))
-        .select(key, (F.col("_i") + 1).alias("ply"), "move", (F.col("_w") == (F.col("_i") % 2 == 0)).alias("white_moves"),
-                F.get("_s", F.col("_i")).alias("before"), F.get("_s", F.col("_i") + 1).alias("cells")))
-    rows = rows.withColumn("_f", move_facts(F.col("before"), F.col("move"), F.col("white_moves")))
-    f = F.col("_f")
-    passant = (F.upper(f["piece"]) == "P") & (f["target"] == ".") & (f["src"] % 8 != f["dst"] % 8) & (
-        F.length(F.replace(F.col("before"), F.lit("."), F.lit(""))) > F.length(F.replace(F.col("cells"), F.lit("."), F.lit(""))))
-    captured = F.when(f["target"] != ".", f["target"]).when(passant, F.when(F.col("white_moves"), "p").otherwise("P")).otherwise("")
-    castling = F.when((F.upper(f["piece"]) == "K") & (F.abs(f["dst"] - f["src"]) == 2) & (f["src"] % 8 == 4),
-                      F.when(f["dst"] > f["src"], "K").otherwise("Q")).otherwise("")
-    play = f["playable"]
+        .withColumn("_r", F.get("_s", F.col("_i") + 1)))
+    r = F.col("_r")
     return rows.select(
-        key, "ply", "move", F.col("white_moves").cast("int").alias("white_moves"), play.cast("int").alias("playable"),
-        F.when(play, f["src"]).alias("from_sq"), F.when(play, f["dst"]).alias("to_sq"),
-        F.when(play, f["piece"]).otherwise("").alias("piece"), F.when(play, captured).otherwise("").alias("captured"),
-        F.when(play, f["promo"]).otherwise("").alias("promotion"), F.when(play, castling).otherwise("").alias("castling"),
-        "before", "cells")
+        key, (F.col("_i") + 1).alias("ply"), "move", (F.col("_w") == (F.col("_i") % 2 == 0)).cast("int").alias("white_moves"),
+        r["playable"].cast("int").alias("playable"), *[r[n].alias(n) for n in ("from_sq", "to_sq", "piece", "captured", "promotion", "castling")],
+        F.get("_s", F.col("_i"))["cells"].alias("before"), r["cells"].alias("cells"))
 
 
 def letter_balance(cells: Column) -> Column:

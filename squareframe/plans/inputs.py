@@ -80,17 +80,21 @@ def uci_games(spark: SparkSession, sf_dir: str) -> DataFrame:
     black = S.members(S.union(*[F.col(n) for n in S.SETS[6:]]))
     b = b.withColumns({"_w": white, "_b": black})
     name = lambda s: F.concat(F.substring(F.lit("abcdefgh"), s % 8 + 1, F.lit(1)), (F.floor(s / 8) + 1).cast("string"))
-    moves = []
-    for i in range(UCI_PLIES):
+
+    def source(i):
         own = F.when((F.col("white_to_move") + i) % 2 == 1, F.col("_w")).otherwise(F.col("_b"))
-        size = F.greatest(F.size(own), F.lit(1))
-        at = ((F.lit(i * 3) + F.col("board_id")) % size).cast("int")
-        src = F.coalesce(F.get(own, at), F.lit(0)).cast("bigint")
-        dst = (src * 5 + F.col("board_id") * 3 + i * 11 + 7) % 64
-        moves.append(F.concat(name(src), name(dst), F.when((F.col("board_id") + i) % 13 == 0, "q").otherwise("")))
+        at = ((i * 3 + F.col("board_id")) % F.greatest(F.size(own), F.lit(1))).cast("int")
+        return F.struct(i.alias("i"), F.coalesce(F.get(own, at), F.lit(0)).cast("bigint").alias("src"))
+
+    def token(m):
+        dst = (m["src"] * 5 + F.col("board_id") * 3 + m["i"] * 11 + 7) % 64
+        return F.concat(name(m["src"]), name(dst), F.when((F.col("board_id") + m["i"]) % 13 == 0, "q").otherwise(""))
+
+    plies = F.array(*[F.lit(i) for i in range(UCI_PLIES)])
+    moves = F.array_join(F.transform(F.transform(plies, source), token), " ")
     fen = F.concat_ws(" ", B.placement_from_cells(F.col("cells")),
                       F.when(F.col("white_to_move") == 1, "w").otherwise("b"), F.lit("- - 0 1"))
-    return b.select("board_id", fen.alias("fen"), F.concat_ws(" ", *moves).alias("moves"))
+    return b.select("board_id", fen.alias("fen"), moves.alias("moves"))
 
 
 def pick(values: list[str], index: Column) -> Column:

@@ -321,7 +321,7 @@ def replace_feature_set(spark, sf):
     return D.replace_features(table(spark, sf, "part").select("p_partkey", "p_name", "p_size"), new, "p_partkey")
 
 
-@register("train_engineered_test_raw", "J6", O.with_(_TT) + """SELECT id, price, prio, is_train, CASE WHEN is_train = 1 THEN n END AS n, CASE WHEN is_train = 1 THEN l.price END AS price_engineered
+@register("train_engineered_test_raw", "J6", O.with_(_TT) + """SELECT id, tt.price, prio, is_train, CASE WHEN is_train = 1 THEN n END AS n, CASE WHEN is_train = 1 THEN l.price END AS price_engineered
   FROM tt LEFT JOIN (SELECT l_orderkey, CAST(count(*) AS BIGINT) AS n, round(max(l_extendedprice), 6) AS price FROM lineitem GROUP BY 1) l ON l_orderkey = id""")
 def train_engineered_test_raw(spark, sf):
     feats = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("n"), V.rounded(F.max("l_extendedprice")).alias("price"))
@@ -334,9 +334,9 @@ def members_only(spark, sf):
     return D.keep_members(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), allowed, "o_custkey").select("o_orderkey")
 
 
-@register("missing_members", "U5 J9", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@register("missing_members", "U5 J9", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def missing_members(spark, sf):
-    known = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    known = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return D.missing_members(table(spark, sf, "customer").select("c_custkey"), known, "c_custkey")
 
 

@@ -49,10 +49,8 @@ def _stage(root: str, step: str, fp: str) -> str:
 
 def _exists(spark: SparkSession, path: str) -> bool:
     """A finished write, on any file system Spark can reach."""
-    try:
-        return bool(spark.read.format("binaryFile").load(os.path.join(path, "_SUCCESS")).columns)
-    except Exception:  # noqa: BLE001 - a missing path is the normal case
-        return False
+    done = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(path, "_SUCCESS"))
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
 
 
 def _log(spark: SparkSession, root: str, step: str, fp: str, rows: int, columns: list[str]) -> None:
