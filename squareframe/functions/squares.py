@@ -122,12 +122,44 @@ def diagonal_neighbours(a: Column) -> Column:
     return union(north(east(a)), north(west(a)), south(east(a)), south(west(a)))
 
 
-def members(a: Column) -> Column:
-    """Squares of a set as ``array<int>``."""
-    return F.filter(
-        F.array(*[F.lit(i) for i in range(64)]),
-        lambda i: F.call_function("shiftrightunsigned", a, i).bitwiseAND(F.lit(1).cast("long")) == 1,
-    )
+def each_member(df: DataFrame, name: str, out: str = "sq") -> DataFrame:
+    """One row per member of the set column ``name``: a generator over 64 constants and a bit test, both compiled.
+
+    The set must be a column of ``df``. It is computed below the generator, once per row.
+    """
+    rows = df.select("*", F.explode(F.array(*[F.lit(i) for i in range(64)])).alias(out))
+    return rows.filter(has(common(F.col(name), bit(F.col(out)))))
+
+
+def _shift(a: Column, d: int, times: int = 1) -> Column:
+    """Move a set ``times`` squares in direction ``d`` without looking at the board edge."""
+    f, r = DIRECTIONS[d]
+    n = (r * 8 + f) * times
+    return F.shiftleft(a, n) if n > 0 else F.shiftrightunsigned(a, -n)
+
+
+def slide_all(movers: Column, free: Column, d: int) -> Column:
+    """Squares that any of ``movers`` sees in direction ``d``: a fill over free squares in three doubling steps."""
+    f = DIRECTIONS[d][0]
+    inside = constant(FULL if f == 0 else FULL ^ file_bits(0 if f > 0 else 7))
+    p1 = common(free, inside)
+    g1 = union(movers, common(p1, _shift(movers, d)))
+    p2 = common(p1, _shift(p1, d))
+    g2 = union(g1, common(p2, _shift(g1, d, 2)))
+    p3 = common(p2, _shift(p2, d, 2))
+    g3 = union(g2, common(p3, _shift(g2, d, 4)))
+    return common(inside, _shift(g3, d))
+
+
+def knight_hops(a: Column) -> Column:
+    one = union(east(a), west(a))
+    two = union(east(east(a)), west(west(a)))
+    return union(north(one, 2), south(one, 2), north(two), south(two))
+
+
+def king_steps(a: Column) -> Column:
+    row = widen(a)
+    return union(east(a), west(a), north(row), south(row))
 
 
 def clip_up(ray: Column, inner: Column, occupied: Column) -> Column:

@@ -43,8 +43,30 @@ def piece_attacks(boards: DataFrame, key, carry: list[str] | None = None) -> Dat
 def attack_pairs(boards: DataFrame, key) -> DataFrame:
     """Long form: one row per (attacking piece, attacked square), first occupied square included."""
     ks = keys_of(key)
-    return piece_attacks(boards, key).select(
-        *ks, "color", "pc", F.col("sq").alias("from_sq"), F.explode(S.members(F.col("attacks"))).alias("to_sq"))
+    rows = piece_attacks(boards, key).select(*ks, "color", "pc", F.col("sq").alias("from_sq"), "attacks")
+    return S.each_member(rows, "attacks", "to_sq").drop("attacks")
+
+
+def with_attacked_sets(boards: DataFrame) -> DataFrame:
+    """Add ``white_attacks`` and ``black_attacks``: all squares a side attacks, by set-wise fills on one board row.
+
+    Use this when only the attacked area matters: no piece rows, no join, no aggregation.
+    """
+    out = boards
+    if "white_all" not in out.columns:
+        out = out.withColumns({"white_all": S.union(*[F.col(n) for n in S.SETS[:6]]), "black_all": S.union(*[F.col(n) for n in S.SETS[6:]])})
+    out = out.withColumns({
+        "_free": F.bitwise_not(F.col("white_all").bitwiseOR(F.col("black_all"))),
+        **{f"_{p}_straight": F.col(p + "r").bitwiseOR(F.col(p + "q")) for _, p in SIDES},
+        **{f"_{p}_slanted": F.col(p + "b").bitwiseOR(F.col(p + "q")) for _, p in SIDES}})
+    areas = {}
+    for side, p in SIDES:
+        ahead = S.north(F.col("wp")) if p == "w" else S.south(F.col("bp"))
+        areas[f"{side}_attacks"] = S.union(
+            S.east(ahead), S.west(ahead), S.knight_hops(F.col(p + "n")), S.king_steps(F.col(p + "k")),
+            *[S.slide_all(F.col(f"_{p}_straight"), F.col("_free"), d) for d in (0, 2, 4, 6)],
+            *[S.slide_all(F.col(f"_{p}_slanted"), F.col("_free"), d) for d in (1, 3, 5, 7)])
+    return out.withColumns(areas).drop("_free", "_w_straight", "_w_slanted", "_b_straight", "_b_slanted")
 
 
 def _sum(cond: Column, value: Column) -> Column:

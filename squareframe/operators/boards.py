@@ -279,7 +279,9 @@ def pawn_chains(boards: DataFrame, key) -> DataFrame:
     rows = (
         boards.select(*ks, F.explode(sides).alias("s")).select(*ks, "s.side", "s.p")
         .withColumn("linked", S.common(F.col("p"), S.diagonal_neighbours(F.col("p"))))
-        .select(*ks, "side", "linked", F.explode_outer(S.members(F.col("linked"))).alias("sq"))
+        .select(*ks, "side", "linked", F.explode(F.array(*[F.lit(i) for i in range(64)])).alias("at"))
+        .withColumn("sq", F.when(S.has(S.common(F.col("linked"), S.bit(F.col("at")))), F.col("at")))
+        .filter(F.col("sq").isNotNull() | ((F.col("at") == 0) & (F.col("linked") == 0)))
         .withColumn(
             "part",
             F.when(F.col("sq").isNotNull(), F.aggregate(

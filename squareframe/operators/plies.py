@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions import squares as S
 from . import attacks as A
@@ -36,7 +35,7 @@ def _let(value: Column, body):
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def apply_move(cells: Column, move: Column, white_moves: Column) -> Column:
+def apply_move(cells: Column, move: Column, white_moves: Column, follows: Column) -> Column:
     """State after one move: the board and what happened. The board is unchanged when the move is not playable.
 
     Playable: well-formed, a piece of the mover on the start square, no own piece on the target. Castling takes the
@@ -45,12 +44,12 @@ def apply_move(cells: Column, move: Column, white_moves: Column) -> Column:
     """
     ok = F.coalesce(move.rlike(UCI), F.lit(False))
     squares = F.struct(
-        cells.alias("c"), white_moves.alias("w"), ok.alias("ok"),
+        cells.alias("c"), white_moves.alias("w"), ok.alias("ok"), follows.alias("follows"),
         F.when(ok, square_of(move, 1)).otherwise(0).alias("src"), F.when(ok, square_of(move, 3)).otherwise(0).alias("dst"),
         F.lower(F.substring(move, 5, 1)).alias("promo"))
 
     def with_pieces(q):
-        return F.struct(q["c"].alias("c"), q["w"].alias("w"), q["ok"].alias("ok"), q["src"].alias("src"), q["dst"].alias("dst"),
+        return F.struct(q["c"].alias("c"), q["w"].alias("w"), q["ok"].alias("ok"), q["follows"].alias("follows"), q["src"].alias("src"), q["dst"].alias("dst"),
                         q["promo"].alias("promo"), _at(q["c"], q["src"]).alias("piece"), _at(q["c"], q["dst"]).alias("target"),
                         _at(q["c"], q["src"] - q["src"] % 8 + q["dst"] % 8).alias("beside"))
 
@@ -64,7 +63,7 @@ def apply_move(cells: Column, move: Column, white_moves: Column) -> Column:
         moved = _put(_put(q["c"], q["src"], F.lit(".")), q["dst"], placed)
         return F.struct(
             q["c"].alias("c"), q["src"].alias("src"), q["dst"].alias("dst"), q["piece"].alias("piece"), q["promo"].alias("promo"),
-            q["w"].alias("w"), playable.alias("playable"), passant.alias("passant"), castle.alias("castle"), moved.alias("moved"),
+            q["w"].alias("w"), playable.alias("playable"), (q["follows"] & playable).alias("follows"), passant.alias("passant"), castle.alias("castle"), moved.alias("moved"),
             F.when(passant, foe).when(q["target"] != ".", q["target"]).otherwise("").alias("captured"))
 
     def outcome(q):
@@ -81,13 +80,14 @@ def apply_move(cells: Column, move: Column, white_moves: Column) -> Column:
             board.alias("cells"), play.alias("playable"), F.when(play, q["src"]).alias("from_sq"), F.when(play, q["dst"]).alias("to_sq"),
             F.when(play, q["piece"]).otherwise("").alias("piece"), F.when(play, q["captured"]).otherwise("").alias("captured"),
             F.when(play, q["promo"]).otherwise("").alias("promotion"),
-            F.when(play & q["castle"], F.when(short, "K").otherwise("Q")).otherwise("").alias("castling"))
+            F.when(play & q["castle"], F.when(short, "K").otherwise("Q")).otherwise("").alias("castling"), q["follows"].alias("follows"))
 
     return _let(_let(_let(squares, with_pieces), with_rules), outcome)
 
 
 def replay(games: DataFrame, key: str, fen: str = "fen", moves: str = "moves") -> DataFrame:
-    """One row per ply: key, ply, move, from_sq, to_sq, piece, captured, promotion, castling, playable, boards around it.
+    """One row per ply: key, ply, move, from_sq, to_sq, piece, captured, promotion, castling, playable, boards around it,
+    whether the list was playable so far, and its length.
 
     Plies are numbered from 1; the colour to move alternates with the token, playable or not.
     """
@@ -96,21 +96,23 @@ def replay(games: DataFrame, key: str, fen: str = "fen", moves: str = "moves") -
         (F.coalesce(F.get(F.split(fen, " "), F.lit(1)), F.lit("w")) == "w").alias("_w"))
     before = F.struct(
         F.col("_c").alias("cells"), F.lit(True).alias("playable"), F.lit(None).cast("int").alias("from_sq"), F.lit(None).cast("int").alias("to_sq"),
-        F.lit("").alias("piece"), F.lit("").alias("captured"), F.lit("").alias("promotion"), F.lit("").alias("castling"))
+        F.lit("").alias("piece"), F.lit("").alias("captured"), F.lit("").alias("promotion"), F.lit("").alias("castling"),
+        F.lit(True).alias("follows"))
     steps = F.transform(F.col("_m"), lambda m, i: F.struct(m.alias("m"), (F.col("_w") == (i % 2 == 0)).alias("w")))
 
     def step(states, s):
-        return F.concat(states, F.array(apply_move(F.element_at(states, -1)["cells"], s["m"], s["w"])))
+        last = F.element_at(states, -1)
+        return F.concat(states, F.array(apply_move(last["cells"], s["m"], s["w"], last["follows"])))
 
     rows = (
         start.withColumn("_s", F.aggregate(steps, F.array(before), step))
-        .select(key, "_w", "_s", F.posexplode("_m").alias("_i", "move"))
+        .select(key, "_w", "_s", F.size("_m").alias("n_plies"), F.posexplode("_m").alias("_i", "move"))
         .withColumn("_r", F.get("_s", F.col("_i") + 1)))
     r = F.col("_r")
     return rows.select(
         key, (F.col("_i") + 1).alias("ply"), "move", (F.col("_w") == (F.col("_i") % 2 == 0)).cast("int").alias("white_moves"),
         r["playable"].cast("int").alias("playable"), *[r[n].alias(n) for n in ("from_sq", "to_sq", "piece", "captured", "promotion", "castling")],
-        F.get("_s", F.col("_i"))["cells"].alias("before"), r["cells"].alias("cells"))
+        F.get("_s", F.col("_i"))["cells"].alias("before"), r["cells"].alias("cells"), r["follows"].alias("follows"), "n_plies")
 
 
 def letter_balance(cells: Column) -> Column:
@@ -125,28 +127,25 @@ def letter_balance(cells: Column) -> Column:
     return total
 
 
-def with_checks(plies: DataFrame, key: str) -> DataFrame:
-    """Add ``gives_check`` and ``threatens``: after the move, is the enemy king attacked, and is any piece attacked by its enemy to move.
-
-    Attack rows are per piece of each ply and fold to one row per ply in a partial aggregation.
-    """
-    sets = B.sets_from_cells(plies)
-    rows = A.piece_attacks(sets.withColumnRenamed("white_moves", "_w"), [key, "ply"], ["_w"])
-    by_mover = F.col("color") == F.when(F.col("_w") == 1, 0).otherwise(1)
-    foe_king = F.when(F.col("_w") == 1, F.col("black_king_bit")).otherwise(F.col("white_king_bit"))
-    hit = F.max(F.when(by_mover & S.has(S.common(F.col("attacks"), foe_king)), 1).otherwise(0))
-    threat = F.max(F.when(~by_mover & S.has(S.common(F.col("attacks"), F.col("foe"))), 1).otherwise(0))
-    facts = rows.groupBy(key, "ply").agg(hit.alias("_check"), threat.alias("_threat"))
-    out = plies.join(facts, [key, "ply"], "left")
-    return out.withColumns({
-        "gives_check": F.when(F.col("playable") == 1, F.coalesce(F.col("_check"), F.lit(0))).otherwise(0),
-        "threatens": F.when(F.col("playable") == 1, F.coalesce(F.col("_threat"), F.lit(0))).otherwise(0),
-    }).drop("_check", "_threat")
+def with_checks(plies: DataFrame) -> DataFrame:
+    """Add ``gives_check`` and ``threatens``: after the move, is the enemy king attacked by the mover, and is any piece of
+    the mover attacked by the side now to move. Row-local: both attacked areas come from set-wise fills."""
+    sets = A.with_attacked_sets(B.sets_from_cells(plies))
+    white = F.col("white_moves") == 1
+    play = F.col("playable") == 1
+    area = F.when(white, F.col("white_attacks")).otherwise(F.col("black_attacks"))
+    reply = F.when(white, F.col("black_attacks")).otherwise(F.col("white_attacks"))
+    own = F.when(white, F.col("white_all")).otherwise(F.col("black_all"))
+    king = S.bit(F.coalesce(F.when(white, S.lowest(F.col("bk"))).otherwise(S.lowest(F.col("wk"))), F.lit(0)))
+    there = F.when(white, F.col("bk")).otherwise(F.col("wk")) != 0
+    return sets.select(
+        *plies.columns, (play & there & S.has(S.common(area, king))).cast("int").alias("gives_check"),
+        (play & S.has(S.common(reply, own))).cast("int").alias("threatens"))
 
 
 def move_shares(plies: DataFrame, key: str) -> DataFrame:
     """Checks, captures, promotions and invalid moves per list, with their shares of all moves."""
-    p = with_checks(plies, key)
+    p = with_checks(plies)
     out = p.groupBy(key).agg(
         F.count("*").alias("n"), F.sum("gives_check").alias("checks"), F.count_if(F.col("captured") != "").alias("captures"),
         F.count_if(F.col("promotion") != "").alias("promotions"), F.count_if(F.col("playable") == 0).alias("invalid_moves"))
@@ -155,18 +154,17 @@ def move_shares(plies: DataFrame, key: str) -> DataFrame:
                       share("captures").alias("pct_captures"), share("promotions").alias("pct_promotions"))
 
 
-def with_material_change(plies: DataFrame, key: str) -> DataFrame:
-    """Material balance after each ply, the balance before it by ``lag``, and the mover's loss."""
-    w = Window.partitionBy(key).orderBy("ply")
-    out = plies.withColumn("balance", letter_balance(F.col("cells")))
-    out = out.withColumn("balance_before", F.coalesce(F.lag("balance").over(w), letter_balance(F.col("before"))))
+def with_material_change(plies: DataFrame) -> DataFrame:
+    """Balance before and after each ply and whether the mover lost material. Each ply row holds both boards, so the
+    running difference needs no window."""
+    out = plies.withColumns({"balance": letter_balance(F.col("cells")), "balance_before": letter_balance(F.col("before"))})
     change = F.col("balance") - F.col("balance_before")
-    return out.withColumn("sacrifice", (F.when(F.col("white_moves") == 1, change < 0).otherwise(change > 0)).cast("int"))
+    return out.withColumn("sacrifice", F.when(F.col("white_moves") == 1, change < 0).otherwise(change > 0).cast("int"))
 
 
 def sequence_counts(plies: DataFrame, key: str) -> DataFrame:
     """Checks, captures, threats, sacrifices and depth per list."""
-    p = with_checks(with_material_change(plies, key), key)
+    p = with_checks(with_material_change(plies))
     return p.groupBy(key).agg(
         F.count("*").alias("n_moves"), F.sum("gives_check").alias("move_checks_count"),
         F.count_if(F.col("captured") != "").alias("move_captures_count"), F.sum("threatens").alias("move_threats_count"),
@@ -193,8 +191,7 @@ def book_matches(plies: DataFrame, starts: DataFrame, book: DataFrame, key: str,
 
     Boards after an unplayable move no longer follow the list and are left out. Ties go to the smaller name.
     """
-    dead = F.min(F.when(F.col("playable") == 0, F.col("ply"))).over(Window.partitionBy(key))
-    live = plies.withColumn("_dead", dead).filter(F.col("_dead").isNull() | (F.col("ply") < F.col("_dead")))
+    live = plies.filter(F.col("follows"))
     after = live.select(key, B.placement_from_cells(F.col("cells")).alias("placement"),
                         F.greatest(F.lit(0.4), 1 - 0.05 * (F.col("ply") - 1)).alias("conf"))
     first = starts.select(key, B.placement_key(F.col(fen)).alias("placement"), F.lit(1.0).alias("conf"))
@@ -205,15 +202,13 @@ def book_matches(plies: DataFrame, starts: DataFrame, book: DataFrame, key: str,
 
 def signatures(plies: DataFrame, key: str, depths: tuple[int, ...] = (3, 4, 5, 6)) -> DataFrame:
     """(key, n, signature): placement after n full moves, or after the last ply of a shorter list."""
-    last = F.max("ply").over(Window.partitionBy(key))
-    rows = plies.withColumn("_last", last)
-    ns = F.filter(F.array(*[F.lit(n) for n in depths]), lambda n: F.least(n * 2, F.col("_last")) == F.col("ply"))
-    return rows.select(key, F.explode(ns).alias("n"), B.placement_from_cells(F.col("cells")).alias("signature"))
+    ns = F.filter(F.array(*[F.lit(n) for n in depths]), lambda n: F.least(n * 2, F.col("n_plies")) == F.col("ply"))
+    return plies.select(key, F.explode(ns).alias("n"), B.placement_from_cells(F.col("cells")).alias("signature"))
 
 
 def suggested_move_facts(rows: DataFrame, key: str, fen: str, moves: str) -> DataFrame:
     """First suggested move of an engine line: capture, check, promotion, moved piece; and how many follow."""
-    p = with_checks(replay(rows, key, fen, moves), key)
+    p = with_checks(replay(rows, key, fen, moves))
     first = F.col("ply") == 1
     flag = lambda c: F.max(F.when(first, c.cast("int"))).alias
     return p.groupBy(key).agg(

@@ -245,8 +245,8 @@ def passed_pawns(spark, sf):
 @register("passed_pawn_squares", "J16", O.with_(O.BD, _PASSED) + "SELECT board_id, color, sq FROM pass")
 def passed_pawn_squares(spark, sf):
     sides = F.array(*[F.struct(F.lit(c).alias("color"), B.passed(p).alias("who")) for c, p in enumerate("wb")])
-    return (I.boards(spark, sf).select(K, F.explode(sides).alias("s"))
-            .select(K, "s.color", F.explode(S.members(F.col("s.who"))).alias("sq")))
+    rows = I.boards(spark, sf).select(K, F.explode(sides).alias("s")).select(K, "s.color", "s.who")
+    return S.each_member(rows, "who").drop("who")
 
 
 @register("most_advanced_pawn", "B31", O.with_(O.BD) + """SELECT board_id, coalesce(max(r) FILTER (pc = 0), 0) AS white_most_advanced_pawn_rank,
@@ -319,6 +319,13 @@ def square_attacks(spark, sf):
     return A.attack_pairs(I.boards(spark, sf), K)
 
 
+@register("attacked_area", "J14 B23", O.with_(O.BD, O.ATTACKS) + "SELECT board_id, "
+          + _both("CAST(count(DISTINCT to_sq) FILTER (color = {c}) AS BIGINT) AS {s}_area") + " FROM ids LEFT JOIN att USING (board_id) GROUP BY 1")
+def attacked_area(spark, sf):
+    b = A.with_attacked_sets(I.boards(spark, sf))
+    return b.select(K, *[S.size(F.col(f"{s}_attacks")).alias(f"{s}_area") for s, _ in B.SIDES])
+
+
 @register("center_control", "B9", O.with_(O.BD, O.ATTACKS) + "SELECT board_id, "
           + _both("CAST(count(*) FILTER (color = {c} AND to_sq IN (27, 28, 35, 36)) AS BIGINT) AS {s}_center_control")
           + """, CAST(count(*) FILTER (color = 0 AND to_sq IN (27, 28, 35, 36)) - count(*) FILTER (color = 1 AND to_sq IN (27, 28, 35, 36)) AS BIGINT)

@@ -70,15 +70,21 @@ def fens(spark: SparkSession, sf_dir: str) -> DataFrame:
 UCI_PLIES = 8
 
 
+def _on(group: Column):
+    """Squares of a board text whose letter belongs to ``group``."""
+    return lambda i: F.contains(group, F.substring(F.col("cells"), i + 1, F.lit(1)))
+
+
 def uci_games(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(board_id, fen, moves): eight UCI moves per board, colours in turn, from squares that the colour holds at first.
 
     Later moves may start from an emptied square, so the lists hold both playable and invalid moves.
     """
     b = B.cells_from_sets(boards(spark, sf_dir))
-    white = S.members(S.union(*[F.col(n) for n in S.SETS[:6]]))
-    black = S.members(S.union(*[F.col(n) for n in S.SETS[6:]]))
-    b = b.withColumns({"_w": white, "_b": black})
+    squares = F.array(*[F.lit(i) for i in range(64)])
+    lists = F.struct(*[
+        F.filter(squares, _on(F.lit(group))).alias(name) for name, group in (("_w", S.LETTERS[:6]), ("_b", S.LETTERS[6:]))])
+    b = b.select("*", F.explode(F.array(lists)).alias("_l")).select("*", "_l._w", "_l._b")  # lists are made once per board
     name = lambda s: F.concat(F.substring(F.lit("abcdefgh"), s % 8 + 1, F.lit(1)), (F.floor(s / 8) + 1).cast("string"))
 
     def source(i):

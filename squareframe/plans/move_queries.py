@@ -12,6 +12,7 @@ from ..operators import plies as Y
 from ..operators import tables as D
 from ..operators.endgames import project
 from ..operators.evaluate import rounded
+from ..session import cut_lineage
 from . import inputs as I
 from . import oracle_text as O
 from .registry import register
@@ -234,12 +235,12 @@ _PLY_COLS = """ply, move, CAST(w AS INT) AS white_moves, CAST(playable AS INT) A
 
 @register("ply_table", "M8", _GAMES + "\nSELECT id AS board_id, " + _PLY_COLS)
 def ply_table(spark, sf):
-    return Y.replay(I.uci_games(spark, sf), "board_id")
+    return Y.replay(I.uci_games(spark, sf), "board_id").drop("follows", "n_plies")
 
 
 @register("ply_table_from_start", "M8", _LINES + "\nSELECT id AS o_orderkey, " + _PLY_COLS)
 def ply_table_from_start(spark, sf):
-    return Y.replay(I.uci_lines(spark, sf), K)
+    return Y.replay(I.uci_lines(spark, sf), K).drop("follows", "n_plies")
 
 
 @register("move_shares", "M9", _GAMES_FACTS + """
@@ -297,7 +298,7 @@ sl AS (SELECT signature, tag AS dominant, n * 1.0 / t AS share, CAST(t AS BIGINT
 
 
 def _sig_labels(spark, sf):
-    sig = Y.signatures(Y.replay(I.uci_lines(spark, sf), K), K)
+    sig = cut_lineage(Y.signatures(Y.replay(I.uci_lines(spark, sf), K), K))  # replayed once, read twice
     first = I.tags(spark, sf).filter(D.has_text(F.col("tags"))).select(K, F.substring_index("tags", " ", 1).alias("tag"))
     return sig, L.signature_labels(sig, first, K, "tag")
 
@@ -328,7 +329,7 @@ _BOOK = "bk AS (SELECT " + O.placement("cells") + " AS placement, min(split_part
 def book_along_line(spark, sf):
     """The book holds every position after two full moves, named by the smallest first move that leads there."""
     games = I.uci_lines(spark, sf)
-    plies = Y.replay(games, K)
+    plies = cut_lineage(Y.replay(games, K))  # replayed once, read twice
     book = plies.filter("ply = 4").join(games.select(K, F.substring_index("moves", " ", 1).alias("name")), K).groupBy(
         B.placement_from_cells(F.col("cells")).alias("placement")).agg(F.min("name").alias("name"))
     return Y.book_matches(plies, games, book, K)
