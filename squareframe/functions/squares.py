@@ -37,6 +37,11 @@ CENTRE = sum(1 << s for s in (27, 28, 35, 36))
 LIGHT = sum(1 << s for s in range(64) if (s // 8 + s % 8) % 2 == 1)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, also where ``body`` uses it in an inner lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def union(*sets: Column) -> Column:
     out = sets[0]
     for s in sets[1:]:

@@ -123,15 +123,21 @@ def squares_table(boards: DataFrame, key, cells: str = "cells") -> DataFrame:
 
 
 def cells_from_sets(df: DataFrame) -> DataFrame:
-    """Add the 64-letter text of a board held as sets (used to write positions out)."""
-    def letter(i):
-        out = F.lit(".")
-        for name, ch in reversed(list(zip(S.SETS, S.LETTERS))):
-            here = F.call_function("shiftrightunsigned", F.col(name), i).bitwiseAND(F.lit(1).cast("long")) == 1
-            out = F.when(here, F.lit(ch)).otherwise(out)
-        return out
-
-    return df.withColumn("cells", F.array_join(F.transform(F.array(*[F.lit(i) for i in range(64)]), letter), ""))
+    """Add the 64-letter text of a board held as sets (used to write positions out).
+
+    The twelve sets fold to four bit planes of the piece number first, so each square needs four bit tests.
+    """
+    planes = [S.union(*[F.col(n) for i, n in enumerate(S.SETS) if (i + 1) >> k & 1]) for k in range(4)]
+    one = F.lit(1).cast("long")
+
+    def text(p):
+        def letter(i):
+            bits = [F.call_function("shiftrightunsigned", p[f"p{k}"], i).bitwiseAND(one) * (1 << k) for k in range(4)]
+            return F.substring(F.lit("." + S.LETTERS), (bits[0] + bits[1] + bits[2] + bits[3]).cast("int") + 1, F.lit(1))
+
+        return F.array_join(F.transform(F.array(*[F.lit(i) for i in range(64)]), letter), "")
+
+    return df.withColumn("cells", S.let(F.struct(*[c.alias(f"p{k}") for k, c in enumerate(planes)]), text))
 
 
 def pieces(boards: DataFrame, key, carry: list[str] | None = None) -> DataFrame:

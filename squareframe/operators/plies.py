@@ -30,11 +30,6 @@ def _put(cells: Column, sq: Column, letter: Column) -> Column:
     return F.overlay(cells, letter, sq + 1, F.lit(1))
 
 
-def _let(value: Column, body):
-    """``body(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def apply_move(cells: Column, move: Column, white_moves: Column, follows: Column) -> Column:
     """State after one move: the board and what happened. The board is unchanged when the move is not playable.
 
@@ -82,7 +77,7 @@ def apply_move(cells: Column, move: Column, white_moves: Column, follows: Column
             F.when(play, q["promo"]).otherwise("").alias("promotion"),
             F.when(play & q["castle"], F.when(short, "K").otherwise("Q")).otherwise("").alias("castling"), q["follows"].alias("follows"))
 
-    return _let(_let(_let(squares, with_pieces), with_rules), outcome)
+    return S.let(S.let(S.let(squares, with_pieces), with_rules), outcome)
 
 
 def replay(games: DataFrame, key: str, fen: str = "fen", moves: str = "moves") -> DataFrame:
