@@ -1,8 +1,29 @@
-"""placeholder"""
-from pyspark.sql import DataFrame
+"""Learning jobs on ``pyspark.ml``: classifiers for missing labels, multi-label models, regressors, folds, stacks, ranges.
+
+Loops run over models (families, labels, folds, ranges), never over rows; each fit is a distributed job. Predictions of
+several models are added as columns of one row, so combining them needs no shuffle.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import MODEL_RANGES, RANGE_OVERLAP
+from .evaluate import range_weight
+from .labels import assemble_predictions, blend, joined_tag, overall_confidence
+from .splits import fold_of, in_test
+from .tables import has_text
 
 
 def rows_per_range(df: DataFrame, target: str, ranges=None, overlap: float = RANGE_OVERLAP) -> DataFrame:
@@ -10,3 +31,301 @@ def rows_per_range(df: DataFrame, target: str, ranges=None, overlap: float = RAN
     listed = F.array(*[F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for lo, hi in ranges or MODEL_RANGES])
     mine = F.filter(listed, lambda r: F.col(target).between(r["lo"] - overlap, r["hi"] + overlap))
     return df.select("*", F.explode(mine).alias("_r")).select(*df.columns, F.col("_r.lo").alias("lo"), F.col("_r.hi").alias("hi"))
+
+
+def assembler(features: list[str]) -> VectorAssembler:
+    return VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep")
+
+
+# ---------------------------------------------------------------- label classifiers
+
+def fit_classifier(train: DataFrame, label: str, features: list[str], trees: int = 50, depth: int = 6, seed: int = 42,
+                   weight: str | None = None) -> PipelineModel:
+    """Forest over any number of classes."""
+    forest = RandomForestClassifier(labelCol="_y", featuresCol="_x", numTrees=trees, maxDepth=depth, seed=seed)
+    if weight:
+        forest = forest.setWeightCol(weight)
+    index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="skip")
+    return Pipeline(stages=[index, assembler(features), forest]).fit(train)
+
+
+def class_names(model: PipelineModel) -> list[str]:
+    return list(model.stages[0].labels)
+
+
+def classify(model: PipelineModel, rows: DataFrame, key: str, label: str = "label", conf: str = "conf") -> DataFrame:
+    """(key, label, confidence): most probable class and its probability."""
+    scored = PipelineModel(model.stages[1:]).transform(rows)
+    names = F.array(*[F.lit(n) for n in class_names(model)])
+    p = vector_to_array("probability")
+    return scored.select(key, F.element_at(names, F.array_position(p, F.array_max(p)).cast("int")).alias(label), F.array_max(p).alias(conf))
+
+
+def balanced_weights(df: DataFrame, label: str, out: str = "_w") -> DataFrame:
+    """Weight n / (classes * class size). One row per class is joined back; Spark chooses the join by its size."""
+    sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
+    totals = sizes.agg(F.sum("_n").alias("n"), F.count("*").alias("k"))
+    total = totals.select(F.struct("n", "k")).scalar()
+    weights = sizes.withColumn("_t", total).select(label, (F.col("_t.n") / (F.col("_t.k") * F.col("_n"))).alias(out))
+    return df.join(weights, label)
+
+
+def variation_models(train: DataFrame, family: str, variation: str, features: list[str], least_rows: int = 10, **kw) -> dict[str, PipelineModel]:
+    """One classifier per family with at least two variations and enough rows."""
+    sizes = train.filter(has_text(F.col(variation))).groupBy(family, variation).agg(F.count("*").alias("n")).groupBy(family).agg(
+        F.sum("n").alias("n"), F.count("*").alias("classes"))
+    eligible = [r[0] for r in sizes.filter((F.col("n") >= least_rows) & (F.col("classes") >= 2)).orderBy(family).collect()]
+    return {f: fit_classifier(train.filter((F.col(family) == f) & has_text(F.col(variation))), variation, features, **kw) for f in eligible}
+
+
+def classify_variations(models: dict[str, PipelineModel], rows: DataFrame, key: str, family: str) -> DataFrame:
+    """(key, variation, variation_conf) for rows whose family has a model."""
+    parts = [classify(m, rows.filter(F.col(family) == f), key, "variation", "variation_conf") for f, m in models.items()]
+    if not parts:
+        return rows.select(key, F.lit("").alias("variation"), F.lit(0.0).alias("variation_conf")).limit(0)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def predict_missing(df: DataFrame, key: str, tag: str, family: Column, variation: Column, features: list[str],
+                    evidence: DataFrame | None = None, least_support: int = 5, **kw) -> DataFrame:
+    """Two-level prediction of missing tags: family, pattern evidence, variation, overall confidence, originals kept.
+
+    ``evidence`` holds (key, eco_family, eco_variation) where patterns matched.
+    """
+    rows = df.withColumns({"_family": family, "_variation": variation})
+    known = rows.filter(has_text(F.col(tag)))
+    enough = known.groupBy("_family").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least_support)
+    train = known.join(enough.select("_family"), "_family", "left_semi")
+    bare = rows.filter(~has_text(F.col(tag)))
+    pred = classify(fit_classifier(train, "_family", features, **kw), bare, key, "family", "family_conf")
+    pred = bare.drop("_family", "_variation").join(pred, key)
+    if evidence is not None:
+        pred = pred.join(evidence, key, "left")
+        fam, conf = blend(F.col("family"), F.col("family_conf"), F.col("eco_family"))
+        pred = pred.withColumns({"family": fam, "family_conf": conf})
+    models = variation_models(train, "_family", "_variation", features, **kw)
+    pred = pred.join(classify_variations(models, pred, key, "family"), key, "left")
+    if evidence is not None:
+        same = F.when((F.col("family") == F.col("eco_family")) & F.col("variation").isNotNull(), F.col("eco_variation"))
+        var, conf = blend(F.col("variation"), F.col("variation_conf"), same)
+        pred = pred.withColumns({"variation": var, "variation_conf": conf})
+    v, vc = F.coalesce("variation", F.lit("")), F.coalesce("variation_conf", F.lit(0.0))
+    pred = pred.select(key, joined_tag(F.col("family"), v).alias("tag"), overall_confidence(F.col("family_conf"), v, vc).alias("conf"),
+                       "family", v.alias("variation"), "family_conf", vc.alias("variation_conf"))
+    return assemble_predictions(df, pred, key, tag)
+
+
+# ---------------------------------------------------------------- one model per label
+
+def fit_label_models(df: DataFrame, key: str, labels: list[str], features: list[str], least_positives: int = 10, least_auc: float = 0.7,
+                     boosted: bool = False, seed: int = 42) -> tuple[dict[str, PipelineModel], list[tuple]]:
+    """A binary model per 0/1 column. Rare labels are skipped, models under the AUC bound dropped; scores are returned."""
+    positives = df.agg(*[F.sum(F.coalesce(F.col(n), F.lit(0))).alias(n) for n in labels]).first()
+    models, scores = {}, []
+    for name in labels:
+        if (positives[name] or 0) < least_positives:
+            scores.append((name, None, "skipped"))
+            continue
+        rows = df.filter(F.col(name).isNotNull()).withColumn("_y", F.col(name).cast("double"))
+        test = in_test(F.col(key), 0.2, seed)
+        learner = GBTClassifier(labelCol="_y", featuresCol="_x", maxIter=20, seed=seed) if boosted else LogisticRegression(
+            labelCol="_y", featuresCol="_x", regParam=0.01)
+        model = Pipeline(stages=[assembler(features), learner]).fit(rows.filter(~test))
+        auc = BinaryClassificationEvaluator(labelCol="_y").evaluate(model.transform(rows.filter(test)))
+        keep = auc >= least_auc
+        scores.append((name, float(auc), "kept" if keep else "dropped"))
+        if keep:
+            models[name] = model
+    return models, scores
+
+
+def multi_label(models: dict[str, PipelineModel], rows: DataFrame, key: str, features: list[str], threshold: float = 0.5) -> DataFrame:
+    """(key, labels, confidences): labels at or above the threshold, most confident first, joined to text. Row-local."""
+    out = assembler(features).transform(rows)
+    for name, model in models.items():
+        scored = model.stages[-1].transform(out)
+        out = scored.withColumn(f"_p_{name}", F.get(vector_to_array("probability"), F.lit(1))).drop("rawPrediction", "probability", "prediction")
+    pairs = F.array(*[F.struct((-F.col(f"_p_{n}")).alias("m"), F.lit(n).alias("label")) for n in models]) if models else F.expr(
+        "cast(array() as array<struct<m:double,label:string>>)")
+    hits = F.array_sort(F.filter(pairs, lambda x: -x["m"] >= threshold))
+    return out.select(key, F.array_join(F.transform(hits, lambda x: x["label"]), " ").alias("labels"),
+                      F.transform(hits, lambda x: -x["m"]).alias("confidences"))
+
+
+# ---------------------------------------------------------------- regressors
+
+REGRESSORS: dict[str, Callable] = {
+    "gbt": lambda **kw: GBTRegressor(featuresCol="_x", **{"maxIter": 20, "maxDepth": 5, "seed": 42, **kw}),
+    "forest": lambda **kw: RandomForestRegressor(featuresCol="_x", **{"numTrees": 30, "maxDepth": 8, "seed": 42, **kw}),
+    "linear": lambda **kw: LinearRegression(featuresCol="_x", **{"regParam": 0.01, **kw}),
+}
+
+
+def fit_regressor(df: DataFrame, kind: str, features: list[str], target: str, weight: str | None = None, **kw) -> PipelineModel:
+    learner = REGRESSORS[kind](labelCol=target, **kw)
+    if weight:
+        learner = learner.setWeightCol(weight)
+    return Pipeline(stages=[assembler(features), learner]).fit(df)
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def with_prediction(model: PipelineModel, df: DataFrame, out: str) -> DataFrame:
+    scored = model.transform(df)
+    return scored.withColumnRenamed("prediction", out).drop("_x")
+
+
+def importances(model: PipelineModel, features: list[str], spark) -> DataFrame:
+    """(feature, importance), largest first; absolute coefficients for a linear model."""
+    last = model.stages[-1]
+    values = last.featureImportances.toArray() if hasattr(last, "featureImportances") else abs(last.coefficients.toArray())
+    rows = [(n, float(v)) for n, v in zip(features, values)]
+    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+
+def out_of_fold(df: DataFrame, key: str, kind: str, features: list[str], target: str, k: int = 5, seed: int = 42, **kw):
+    """Predictions of every row by the model that did not see it, and the k models."""
+    rows = df.withColumn("fold", fold_of(F.col(key), k, seed))
+    models, parts = [], []
+    for i in range(k):
+        model = fit_regressor(rows.filter(F.col("fold") != i), kind, features, target, **kw)
+        models.append(model)
+        parts.append(with_prediction(model, rows.filter(F.col("fold") == i), "prediction").select(key, "fold", target, "prediction"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out, models
+
+
+def averaged(models: list[PipelineModel], df: DataFrame, out: str = "prediction") -> DataFrame:
+    """Mean prediction of several models, all on the same row."""
+    rows = df
+    for i, m in enumerate(models):
+        rows = with_prediction(m, rows, f"_m{i}")
+    names = [f"_m{i}" for i in range(len(models))]
+    total = F.lit(0.0)
+    for n in names:
+        total = total + F.col(n)
+    return rows.withColumn(out, total / len(names)).drop(*names)
+
+
+def log_rmse(df: DataFrame, target: str, prediction: str = "prediction") -> float:
+    return RegressionEvaluator(labelCol=target, predictionCol=prediction, metricName="rmse").evaluate(df)
+
+
+class Stack:
+    """Base regressors whose out-of-fold predictions (and, if asked for, the features) feed a meta learner."""
+
+    def __init__(self, bases: list[str], meta: str, features: list[str], use_features: bool = True, k: int = 5, seed: int = 42, **kw):
+        self.bases, self.meta_kind, self.features, self.use_features, self.k, self.seed, self.kw = bases, meta, features, use_features, k, seed, kw
+        self.models: dict[str, PipelineModel] = {}
+        self.meta: PipelineModel | None = None
+
+    def _meta_features(self) -> list[str]:
+        return [f"{b}_pred" for b in self.bases] + (self.features if self.use_features else [])
+
+    def fit(self, df: DataFrame, key: str, target: str, search: dict | None = None) -> "Stack":
+        rows = df
+        for b in self.bases:
+            oof, _ = out_of_fold(df, key, b, self.features, target, self.k, self.seed, **self.kw.get(b, {}))
+            rows = rows.join(oof.select(key, F.col("prediction").alias(f"{b}_pred")), key)
+            self.models[b] = fit_regressor(df, b, self.features, target, **self.kw.get(b, {}))
+        if search:
+            self.meta, _ = search_regressor(rows, self.meta_kind, self._meta_features(), target, search, **self.kw.get(self.meta_kind, {}))
+        else:
+            self.meta = fit_regressor(rows, self.meta_kind, self._meta_features(), target, **self.kw.get(self.meta_kind, {}))
+        return self
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        rows = df
+        for b in self.bases:
+            rows = with_prediction(self.models[b], rows, f"{b}_pred")
+        return with_prediction(self.meta, rows, "prediction")
+
+
+def build_stack(df: DataFrame, key: str, target: str, features: list[str], bases=("forest", "linear"), meta: str = "gbt",
+                search: dict | None = None, **kw) -> Stack:
+    return Stack(list(bases), meta, features, **kw).fit(df, key, target, search)
+
+
+def search_regressor(df: DataFrame, kind: str, features: list[str], target: str, grid: dict[str, list], parallelism: int = 4, seed: int = 42, **kw):
+    """Best model of a parameter grid by validation RMSE, and the (parameters, score) list."""
+    learner = REGRESSORS[kind](labelCol=target, **kw)
+    pipe = Pipeline(stages=[assembler(features), learner])
+    builder = ParamGridBuilder()
+    for name, values in grid.items():
+        builder = builder.addGrid(learner.getParam(name), values)
+    maps = builder.build()
+    tuned = TrainValidationSplit(estimator=pipe, estimatorParamMaps=maps, evaluator=RegressionEvaluator(labelCol=target, metricName="rmse"),
+                                 trainRatio=0.8, parallelism=parallelism, seed=seed).fit(df)
+    scores = [({p.name: v for p, v in m.items()}, s) for m, s in zip(maps, tuned.validationMetrics)]
+    return tuned.bestModel, scores
+
+
+class RangeModels:
+    """One regressor per rating range (with overlap); predictions weighted by how well each fits its own range."""
+
+    def __init__(self, kind: str, features: list[str], ranges=None, overlap: float = RANGE_OVERLAP, least_rows: int = 100, meta: str | None = None, **kw):
+        self.kind, self.features, self.ranges, self.overlap, self.least_rows, self.meta_kind, self.kw = kind, features, list(ranges or MODEL_RANGES), overlap, least_rows, meta, kw
+        self.models: dict[tuple, PipelineModel] = {}
+        self.meta: PipelineModel | None = None
+
+    def fit(self, df: DataFrame, target: str) -> "RangeModels":
+        sizes = {(r["lo"], r["hi"]): r["n"] for r in rows_per_range(df.select(target), target, self.ranges, self.overlap).groupBy("lo", "hi").agg(F.count("*").alias("n")).collect()}
+        for lo, hi in self.ranges:
+            if sizes.get((lo, hi), 0) >= self.least_rows:
+                self.models[(lo, hi)] = fit_regressor(df.filter(F.col(target).between(lo - self.overlap, hi + self.overlap)), self.kind, self.features, target, **self.kw)
+        if self.meta_kind:
+            self.meta = fit_regressor(self._base(df), self.meta_kind, self._names(), target)
+        return self
+
+    def _names(self) -> list[str]:
+        return [f"range_{lo}_{hi}_pred" for lo, hi in self.models]
+
+    def _base(self, df: DataFrame) -> DataFrame:
+        for (lo, hi), m in self.models.items():
+            df = with_prediction(m, df, f"range_{lo}_{hi}_pred")
+        return df
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        rows = self._base(df)
+        if self.meta is not None:
+            return with_prediction(self.meta, rows, "prediction")
+        total, weighted, plain = F.lit(0.0), F.lit(0.0), F.lit(0.0)
+        for (lo, hi), name in zip(self.models, self._names()):
+            w = range_weight(F.col(name), F.lit(float(lo)), F.lit(float(hi)), self.overlap)
+            total, weighted, plain = total + w, weighted + w * F.col(name), plain + F.col(name)
+        mean = plain / max(1, len(self.models))
+        return rows.withColumn("prediction", F.when(total > 0, weighted / total).otherwise(mean)).drop(*self._names())
+
+
+# ---------------------------------------------------------------- curves and clusters
+
+def curve_embeddings(df: DataFrame, key: str, modes: dict[str, list[str]], k: int = 16) -> DataFrame:
+    """Principal components of each curve. Rows with a null level are left out of the fit and get null components."""
+    out = df.select(key)
+    for mode, cols in modes.items():
+        size = min(k, len(cols))
+        whole = VectorAssembler(inputCols=cols, outputCol="_x", handleInvalid="skip").transform(df.select(key, *cols))
+        a = vector_to_array("_z")
+        part = PCA(k=size, inputCol="_x", outputCol="_z").fit(whole).transform(whole).select(
+            key, *[F.get(a, F.lit(i)).alias(f"{mode}_emb_{i}") for i in range(size)])
+        out = out.join(part, key, "left")
+    return out
+
+
+def clusters(df: DataFrame, key: str, features: list[str], k: int = 50, seed: int = 42) -> DataFrame:
+    """(key, position_cluster) by k-means over standardised features."""
+    pipe = Pipeline(stages=[assembler(features), StandardScaler(inputCol="_x", outputCol="_s", withMean=True),
+                            KMeans(featuresCol="_s", predictionCol="position_cluster", k=k, seed=seed)])
+    rows = df.select(key, *features)
+    return pipe.fit(rows).transform(rows).select(key, "position_cluster")

@@ -175,3 +175,29 @@ def uci_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey", F.lit(START_FEN).alias("fen"),
         F.trim(F.concat(pick(UCI_OPENINGS, F.col("o_orderkey") % len(UCI_OPENINGS)), F.lit(" "),
                         pick(UCI_TAILS, F.col("o_custkey") % len(UCI_TAILS)))).alias("moves"))
+
+
+def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(l_orderkey, rating, features): mean line price of an order scaled to ratings, to be explained by its lines."""
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        (F.avg("l_extendedprice") / 25.0).alias("rating"), F.count("*").cast("double").alias("n_lines"), F.avg("l_quantity").alias("quantity"),
+        F.max("l_quantity").alias("most"), F.avg("l_discount").alias("discount"), F.avg("l_tax").alias("tax"))
+
+
+TRAINING_FEATURES = ["n_lines", "quantity", "most", "discount", "tax"]
+
+
+def document_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, family, variation, quality, toxic, features): language and source as a two-level label, known where a
+    document is labelled; letter statistics of the whole text as features."""
+    d = table(spark, sf_dir, "documents")
+    text = F.lower("text")
+    share = lambda ch: (F.length("text") - F.length(F.replace(text, F.lit(ch), F.lit("")))) / F.greatest(F.length("text"), F.lit(1))
+    stats = d.select("doc_id", "lang", "source", F.col("n_chars").cast("double").alias("n_chars"),
+                     *[share(ch).alias(f"f_{i}") for i, ch in enumerate(["e", "the", "é", "ß", "ch", "o", "a", " "])])
+    rows = stats.join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    tag = F.when(F.col("quality").isNotNull(), F.concat_ws("_", "lang", "source")).otherwise("")
+    return rows.withColumn("tag", tag)
+
+
+DOCUMENT_FEATURES = ["n_chars"] + [f"f_{i}" for i in range(8)]
