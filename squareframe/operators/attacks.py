@@ -213,38 +213,40 @@ def discovered_attacks(boards: DataFrame, key) -> DataFrame:
     return _every_board(boards, found, ks)
 
 
-def tactical_totals(boards: DataFrame, key, weights: dict[str, int] | None = None) -> DataFrame:
-    """Pins, forks and discovered attacks per side, their differences and the weighted sum.
+def king_ray_features(boards: DataFrame, key) -> DataFrame:
+    """Pins and discovered attacks of both sides from one pass over the king rays; boards without any are absent."""
+    sets = [n for n in S.SETS if n[1] != "k"]
+    rows = king_rays(boards, key, sets)
+    slider = S.has(S.common(S.common(F.col("second"), F.col("foe")), F.col("sliders")))
+    rows = rows.withColumns({"pin": slider & S.has(S.common(F.col("first"), F.col("own"))),
+                             "hidden": slider & S.has(S.common(F.col("first"), F.col("foe")))}).filter("pin or hidden")
+    aggs = []
+    for side, p in SIDES:
+        pin = F.col("pin") & (F.col("side") == side)
+        for kind, k in zip(KINDS[:5], "pnbrq"):
+            aggs.append(F.count_if(pin & S.has(S.common(F.col("first"), F.col(p + k)))).alias(f"{side}_pinned_{kind}s"))
+        aggs.append(F.count_if(pin).alias(f"{side}_total_pinned_pieces"))
+        aggs.append(F.count_if(F.col("hidden") & (F.col("side") == _other(side))).alias(f"{side}_discovered_attacks"))
+    return rows.groupBy(*keys_of(key)).agg(*aggs)
 
-    The three parts share the key, so after the first aggregation the joins need no new partitioning.
-    """
-    ks = keys_of(key)
+
+def tactical_total_columns(weights: dict[str, int] | None = None) -> dict[str, Column]:
     w = weights or TACTICS
-    out = pins(boards, key).join(forks(boards, key), ks, "left").join(discovered_attacks(boards, key), ks, "left")
-    diff = {
-        "tactical_advantage_pins": F.col("white_total_pinned_pieces") - F.col("black_total_pinned_pieces"),
-        "tactical_advantage_forks": F.col("white_total_forks") - F.col("black_total_forks"),
-        "tactical_advantage_discovered": F.col("white_discovered_attacks") - F.col("black_discovered_attacks"),
-    }
-    out = out.fillna(0).withColumns(diff)
-    return out.withColumn(
-        "overall_tactical_advantage",
-        F.col("tactical_advantage_pins") * w["pins"] + F.col("tactical_advantage_forks") * w["forks"]
-        + F.col("tactical_advantage_discovered") * w["discovered_attacks"])
+    pin = F.col("white_total_pinned_pieces") - F.col("black_total_pinned_pieces")
+    fork = F.col("white_total_forks") - F.col("black_total_forks")
+    found = F.col("white_discovered_attacks") - F.col("black_discovered_attacks")
+    return {"tactical_advantage_pins": pin, "tactical_advantage_forks": fork, "tactical_advantage_discovered": found,
+            "overall_tactical_advantage": pin * w["pins"] + fork * w["forks"] + found * w["discovered_attacks"]}
 
 
-def move_counts(boards: DataFrame, key, turn: str = "white_to_move") -> DataFrame:
-    """Pseudo-legal moves of the side to move: no castling, no en passant, checks and pins not looked at."""
+def tactical_totals(boards: DataFrame, key, weights: dict[str, int] | None = None) -> DataFrame:
+    """Pins, forks and discovered attacks per side, their differences and the weighted sum.
+
+    Both parts are keyed alike, so the join needs no partitioning beyond that of the aggregations.
+    """
     ks = keys_of(key)
-    boards = boards.withColumn("_push", F.when(F.col(turn) == 1, _pushes("white")).otherwise(_pushes("black")))
-    rows = piece_attacks(boards, key, [turn, "_push"])
-    mover = F.col("color") == F.when(F.col(turn) == 1, 0).otherwise(1)
-    is_pawn = F.col("pc") % 6 == 0
-    takes = S.common(F.col("attacks"), F.col("foe"))
-    last = S.constant(S.rank_bits(7) | S.rank_bits(0))
-    count = F.when(is_pawn, S.size(takes) + 3 * S.size(S.common(takes, last))).otherwise(
-        S.size(S.without(F.col("attacks"), F.col("own"))))
-    return rows.groupBy(*ks).agg((_sum(mover, count) + F.max("_push")).alias("move_count"))
+    out = forks(boards, key).join(king_ray_features(boards, key), ks, "left").fillna(0)
+    return out.withColumns(tactical_total_columns(weights))
 
 
 def _pushes(side: str) -> Column:
@@ -262,6 +264,26 @@ def _pushes(side: str) -> Column:
     return S.size(one) + S.size(two) + S.size(S.common(one, last)) * 3
 
 
+def _move_total(turn: str) -> Column:
+    """Sum over piece rows of the moves of the side to move, plus the quiet pawn moves carried in ``_push``."""
+    takes = S.common(F.col("attacks"), F.col("foe"))
+    last = S.constant(S.rank_bits(7) | S.rank_bits(0))
+    count = F.when(F.col("pc") % 6 == 0, S.size(takes) + 3 * S.size(S.common(takes, last))).otherwise(
+        S.size(S.without(F.col("attacks"), F.col("own"))))
+    mover = F.col("color") == F.when(F.col(turn) == 1, 0).otherwise(1)
+    return _sum(mover, count) + F.max("_push")
+
+
+def _with_pushes(boards: DataFrame, turn: str) -> DataFrame:
+    return boards.withColumn("_push", F.when(F.col(turn) == 1, _pushes("white")).otherwise(_pushes("black")))
+
+
+def move_counts(boards: DataFrame, key, turn: str = "white_to_move") -> DataFrame:
+    """Pseudo-legal moves of the side to move: no castling, no en passant, checks and pins not looked at."""
+    rows = piece_attacks(_with_pushes(boards, turn), key, [turn, "_push"])
+    return rows.groupBy(*keys_of(key)).agg(_move_total(turn).alias("move_count"))
+
+
 def king_set(boards: DataFrame, key) -> DataFrame:
     """Per side: king mobility, enemy attacks on and own guards of the ring, centrality, checked.
 
@@ -301,13 +323,11 @@ def board_set(boards: DataFrame, key) -> DataFrame:
 
 def attack_features(boards: DataFrame, key, turn: str = "white_to_move") -> DataFrame:
     """Everything that needs attack sets in one pass: centre, zones, checks, mobility, forks, move count."""
-    boards = boards.withColumn("_push", F.when(F.col(turn) == 1, _pushes("white")).otherwise(_pushes("black")))
-    rows = piece_attacks(boards, key, [turn, "_push", "wp", "bp"])
+    rows = piece_attacks(_with_pushes(boards, turn), key, [turn, "_push", "wp", "bp"])
     victims = S.without(F.col("foe"), F.col("wp").bitwiseOR(F.col("bp")))
     rows = rows.withColumns({
         "_centre": _hits(S.constant(S.CENTRE)),
         "_forking": S.size(S.common(F.col("lone_targets"), victims)) >= 2,
-        "_takes": S.common(F.col("attacks"), F.col("foe")),
     })
     aggs = []
     for j, (s, _) in enumerate(SIDES):
@@ -321,11 +341,7 @@ def attack_features(boards: DataFrame, key, turn: str = "white_to_move") -> Data
         for i, kind in enumerate(KINDS[:5]):
             aggs.append(F.count_if(F.col("_forking") & (F.col("pc") == i + 6 * j)).alias(f"{s}_{kind}_forks"))
         aggs.append(F.count_if(F.col("_forking") & mine).alias(f"{s}_total_forks"))
-    mover = F.col("color") == F.when(F.col(turn) == 1, 0).otherwise(1)
-    last = S.constant(S.rank_bits(7) | S.rank_bits(0))
-    count = F.when(F.col("pc") % 6 == 0, S.size(F.col("_takes")) + 3 * S.size(S.common(F.col("_takes"), last))).otherwise(
-        S.size(S.without(F.col("attacks"), F.col("own"))))
-    aggs.append((_sum(mover, count) + F.max("_push")).alias("move_count"))
+    aggs.append(_move_total(turn).alias("move_count"))
     return rows.groupBy(*keys_of(key)).agg(*aggs)
 
 

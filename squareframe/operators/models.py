@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import MODEL_RANGES, RANGE_OVERLAP
+from ..session import cut_lineage
 from .evaluate import range_weight
 from .labels import assemble_predictions, blend, joined_tag, overall_confidence
 from .splits import fold_of, in_test
@@ -79,14 +80,20 @@ def variation_models(train: DataFrame, family: str, variation: str, features: li
 
 
 def classify_variations(models: dict[str, PipelineModel], rows: DataFrame, key: str, family: str) -> DataFrame:
-    """(key, variation, variation_conf) for rows whose family has a model."""
-    parts = [classify(m, rows.filter(F.col(family) == f), key, "variation", "variation_conf") for f, m in models.items()]
-    if not parts:
+    """(key, variation, variation_conf) for rows whose family has a model. One pass over the rows, whatever the number of
+    families: every model adds its answer to the row and the row's family picks one."""
+    if not models:
         return rows.select(key, F.lit("").alias("variation"), F.lit(0.0).alias("variation_conf")).limit(0)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    known = rows.filter(F.col(family).isin(list(models)))
+    out = next(iter(models.values())).stages[1].transform(known)
+    chosen = None
+    for i, (f, m) in enumerate(models.items()):
+        p = F.col(f"_p{i}")
+        out = m.stages[-1].transform(out).withColumn(f"_p{i}", vector_to_array("probability")).drop("rawPrediction", "probability", "prediction")
+        names = F.array(*[F.lit(n) for n in class_names(m)])
+        answer = F.struct(F.element_at(names, F.array_position(p, F.array_max(p)).cast("int")).alias("v"), F.array_max(p).alias("c"))
+        chosen = F.when(F.col(family) == f, answer) if chosen is None else chosen.when(F.col(family) == f, answer)
+    return out.select(key, chosen.alias("_a")).select(key, F.col("_a.v").alias("variation"), F.col("_a.c").alias("variation_conf"))
 
 
 def predict_missing(df: DataFrame, key: str, tag: str, family: Column, variation: Column, features: list[str],
@@ -106,6 +113,7 @@ def predict_missing(df: DataFrame, key: str, tag: str, family: Column, variation
         pred = pred.join(evidence, key, "left")
         fam, conf = blend(F.col("family"), F.col("family_conf"), F.col("eco_family"))
         pred = pred.withColumns({"family": fam, "family_conf": conf})
+    pred = cut_lineage(pred)  # read by the variation step and by the join after it
     models = variation_models(train, "_family", "_variation", features, **kw)
     pred = pred.join(classify_variations(models, pred, key, "family"), key, "left")
     if evidence is not None:

@@ -12,6 +12,7 @@ from ..operators import models as M
 from ..operators import splits as P
 from ..operators import tables as D
 from ..operators.evaluate import rounded
+from ..session import cut_lineage
 from ..sources import store as W
 from . import inputs as I
 from . import oracle_text as O
@@ -115,16 +116,16 @@ def book_or_model(spark, sf):
     return L.book_or_model(p.select("doc_id", "tag"), model, book, "doc_id", "tag")
 
 
-@register("cluster_label_transfer", "J13", """WITH e AS (SELECT v.vec_id, v.label AS cluster, d.source, l.quality FROM embeddings v JOIN documents d ON d.doc_id = v.vec_id LEFT JOIN labels l ON l.doc_id = v.vec_id),
-  c AS (SELECT cluster, source, count(*) AS n FROM e WHERE quality IS NOT NULL GROUP BY 1, 2),
-  p AS (SELECT * FROM (SELECT *, sum(n) OVER (PARTITION BY cluster) AS t, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, source) AS rn FROM c) WHERE rn = 1)
-  SELECT vec_id, p.source AS cluster_inferred_family, round(n * 1.0 / t, 6) AS cluster_inference_confidence FROM e JOIN p USING (cluster) WHERE quality IS NULL AND t >= 5 AND n * 1.0 / t >= 0.2""")
+@register("cluster_label_transfer", "J13", """WITH e AS (SELECT v.vec_id, v.label AS cluster, d.lang, l.quality FROM embeddings v JOIN documents d ON d.doc_id = v.vec_id LEFT JOIN labels l ON l.doc_id = v.vec_id),
+  c AS (SELECT cluster, lang, count(*) AS n FROM e WHERE quality IS NOT NULL GROUP BY 1, 2),
+  p AS (SELECT * FROM (SELECT *, sum(n) OVER (PARTITION BY cluster) AS t, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, lang) AS rn FROM c) WHERE rn = 1)
+  SELECT vec_id, p.lang AS cluster_inferred_family, round(n * 1.0 / t, 6) AS cluster_inference_confidence FROM e JOIN p USING (cluster) WHERE quality IS NULL AND t >= 5 AND n * 1.0 / t >= 0.3""")
 def cluster_label_transfer(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "source")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "lang")
     lab = table(spark, sf, "labels").select(F.col("doc_id").alias("vec_id"), "quality")
     e = table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("cluster")).join(d, "vec_id").join(lab, "vec_id", "left")
-    profile = D.dominant_label(e.filter("quality is not null"), "cluster", "source")
-    out = L.cluster_transfer(e.filter("quality is null"), profile, "vec_id", "cluster", share=0.2)
+    profile = D.dominant_label(e.filter("quality is not null"), "cluster", "lang")
+    out = L.cluster_transfer(e.filter("quality is null"), profile, "vec_id", "cluster", share=0.3)
     return out.withColumn("cluster_inference_confidence", rounded(F.col("cluster_inference_confidence")))
 
 
@@ -145,9 +146,18 @@ def fold_mean_forecast(spark, sf):
 _SMALL = {"trees": 15, "depth": 5}
 
 
+def _documents(spark, sf):
+    """Materialised once: every fit and every prediction below reads the same rows."""
+    return cut_lineage(I.document_features(spark, sf))
+
+
+def _training(spark, sf):
+    return cut_lineage(I.training_rows(spark, sf))
+
+
 @register("family_classifier", "L1")
 def family_classifier(spark, sf):
-    rows = I.document_features(spark, sf)
+    rows = _documents(spark, sf)
     known = rows.filter(D.has_text(F.col("tag"))).withColumn("family", L.primary_family(F.col("tag")))
     model = M.fit_classifier(known, "family", I.DOCUMENT_FEATURES, **_SMALL)
     return M.classify(model, rows.filter(~D.has_text(F.col("tag"))), "doc_id")
@@ -155,20 +165,20 @@ def family_classifier(spark, sf):
 
 @register("variation_classifiers", "L2")
 def variation_classifiers(spark, sf):
-    rows = I.document_features(spark, sf).withColumns({"family": F.col("lang"), "variation": F.col("source")})
+    rows = _documents(spark, sf).withColumns({"family": F.col("lang"), "variation": F.col("source")})
     models = M.variation_models(rows.filter(D.has_text(F.col("tag"))), "family", "variation", I.DOCUMENT_FEATURES, **_SMALL)
     return M.classify_variations(models, rows.filter(~D.has_text(F.col("tag"))), "doc_id", "family")
 
 
 @register("missing_tag_predictions", "L1 L2 L3 L4 L5")
 def missing_tag_predictions(spark, sf):
-    rows = I.document_features(spark, sf)
+    rows = _documents(spark, sf)
     return M.predict_missing(rows, "doc_id", "tag", L.primary_family(F.col("tag")), L.variation(F.col("tag")), I.DOCUMENT_FEATURES, **_SMALL)
 
 
 @register("balanced_label_forest", "L16")
 def balanced_label_forest(spark, sf):
-    rows = I.document_features(spark, sf)
+    rows = _documents(spark, sf)
     known = M.balanced_weights(rows.filter(D.has_text(F.col("tag"))).withColumn("family", L.primary_family(F.col("tag"))), "family")
     model = M.fit_classifier(known, "family", I.DOCUMENT_FEATURES, weight="_w", **_SMALL)
     pred = M.classify(model, rows.filter(~D.has_text(F.col("tag"))), "doc_id")
@@ -178,13 +188,13 @@ def balanced_label_forest(spark, sf):
 
 @register("label_model_scores", "L6 A13")
 def label_model_scores(spark, sf):
-    _, scores = M.fit_label_models(I.document_features(spark, sf), "doc_id", ["quality", "toxic"], I.DOCUMENT_FEATURES)
+    _, scores = M.fit_label_models(_documents(spark, sf), "doc_id", ["quality", "toxic"], I.DOCUMENT_FEATURES)
     return spark.createDataFrame(scores, "label string, auc double, verdict string")
 
 
 @register("multi_label_predictions", "L7")
 def multi_label_predictions(spark, sf):
-    rows = I.document_features(spark, sf)
+    rows = _documents(spark, sf)
     models, _ = M.fit_label_models(rows, "doc_id", ["quality", "toxic"], I.DOCUMENT_FEATURES, least_auc=0.0)
     return M.multi_label(models, rows.filter("quality is null"), "doc_id", I.DOCUMENT_FEATURES, 0.3).select("doc_id", "labels")
 
@@ -192,7 +202,7 @@ def multi_label_predictions(spark, sf):
 @register("weighted_training_errors", "L19")
 def weighted_training_errors(spark, sf):
     """Forest trained with provenance weights; accuracy per provenance class on held-out rows."""
-    rows = I.document_features(spark, sf).join(_weighted(spark, sf).select("doc_id", "weight", "high_confidence_inference", "has_tag"), "doc_id")
+    rows = _documents(spark, sf).join(_weighted(spark, sf).select("doc_id", "weight", "high_confidence_inference", "has_tag"), "doc_id")
     test = P.in_test(F.col("doc_id"), 0.2)
     model = M.fit_classifier(rows.filter(~test), "lang", I.DOCUMENT_FEATURES, weight="weight", **_SMALL)
     pred = M.classify(model, rows.filter(test), "doc_id").join(rows.select("doc_id", "lang", "has_tag", "high_confidence_inference"), "doc_id")
@@ -222,7 +232,7 @@ _QUICK = {"gbt": {"maxIter": 5, "maxDepth": 4}, "forest": {"numTrees": 8, "maxDe
 @register("regressor_errors", "L8 A10")
 def regressor_errors(spark, sf):
     """Three regressors, saved and loaded again, on a held-out split; and the mean as the baseline."""
-    rows = I.training_rows(spark, sf)
+    rows = _training(spark, sf)
     test = P.in_test(F.col("l_orderkey"), 0.2)
     train, held = rows.filter(~test), rows.filter(test)
     root, out = W.new_folder(spark, "models"), None
@@ -237,19 +247,19 @@ def regressor_errors(spark, sf):
 
 @register("feature_importances", "L20")
 def feature_importances(spark, sf):
-    model = M.fit_regressor(I.training_rows(spark, sf), "forest", _FX, "rating", **_QUICK["forest"])
+    model = M.fit_regressor(_training(spark, sf), "forest", _FX, "rating", **_QUICK["forest"])
     return M.importances(model, _FX, spark)
 
 
 @register("fold_training", "L9 A12")
 def fold_training(spark, sf):
-    oof, _ = M.out_of_fold(I.training_rows(spark, sf), "l_orderkey", "linear", _FX, "rating", 5)
+    oof, _ = M.out_of_fold(_training(spark, sf), "l_orderkey", "linear", _FX, "rating", 5)
     return V.fold_errors(oof, "fold", "rating", "prediction")
 
 
 @register("fold_averaged_forecast", "L9")
 def fold_averaged_forecast(spark, sf):
-    rows = I.training_rows(spark, sf)
+    rows = _training(spark, sf)
     test = P.in_test(F.col("l_orderkey"), 0.2, 7)
     _, models = M.out_of_fold(rows.filter(~test), "l_orderkey", "linear", _FX, "rating", 3)
     return M.averaged(models, rows.filter(test)).select("l_orderkey", "prediction")
@@ -257,7 +267,7 @@ def fold_averaged_forecast(spark, sf):
 
 @register("stacked_forecast", "L10 L12")
 def stacked_forecast(spark, sf):
-    rows = I.training_rows(spark, sf)
+    rows = _training(spark, sf)
     test = P.in_test(F.col("l_orderkey"), 0.2)
     stack = M.build_stack(rows.filter(~test), "l_orderkey", "rating", _FX, bases=("forest", "linear"), meta="linear", k=3, **_QUICK)
     return stack.predict(rows.filter(test)).select("l_orderkey", "rating", "prediction")
@@ -265,13 +275,13 @@ def stacked_forecast(spark, sf):
 
 @register("meta_search", "L13 L12")
 def meta_search(spark, sf):
-    _, scores = M.search_regressor(I.training_rows(spark, sf), "gbt", _FX, "rating", {"maxDepth": [2, 4], "stepSize": [0.1, 0.3]}, maxIter=4)
+    _, scores = M.search_regressor(_training(spark, sf), "gbt", _FX, "rating", {"maxDepth": [2, 4], "stepSize": [0.1, 0.3]}, maxIter=4)
     return spark.createDataFrame([(int(p["maxDepth"]), float(p["stepSize"]), float(s)) for p, s in scores], "max_depth int, step_size double, rmse double")
 
 
 @register("range_model_forecast", "L11")
 def range_model_forecast(spark, sf):
-    rows = I.training_rows(spark, sf)
+    rows = _training(spark, sf)
     test = P.in_test(F.col("l_orderkey"), 0.2)
     model = M.RangeModels("linear", _FX).fit(rows.filter(~test), "rating")
     return model.predict(rows.filter(test)).select("l_orderkey", "rating", "prediction")
