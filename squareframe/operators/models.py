@@ -34,6 +34,18 @@ def rows_per_range(df: DataFrame, target: str, ranges=None, overlap: float = RAN
     return df.select("*", F.explode(mine).alias("_r")).select(*df.columns, F.col("_r.lo").alias("lo"), F.col("_r.hi").alias("hi"))
 
 
+def fit_side_by_side(session, fits: list[Callable], parallelism: int = 4) -> list:
+    """Run independent fits as concurrent Spark jobs, so that small ones do not leave the cluster idle."""
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark.util import inheritable_thread_target
+
+    if not fits:
+        return []
+    with ThreadPool(min(parallelism, len(fits))) as pool:
+        return pool.map(lambda f: f(), [inheritable_thread_target(session)(f) for f in fits])
+
+
 def assembler(features: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep")
 
@@ -47,7 +59,9 @@ def fit_classifier(train: DataFrame, label: str, features: list[str], trees: int
     if weight:
         forest = forest.setWeightCol(weight)
     index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="skip")
-    return Pipeline(stages=[index, assembler(features), forest]).fit(train)
+    model = Pipeline(stages=[index, assembler(features), forest]).fit(train)
+    # a copy leaves the training summary behind, which holds the session and cannot be sent to executors
+    return PipelineModel([*model.stages[:-1], model.stages[-1].copy()])
 
 
 def class_names(model: PipelineModel) -> list[str]:
@@ -76,7 +90,8 @@ def variation_models(train: DataFrame, family: str, variation: str, features: li
     sizes = train.filter(has_text(F.col(variation))).groupBy(family, variation).agg(F.count("*").alias("n")).groupBy(family).agg(
         F.sum("n").alias("n"), F.count("*").alias("classes"))
     eligible = [r[0] for r in sizes.filter((F.col("n") >= least_rows) & (F.col("classes") >= 2)).orderBy(family).collect()]
-    return {f: fit_classifier(train.filter((F.col(family) == f) & has_text(F.col(variation))), variation, features, **kw) for f in eligible}
+    fits = [lambda f=f: fit_classifier(train.filter((F.col(family) == f) & has_text(F.col(variation))), variation, features, **kw) for f in eligible]
+    return dict(zip(eligible, fit_side_by_side(train.sparkSession, fits)))
 
 
 def classify_variations(models: dict[str, PipelineModel], rows: DataFrame, key: str, family: str) -> DataFrame:
@@ -203,11 +218,8 @@ def importances(model: PipelineModel, features: list[str], spark) -> DataFrame:
 def out_of_fold(df: DataFrame, key: str, kind: str, features: list[str], target: str, k: int = 5, seed: int = 42, **kw):
     """Predictions of every row by the model that did not see it, and the k models."""
     rows = df.withColumn("fold", fold_of(F.col(key), k, seed))
-    models, parts = [], []
-    for i in range(k):
-        model = fit_regressor(rows.filter(F.col("fold") != i), kind, features, target, **kw)
-        models.append(model)
-        parts.append(with_prediction(model, rows.filter(F.col("fold") == i), "prediction").select(key, "fold", target, "prediction"))
+    models = fit_side_by_side(df.sparkSession, [lambda i=i: fit_regressor(rows.filter(F.col("fold") != i), kind, features, target, **kw) for i in range(k)])
+    parts = [with_prediction(m, rows.filter(F.col("fold") == i), "prediction").select(key, "fold", target, "prediction") for i, m in enumerate(models)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -289,9 +301,10 @@ class RangeModels:
 
     def fit(self, df: DataFrame, target: str) -> "RangeModels":
         sizes = {(r["lo"], r["hi"]): r["n"] for r in rows_per_range(df.select(target), target, self.ranges, self.overlap).groupBy("lo", "hi").agg(F.count("*").alias("n")).collect()}
-        for lo, hi in self.ranges:
-            if sizes.get((lo, hi), 0) >= self.least_rows:
-                self.models[(lo, hi)] = fit_regressor(df.filter(F.col(target).between(lo - self.overlap, hi + self.overlap)), self.kind, self.features, target, **self.kw)
+        used = [r for r in self.ranges if sizes.get(r, 0) >= self.least_rows]
+        fits = [lambda r=r: fit_regressor(df.filter(F.col(target).between(r[0] - self.overlap, r[1] + self.overlap)), self.kind, self.features, target,
+                                          **self.kw) for r in used]
+        self.models = dict(zip(used, fit_side_by_side(df.sparkSession, fits)))
         if self.meta_kind:
             self.meta = fit_regressor(self._base(df), self.meta_kind, self._names(), target)
         return self
