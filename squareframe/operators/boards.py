@@ -127,7 +127,7 @@ def cells_from_sets(df: DataFrame) -> DataFrame:
 
     The twelve sets fold to four bit planes of the piece number first, so each square needs four bit tests.
     """
-    planes = [S.union(*[F.col(n) for i, n in enumerate(S.SETS) if (i + 1) >> k & 1]) for k in range(4)]
+    planes = bit_planes()
     one = F.lit(1).cast("long")
 
     def text(p):
@@ -388,15 +388,14 @@ def developed_minor_columns() -> dict[str, Column]:
 
 # ---------------------------------------------------------------- comparing positions
 
+def bit_planes() -> list[Column]:
+    """The twelve sets as four sets: plane k holds the squares whose piece number (1 to 12, 0 for empty) has bit k."""
+    return [S.union(*[F.col(n) for i, n in enumerate(S.SETS) if (i + 1) >> k & 1]) for k in range(4)]
+
+
 def differing_squares(a: str, b: str) -> Column:
-    """Squares on which two boards differ; ``a`` and ``b`` prefix the set columns."""
-    same = F.lit(0)
-    for name in S.SETS:
-        same = same + S.size(S.common(F.col(a + name), F.col(b + name)))
-    occ_a = S.union(*[F.col(a + n) for n in S.SETS])
-    occ_b = S.union(*[F.col(b + n) for n in S.SETS])
-    both_empty = S.size(F.bitwise_not(occ_a.bitwiseOR(occ_b)))
-    return F.lit(64) - same - both_empty
+    """Squares on which two boards differ. ``a`` and ``b`` prefix the columns p0 to p3 made by :func:`bit_planes`."""
+    return S.size(S.union(*[F.col(f"{a}p{k}").bitwiseXOR(F.col(f"{b}p{k}")) for k in range(4)]))
 
 
 def position_similarity(a: str, b: str) -> Column:

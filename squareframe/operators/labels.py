@@ -119,8 +119,9 @@ def similar_book(rows: DataFrame, book: DataFrame, key: str, name: str = "name",
     masks = [S.constant(sum(1 << s for s in range(64) if s % bands == j)) for j in range(bands)]
 
     def banded(df, prefix, keep):
-        keys = F.array(*[F.xxhash64(F.lit(j), *[S.common(F.col(n), m) for n in S.SETS]) for j, m in enumerate(masks)])
-        return df.select(*keep, *[F.col(n).alias(prefix + n) for n in S.SETS], F.explode(keys).alias("band"))
+        planes = df.select(*keep, *[c.alias(f"{prefix}p{k}") for k, c in enumerate(B.bit_planes())])
+        keys = F.array(*[F.xxhash64(F.lit(j), *[S.common(F.col(f"{prefix}p{k}"), m) for k in range(4)]) for j, m in enumerate(masks)])
+        return planes.select("*", F.explode(keys).alias("band"))
 
     pairs = banded(rows, "a_", [key]).join(banded(book, "b_", [F.col(name).alias("name")]), "band")
     scored = pairs.select(key, "name", B.differing_squares("a_", "b_").alias("d")).filter(F.col("d") <= differing)

@@ -84,9 +84,12 @@ def replay(games: DataFrame, key: str, fen: str = "fen", moves: str = "moves") -
     """One row per ply: key, ply, move, from_sq, to_sq, piece, captured, promotion, castling, playable, boards around it,
     whether the list was playable so far, and its length.
 
-    Plies are numbered from 1; the colour to move alternates with the token, playable or not.
+    Plies are numbered from 1; the colour to move alternates with the token, playable or not. Games are spread by key
+    before they are replayed: the rows are still short then, the replay is the costly part, and every later
+    aggregation on the key finds its partitioning in place.
     """
-    start = games.select(
+    parts = int(games.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    start = games.repartition(parts, key).select(
         key, tokens(F.col(moves)).alias("_m"), B.cells_from_placement(B.placement_key(F.col(fen))).alias("_c"),
         (F.coalesce(F.get(F.split(fen, " "), F.lit(1)), F.lit("w")) == "w").alias("_w"))
     before = F.struct(

@@ -100,8 +100,9 @@ def side_relative_material(spark, sf):
   LEFT JOIN bd x ON x.board_id = a.board_id AND x.sq = s.sq LEFT JOIN bd y ON y.board_id = b.board_id AND y.sq = s.sq GROUP BY 1""")
 def position_similarity(spark, sf):
     b = I.boards(spark, sf).drop("white_to_move")
-    left = b.select(K, *[F.col(n).alias("a_" + n) for n in S.SETS])
-    right = b.select((F.col(K) - 1).alias(K), *[F.col(n).alias("b_" + n) for n in S.SETS])
+    planes = b.select(K, *[c.alias(f"p{k}") for k, c in enumerate(B.bit_planes())])
+    left = planes.select(K, *[F.col(f"p{k}").alias(f"a_p{k}") for k in range(4)])
+    right = planes.select((F.col(K) - 1).alias(K), *[F.col(f"p{k}").alias(f"b_p{k}") for k in range(4)])
     return left.join(right, K).select(K, B.position_similarity("a_", "b_").alias("similarity"))
 
 

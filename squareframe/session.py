@@ -17,6 +17,8 @@ def local_session(cpus: int | str = 8, memory: str = "16g", app: str = "squarefr
         .config("spark.sql.shuffle.partitions", str(cpus) if str(cpus).isdigit() else "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # generated methods over 8000 bytes would otherwise stay interpreted by the JVM; use the same flag on executors
+        .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")

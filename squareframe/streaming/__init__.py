@@ -1,0 +1 @@
+"""No streaming operators are owed. Row-local ones (decoding, token features, tag parsing, flags) take a streaming frame unchanged."""
