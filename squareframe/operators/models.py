@@ -34,8 +34,8 @@ def rows_per_range(df: DataFrame, target: str, ranges=None, overlap: float = RAN
     return df.select("*", F.explode(mine).alias("_r")).select(*df.columns, F.col("_r.lo").alias("lo"), F.col("_r.hi").alias("hi"))
 
 
-def fit_side_by_side(session, fits: list[Callable], parallelism: int = 4) -> list:
-    """Run independent fits as concurrent Spark jobs, so that small ones do not leave the cluster idle."""
+def fit_side_by_side(session, fits: list[Callable], parallelism: int = 1) -> list:
+    """Run independent fits, ``parallelism`` at a time. On one machine side-by-side fits were slower, so 1 is the default."""
     from multiprocessing.pool import ThreadPool
 
     from pyspark.util import inheritable_thread_target
