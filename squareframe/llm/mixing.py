@@ -3,7 +3,7 @@
 Every document of a source should be taken f = target / size of the source times. Its whole part is sure; the fraction is a chance. Blocks of documents of one
 source pair their fractions: a pair moves words from one to the other, in a random direction whose odds keep every chance as it was, until one of the two is a
 whole number. So the words taken never change within a pair. What a block can't settle (one survivor and a small ladder of documents of all sizes) goes up to the
-next level, ``FAN`` blocks at a time; the root rounds the ladder from large to small, each against the error so far.
+next level, ``FAN`` blocks at a time; the root rounds the ladder from large to small, so that the words taken end next to the target.
 """
 
 from __future__ import annotations
@@ -96,12 +96,13 @@ def _settle(u: dict[str, np.ndarray], last: bool) -> tuple[np.ndarray, np.ndarra
     if held is not None:
         up[rest[held]] = True
     if last:
-        error = 0.0
-        for i in np.flatnonzero(up):  # from large to small
-            lower, upper = frac[i] * size[i], (frac[i] - 1) * size[i]
-            gain = lower if abs(error + lower) <= abs(error + upper) else upper
-            error += gain
-            frac[i] = 0.0 if gain == lower else 1.0
+        error, rows = 0.0, np.flatnonzero(up)  # from large to small
+        lower, upper = frac[rows] * size[rows], (frac[rows] - 1) * size[rows]  # words missing, or too many, after rounding down or up
+        least, most = -(lower.sum() - np.cumsum(lower)), -(upper.sum() - np.cumsum(upper))  # errors that the smaller ones can still make good
+        for n, i in enumerate(rows):
+            down, over = error + lower[n], error + upper[n]
+            beyond = lambda e, n=n: (max(least[n] - e, e - most[n], 0.0), abs(e))
+            frac[i], error = (0.0, down) if beyond(down) <= beyond(over) else (1.0, over)
         up[:] = False
     back = np.empty(n, np.int64)
     back[order] = np.arange(n)
