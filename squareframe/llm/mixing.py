@@ -99,9 +99,9 @@ def _settle(u: dict[str, np.ndarray], last: bool) -> tuple[np.ndarray, np.ndarra
         error, rows = 0.0, np.flatnonzero(up)  # from large to small
         lower, upper = frac[rows] * size[rows], (frac[rows] - 1) * size[rows]  # words missing, or too many, after rounding down or up
         least, most = -(lower.sum() - np.cumsum(lower)), -(upper.sum() - np.cumsum(upper))  # errors that the smaller ones can still make good
-        for n, i in enumerate(rows):
-            down, over = error + lower[n], error + upper[n]
-            beyond = lambda e, n=n: (max(least[n] - e, e - most[n], 0.0), abs(e))
+        for r, i in enumerate(rows):
+            down, over = error + lower[r], error + upper[r]
+            beyond = lambda e, r=r: (max(least[r] - e, e - most[r], 0.0), abs(e))
             frac[i], error = (0.0, down) if beyond(down) <= beyond(over) else (1.0, over)
         up[:] = False
     back = np.empty(n, np.int64)

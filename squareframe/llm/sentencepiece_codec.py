@@ -139,11 +139,15 @@ class Codec:
         score[0] = 0.0
         merges, known, scores, admissible = self.merges, self.borders.get, self.scores, self._admissible
         strange = [e for e in range(1, n + 1) if word[e - 1] not in self.ids]
+
+        def unknown(e: int) -> None:
+            """A character without a piece: its bytes, unless a piece that ends there is better."""
+            if score[e - 1] is not None and (score[e] is None or score[e - 1] + UNKNOWN_SCORE > score[e]):
+                score[e], last[e], start[e] = score[e - 1] + UNKNOWN_SCORE, -1, e - 1
+
         for end, (i, size) in self.machine.iter(word):
-            while strange and strange[0] <= end:  # a character without a piece: only a path to it goes on
-                e = strange.pop(0)
-                if score[e - 1] is not None:
-                    score[e], start[e] = score[e - 1] + UNKNOWN_SCORE, e - 1
+            while strange and strange[0] <= end:
+                unknown(strange.pop(0))
             e = end + 1
             s = e - size
             before = score[s]
@@ -157,8 +161,7 @@ class Codec:
             if score[e] is None or before > score[e]:
                 score[e], last[e], start[e] = before, i, s
         for e in strange:
-            if score[e - 1] is not None:
-                score[e], start[e] = score[e - 1] + UNKNOWN_SCORE, e - 1
+            unknown(e)
         out: list[int] = []
         e = n
         while e:

@@ -73,8 +73,8 @@ def _signed(x: int) -> int:
 
 
 def _keys(fps: DataFrame, blocks: int, distance: int) -> DataFrame:
-    pairs = [F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(_masks(blocks, distance))]
-    return fps.select("fp", F.explode(F.array(*pairs)).alias("k")).select("k.choice", "k.bits", "fp")
+    masks = F.array(*[F.lit(_signed(m)) for m in _masks(blocks, distance)])  # folded to one constant
+    return fps.select("fp", F.posexplode(masks).alias("choice", "mask")).select("choice", F.col("fp").bitwiseAND(F.col("mask")).alias("bits"), "fp")
 
 
 def _forest(choice, bits, fp, distance):

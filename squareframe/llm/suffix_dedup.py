@@ -233,6 +233,12 @@ def _resolve(length: int):
         held: list[pa.RecordBatch] = []
 
         def work(t: pa.Table):
+            place = [t[c].to_numpy() for c in ("kgram", "doc", "mark", "a")]
+            again = np.ones(len(t) - 1, bool)
+            for x in place:
+                again &= x[1:] == x[:-1]
+            if again.any():  # rows that are equal in key and text brought the same regions
+                t = t.filter(pa.array(np.concatenate([[True], ~again]))).combine_chunks()
             data, off = _binary(t["piece"])
             kgram = t["kgram"].to_numpy()
             low, high = _shared(data, off, t["at"].to_numpy(), kgram, length)
@@ -283,11 +289,11 @@ def _spans(rows: DataFrame, placed: DataFrame, length: int, gram: int, parts: in
     anchors = rows.mapInArrow(_scan(length, gram), _ROW).repartition(parts, "kgram")
     region = Window.partitionBy("kgram", "region").orderBy("doc", "mark", "a")
     place = F.struct("doc", "mark", "a")
-    ranked = anchors.withColumn("first", F.first(place).over(region))
+    ranked = anchors.withColumn("first", F.first(place).over(region)).withColumn("nth", F.row_number().over(region))
     ranked = ranked.withColumn("several", F.min("region").over(Window.partitionBy("kgram")) != F.max("region").over(Window.partitionBy("kgram")))
     gone = (F.col("b") < 0) | (F.col("first") != place)
     size = F.when(F.col("b") < 0, -F.col("b")).otherwise(F.shiftright("b", 8))
-    found = ranked.where(gone | F.col("several")).select("doc", "mark", "a", "b", "kgram", gone.alias("gone"), (F.col("a") + size).alias("e"))
+    found = ranked.where(gone | (F.col("several") & (F.col("nth") == 1))).select("doc", "mark", "a", "b", "kgram", gone.alias("gone"), (F.col("a") + size).alias("e"))
     folder = f"{shared_folder(spark)}/suffix_dedup/{uuid.uuid4().hex}"
     found.write.parquet(folder)
     found = spark.read.parquet(folder)
