@@ -40,8 +40,8 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether decoding gives the text back."""
     path = public_tokenizers.path(queries.PIECES)
     marked = docs.withColumn("text_md5", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
-    back = sentencepiece_codec.decode_pieces(sentencepiece_codec.encode_pieces(marked, path), path)
-    return back.withColumn("decodes", F.md5(F.encode("decoded", "UTF-8")) == F.col("text_md5")).drop("decoded", "text_md5")
+    coded = sentencepiece_codec.encode_pieces(marked, path, "text", "decoded_md5")
+    return coded.withColumn("decodes", F.col("decoded_md5") == F.col("text_md5")).drop("decoded_md5", "text_md5")
 
 
 STAGES = [

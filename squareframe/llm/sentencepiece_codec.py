@@ -9,6 +9,7 @@ decoding gives back every text exactly.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from array import array
 from collections.abc import Iterator
@@ -23,8 +24,8 @@ from pyspark.sql.types import ArrayType, IntegerType
 from .flat import flat
 
 MARK = "▁"
-#: Segments that a Python worker remembers at most, and their length; beyond, it starts anew.
-SEGMENTS_KEPT, LONGEST_KEPT = 500_000, 48
+#: Segments, words and pairs of pieces that a Python worker remembers at most, and their length; beyond, it starts anew. About 200 MB in all.
+SEGMENTS_KEPT, WORDS_KEPT, BORDERS_KEPT, LONGEST_KEPT = 300_000, 300_000, 600_000, 48
 UNKNOWN_SCORE = -1e12
 _RUN = re.compile(r"(?=.)( *)([^ ]*)", re.DOTALL)
 
@@ -125,7 +126,7 @@ class Codec:
         key = i << 20 | j
         got = self.borders.get(key)
         if got is None:
-            if len(self.borders) > 1_000_000:
+            if len(self.borders) > BORDERS_KEPT:
                 self.borders.clear()
             got = self.borders[key] = self._border_stands(self.pieces[i], self.pieces[j])
         return got
@@ -233,7 +234,7 @@ class Codec:
             return b"".join(self._segments(" " + text))
         out = list(map(self.chunks.get, parts))
         if None in out:
-            if len(self.chunks) > SEGMENTS_KEPT:
+            if len(self.chunks) > WORDS_KEPT:
                 self.chunks.clear()
             for n, got in enumerate(out):
                 if got is None:
@@ -257,23 +258,33 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def encode_pieces(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``docs`` without the text column, with ``ids`` (array of int) and ``n_tokens``. A null text has no ids. Columns of these names are replaced."""
-    names = [c for c in docs.columns if c not in (text, "ids", "n_tokens")]
+def _lists(ids: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    """(list array, sizes) of encoded texts."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4"))), pa.array(sizes)
+
+
+def encode_pieces(docs: DataFrame, path: str, text: str = "text", decoded: str | None = None) -> DataFrame:
+    """``docs`` without the text column, with ``ids`` (array of int) and ``n_tokens``. A null text has no ids. Columns of these names are replaced.
+
+    ``decoded`` names a column for the MD5 digest of what the ids decode to, made in the same pass.
+    """
+    new = ["ids", "n_tokens", *([decoded] if decoded else [])]
+    names = [c for c in docs.columns if c != text and c not in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
             data, off = flat(b.column(text))
-            raw = data.tobytes()
-            for i in range(0, len(off) - 1, 256):
-                j = min(i + 256, len(off) - 1)
-                ids = [c.encode(raw[x:y].decode()) for x, y in zip(off[i:j].tolist(), off[i + 1:j + 1].tolist(), strict=True)]
-                sizes = np.fromiter(map(len, ids), np.int64, j - i) // 4
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                yield pa.RecordBatch.from_arrays([*(b.column(n).slice(i, j - i) for n in names), lists, pa.array(sizes)], [*names, "ids", "n_tokens"])
+            view = memoryview(data)
+            for i in range(0, b.num_rows, 64):
+                j = min(i + 64, b.num_rows)
+                ids = [c.encode(str(view[x:y], "utf-8")) for x, y in zip(off[i:j].tolist(), off[i + 1:j + 1].tolist(), strict=True)]
+                digest = [pa.array([hashlib.md5(c.decode(array("i", x)).encode()).hexdigest() for x in ids], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*(b.column(n).slice(i, j - i) for n in names), *_lists(ids), *digest], [*names, *new])
 
-    return docs.select(*names, text).mapInArrow(run, docs.select(*names).schema.add("ids", ArrayType(IntegerType())).add("n_tokens", "long"))
+    fields = docs.select(*names).schema.add("ids", ArrayType(IntegerType())).add("n_tokens", "long")
+    return docs.select(*names, text).mapInArrow(run, fields.add(decoded, "string") if decoded else fields)
 
 
 def decode_pieces(rows: DataFrame, path: str, name: str = "decoded") -> DataFrame:
@@ -293,6 +304,5 @@ def decode_pieces(rows: DataFrame, path: str, name: str = "decoded") -> DataFram
 
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids, text_md5, decoded_md5): the digests agree for every text. Repeated rows are kept; an empty table gives an empty result."""
-    t = docs.select(key, F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")).alias("text_md5"), text)
-    back = decode_pieces(encode_pieces(t, path, text), path)
-    return back.withColumn("decoded_md5", F.md5(F.encode("decoded", "UTF-8"))).select(key, "n_tokens", "ids", "text_md5", "decoded_md5")
+    t = docs.select(F.col(key), F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")).alias("text_md5"), F.col(text))
+    return encode_pieces(t, path, text, "decoded_md5").select(key, "n_tokens", "ids", "text_md5", "decoded_md5")

@@ -53,8 +53,8 @@ def fingerprints(docs: DataFrame, key: str, text: str, shingle: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = flat(b.column(2))
-            raw = data.tobytes()
-            fp = np.fromiter((fingerprint(raw[i:j], shingle) for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)), np.uint64, len(off) - 1)
+            view = memoryview(data)
+            fp = np.fromiter((fingerprint(bytes(view[i:j]), shingle) for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)), np.uint64, len(off) - 1)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["key", "mark", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()

@@ -97,11 +97,11 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         encoder, end = _encoder(path), np.array([end_id], "<i4").tobytes()
         for b in batches:
             data, off = flat(b.column(1))
-            raw = data.tobytes()
+            view = memoryview(data)
             i, n = 0, len(off) - 1
             while i < n:
                 j = max(i + 1, min(n, int(np.searchsorted(off, off[i] + (1 << 20), "right")) - 1))
-                ids = [encoder.encode(raw[x:y]) for x, y in zip(off[i:j].tolist(), off[i + 1:j + 1].tolist(), strict=True)]
+                ids = [encoder.encode(bytes(view[x:y])) for x, y in zip(off[i:j].tolist(), off[i + 1:j + 1].tolist(), strict=True)]
                 sizes = np.fromiter(map(len, ids), np.int64, j - i) // 4 + 1
                 values = pa.array(np.frombuffer(end.join([*ids, b""]), "<i4"))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
