@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import LOSS_RANGES, MODEL_RANGES, RANGE_OVERLAP
+from .splits import with_sum_before
 
 
 def rounded(c: Column, places: int = 6) -> Column:
@@ -54,14 +55,14 @@ def fold_errors(df: DataFrame, fold: str, target: str, forecast: str) -> DataFra
 
 
 def label_scores(df: DataFrame, label: str, truth: str, score: str, threshold: float = 0.5) -> DataFrame:
-    """F1 and AUC per label. The AUC is the rank sum over counts per distinct score, so the window never sees raw rows."""
-    from pyspark.sql import Window
-
+    """F1 and AUC per label. The AUC is the rank sum over counts per distinct score; the order is over (label, score) in range partitions, so a label with as many
+    scores as rows spreads over tasks."""
     pos, hit = F.col(truth) == 1, F.col(score) >= threshold
     counts = df.groupBy(label, score).agg(
         F.count_if(pos).alias("p"), F.count_if(~pos).alias("n"))
-    below = Window.partitionBy(label).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("n_below", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    counts = with_sum_before(counts, [label, score], "n", "_before")
+    starts = counts.groupBy(label).agg(F.min("_before").alias("_start"))
+    counts = counts.join(starts, label).withColumn("n_below", F.col("_before") - F.col("_start"))
     hit = F.col(score) >= threshold
     tp, fp = F.sum(F.when(hit, F.col("p")).otherwise(0)), F.sum(F.when(hit, F.col("n")).otherwise(0))
     fn = F.sum(F.when(~hit, F.col("p")).otherwise(0))

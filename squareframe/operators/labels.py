@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import squares as S
 from . import boards as B
+from .splits import exact_median
 from .tables import dominant_label, enhance_tags, has_text
 
 
@@ -189,4 +190,5 @@ def engine_summary(df: DataFrame, capture: Column, check: Column, promotion: Col
     """Shares of move kinds, mean depth, median score and errors of an engine result table."""
     pct = lambda c: F.round(F.avg(c.cast("int")) * 100, 6)
     return df.agg(F.count("*").alias("rows"), pct(capture).alias("capture_pct"), pct(check).alias("check_pct"), pct(promotion).alias("promotion_pct"),
-                  F.round(F.avg(depth), 6).alias("mean_depth"), F.round(F.percentile(score, F.lit(0.5)), 6).alias("median_score"), F.count_if(error).alias("errors"))
+                  F.round(F.avg(depth), 6).alias("mean_depth"), F.count_if(error).alias("errors")).withColumn(
+        "median_score", F.round(exact_median(df.select(score.alias("score")), "score").scalar(), 6))

@@ -6,22 +6,24 @@ several models are added as columns of one row, so combining them needs no shuff
 
 from __future__ import annotations
 
+import itertools
+import random
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import MODEL_RANGES, RANGE_OVERLAP
-from ..session import cut_lineage
-from .evaluate import range_weight
+from ..session import cut_lineage, shared_folder
+from .evaluate import label_scores, range_weight
 from .labels import assemble_predictions, blend, joined_tag, overall_confidence
 from .splits import fold_of, in_test
 from .tables import has_text
@@ -156,8 +158,10 @@ def fit_label_models(df: DataFrame, key: str, labels: list[str], features: list[
         test = in_test(F.col(key), 0.2, seed)
         learner = GBTClassifier(labelCol="_y", featuresCol="_x", maxIter=20, seed=seed) if boosted else LogisticRegression(
             labelCol="_y", featuresCol="_x", regParam=0.01)
-        model = Pipeline(stages=[assembler(features), learner]).fit(rows.filter(~test))
-        auc = BinaryClassificationEvaluator(labelCol="_y").evaluate(model.transform(rows.filter(test)))
+        model = without_summary(Pipeline(stages=[assembler(features), learner]).fit(rows.filter(~test)), df.sparkSession)
+        held = model.transform(rows.filter(test)).select(F.lit(name).alias("label"), "_y", F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
+        got = label_scores(held, "label", "_y", "score").first()  # one row per label
+        auc = got.auc if got is not None and got.auc is not None else 0.5
         keep = auc >= least_auc
         scores.append((name, float(auc), "kept" if keep else "dropped"))
         if keep:
@@ -191,7 +195,14 @@ def fit_regressor(df: DataFrame, kind: str, features: list[str], target: str, we
     learner = REGRESSORS[kind](labelCol=target, **kw)
     if weight:
         learner = learner.setWeightCol(weight)
-    return Pipeline(stages=[assembler(features), learner]).fit(df)
+    return without_summary(Pipeline(stages=[assembler(features), learner]).fit(df), df.sparkSession)
+
+
+def without_summary(model: PipelineModel, spark) -> PipelineModel:
+    """The model as it is read back from the shared folder: without the training summary, which holds on to the session and its plans."""
+    path = f"{shared_folder(spark)}/models/{uuid.uuid4().hex}"
+    save_model(model, path)
+    return load_model(path)
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -260,7 +271,7 @@ class Stack:
             rows = rows.join(oof.select(key, F.col("prediction").alias(f"{b}_pred")), key)
             self.models[b] = fit_regressor(df, b, self.features, target, **self.kw.get(b, {}))
         if search:
-            self.meta, _ = search_regressor(rows, self.meta_kind, self._meta_features(), target, search, **self.kw.get(self.meta_kind, {}))
+            self.meta, _ = search_regressor(rows, self.meta_kind, self._meta_features(), target, search, key, self.seed, **self.kw.get(self.meta_kind, {}))
         else:
             self.meta = fit_regressor(rows, self.meta_kind, self._meta_features(), target, **self.kw.get(self.meta_kind, {}))
         return self
@@ -277,18 +288,25 @@ def build_stack(df: DataFrame, key: str, target: str, features: list[str], bases
     return Stack(list(bases), meta, features, **kw).fit(df, key, target, search)
 
 
-def search_regressor(df: DataFrame, kind: str, features: list[str], target: str, grid: dict[str, list], parallelism: int = 4, seed: int = 42, **kw):
-    """Best model of a parameter grid by validation RMSE, and the (parameters, score) list."""
+def search_regressor(df: DataFrame, kind: str, features: list[str], target: str, grid: dict[str, list] | list[dict], key: str | None = None, seed: int = 42, **kw):
+    """Best model of a parameter grid, or of a list of picks, by RMSE on a hash split (by ``key``, else by the row), and the (parameters, score) list."""
     learner = REGRESSORS[kind](labelCol=target, **kw)
     pipe = Pipeline(stages=[assembler(features), learner])
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(learner.getParam(name), values)
-    maps = builder.build()
-    tuned = TrainValidationSplit(estimator=pipe, estimatorParamMaps=maps, evaluator=RegressionEvaluator(labelCol=target, metricName="rmse"),
-                                 trainRatio=0.8, parallelism=parallelism, seed=seed).fit(df)
-    scores = [({p.name: v for p, v in m.items()}, s) for m, s in zip(maps, tuned.validationMetrics)]
-    return tuned.bestModel, scores
+    picks = grid if isinstance(grid, list) else random_grid(grid, 1 << 30)
+    maps = [{learner.getParam(n): v for n, v in p.items()} for p in picks]
+    test = in_test(F.col(key), 0.2, seed) if key else in_test(F.concat_ws("|", target, *features), 0.2, seed)
+    train, held = cut_lineage(df.filter(~test)), cut_lineage(df.filter(test))
+    fits = [lambda m=m: pipe.fit(train, m) for m in maps]
+    models = [without_summary(m, df.sparkSession) for m in fit_side_by_side(df.sparkSession, fits)]
+    errors = [log_rmse(m.transform(held), target) for m in models]
+    scores = [({p.name: v for p, v in m.items()}, e) for m, e in zip(maps, errors)]
+    return models[min(range(len(errors)), key=errors.__getitem__)], scores
+
+
+def random_grid(choices: dict[str, list], draws: int = 100, seed: int = 42) -> list[dict]:
+    """``draws`` different random picks from the choices (all, if there are fewer): the parameters of a search without a full grid."""
+    every = [dict(zip(choices, values)) for values in itertools.product(*choices.values())]
+    return random.Random(seed).sample(every, min(draws, len(every)))
 
 
 class RangeModels:
@@ -305,8 +323,12 @@ class RangeModels:
         fits = [lambda r=r: fit_regressor(df.filter(F.col(target).between(r[0] - self.overlap, r[1] + self.overlap)), self.kind, self.features, target,
                                           **self.kw) for r in used]
         self.models = dict(zip(used, fit_side_by_side(df.sparkSession, fits)))
-        if self.meta_kind:
-            self.meta = fit_regressor(self._base(df), self.meta_kind, self._names(), target)
+        if self.meta_kind:  # half of the rows fit stand-ins of the base models, the other half's predictions train the meta learner
+            side = in_test(F.concat_ws("|", target, *self.features), 0.5)
+            bases, self.models = self.models, {r: fit_regressor(df.filter(~side & F.col(target).between(r[0] - self.overlap, r[1] + self.overlap)), self.kind, self.features, target, **self.kw)
+                                               for r in self.models}
+            self.meta = fit_regressor(self._base(df.filter(side)), self.meta_kind, self._names(), target)
+            self.models = bases
         return self
 
     def _names(self) -> list[str]:

@@ -102,15 +102,16 @@ def replay(games: DataFrame, key: str, fen: str = "fen", moves: str = "moves") -
         last = F.element_at(states, -1)
         return F.concat(states, F.array(apply_move(last["cells"], s["m"], s["w"], last["follows"])))
 
-    rows = (
-        start.withColumn("_s", F.aggregate(steps, F.array(before), step))
-        .select(key, "_w", "_s", F.size("_m").alias("n_plies"), F.posexplode("_m").alias("_i", "move"))
-        .withColumn("_r", F.get("_s", F.col("_i") + 1)))
+    states = start.withColumn("_s", F.aggregate(steps, F.array(before), step))
+    # each ply gets the two states around it, never the array of all of them
+    around = F.transform(F.col("_m"), lambda m, i: F.struct(m.alias("move"), F.get("_s", i)["cells"].alias("before"), F.get("_s", i + 1).alias("r")))
+    rows = states.select(key, "_w", F.size("_m").alias("n_plies"), around.alias("_a")).select(key, "_w", "n_plies", F.posexplode("_a").alias("_i", "_p")).select(
+        key, "_w", "n_plies", "_i", F.col("_p.move").alias("move"), F.col("_p.before").alias("_before"), F.col("_p.r").alias("_r"))
     r = F.col("_r")
     return rows.select(
         key, (F.col("_i") + 1).alias("ply"), "move", (F.col("_w") == (F.col("_i") % 2 == 0)).cast("int").alias("white_moves"),
         r["playable"].cast("int").alias("playable"), *[r[n].alias(n) for n in ("from_sq", "to_sq", "piece", "captured", "promotion", "castling")],
-        F.get("_s", F.col("_i"))["cells"].alias("before"), r["cells"].alias("cells"), r["follows"].alias("follows"), "n_plies")
+        F.col("_before").alias("before"), r["cells"].alias("cells"), r["follows"].alias("follows"), "n_plies")
 
 
 def letter_balance(cells: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import MAX_MISSING_SHARE, RATING_BOUNDS
+from .splits import exact_median
 
 
 class ValidationError(ValueError):
@@ -57,7 +58,8 @@ def target_profile(df: DataFrame, column: str) -> DataFrame:
     c = F.col(column)
     return df.agg(
         F.round(F.min(c), 6).alias("target_min"), F.round(F.max(c), 6).alias("target_max"), F.round(F.avg(c), 6).alias("target_mean"),
-        F.round(F.percentile(c, F.lit(0.5)), 6).alias("target_median"), F.round(F.stddev_samp(c), 6).alias("target_std"))
+        F.round(F.stddev_samp(c), 6).alias("target_std")).withColumn("target_median", F.round(exact_median(df, column).scalar(), 6)).select(
+        "target_min", "target_max", "target_mean", "target_median", "target_std")
 
 
 def matrix_check(df: DataFrame, columns: list[str], bound: float = 1000.0) -> DataFrame:

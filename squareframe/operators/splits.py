@@ -43,6 +43,27 @@ def with_global_rank(df: DataFrame, order: list[str], rank: str = "rank") -> Dat
     return numbered.join(F.broadcast(offsets), "_part").withColumn(rank, F.col("_off") + F.col("_pos")).drop("_part", "_pos", "_off")
 
 
+def with_sum_before(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+    """Exact sum of ``value`` over all rows before a row in a total order, by range partitions as in ``with_global_rank``."""
+    dealt = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
+    dealt = cut_lineage(dealt)
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    starts = dealt.groupBy("_part").agg(F.sum(value).alias("_all")).select("_part", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_start"))
+    placed = dealt.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(F.broadcast(starts), "_part")
+    return placed.withColumn(out, F.col("_start") + F.col("_inside")).drop("_part", "_inside", "_start")
+
+
+def exact_median(df: DataFrame, column: str) -> DataFrame:
+    """One row ``median``: mean of the two middle values, null without any. Values are counted first, so a common one is a single row of the ranking."""
+    counts = df.select(F.col(column).cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    ranked = with_sum_before(counts, ["v"], "n", "below")
+    total = ranked.agg(F.sum("n")).scalar()
+    low, high = F.floor((total - 1) / 2), F.floor(total / 2)
+    holds = lambda r: (F.col("below") <= r) & (r < F.col("below") + F.col("n"))
+    return ranked.agg(((F.max(F.when(holds(low), F.col("v"))) + F.max(F.when(holds(high), F.col("v")))) / 2).alias("median"))
+
+
 def with_rank_in_label(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
     """Random but repeatable position of each row within its label, and the label size."""
     hashed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))

@@ -5,21 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .tags import token_rows, vocabulary
 
 
-def words_of(text: Column) -> Column:
-    """Lower-case words of two or more letters or digits, the usual default of text vectorisers."""
-    return F.array_join(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), " ")
-
-
 def tf_idf(df: DataFrame, key: str, text: Column, least: int = 1, most: int | None = None) -> DataFrame:
     """(key, token, weight): tf times smooth idf, each row scaled to length 1.
 
-    Counts per (key, token) are made once and reused; document frequencies come from those counts. The norm is an
-    aggregate per key joined back on the same key, so a long document is never one window frame.
+    Counts per (key, token) are made once and written; document frequencies come from those counts. Weights are spread by key once: the norm is an
+    aggregate on that partitioning, joined back in place, so a long document is never one window frame.
     """
-    counts = token_rows(df, key, text).groupBy(key, "token").agg(F.count("*").alias("tf"))
+    counts = cut_lineage(token_rows(df, key, text).groupBy(key, "token").agg(F.count("*").alias("tf")))  # the text is split once
     if most is None:
         vocab = counts.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("n")).filter(F.col("df") >= least)
     else:
@@ -27,7 +23,8 @@ def tf_idf(df: DataFrame, key: str, text: Column, least: int = 1, most: int | No
             F.desc("n"), F.asc("token")).limit(most)
     n_docs = df.agg(F.count("*")).scalar()
     idf = vocab.select("token", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = counts.join(idf, "token").select(key, "token", (F.col("tf") * F.col("idf")).alias("w"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    weighted = counts.join(idf, "token").select(key, "token", (F.col("tf") * F.col("idf")).alias("w")).repartition(parts, key)
     norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weighted.join(norms, key).select(key, "token", (F.col("w") / F.col("norm")).alias("weight"))
 
@@ -66,14 +63,23 @@ def term_vectors(df: DataFrame, key: str, text: Column, least: int = 2, most: in
 
 
 def svd_features(df: DataFrame, key: str, text: Column, k: int = 10, least: int = 2, most: int = 1000) -> DataFrame:
-    """(key, svd_0 .. svd_{k-1}): principal directions of the term vectors, keyed by row."""
+    """(key, svd_0 .. svd_{k-1}): principal directions of the term vectors, keyed by row; zeros beyond the number of terms."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import vector_to_array
 
-    _, vectors = term_vectors(df, key, text, least, most)
-    out = PCA(k=k, inputCol="features", outputCol="svd").fit(vectors).transform(vectors)
+    if not _has_terms(df, key, text, least):
+        return df.select(key, *[F.lit(0.0).alias(f"svd_{i}") for i in range(k)])
+    model, vectors = term_vectors(df, key, text, least, most)
+    size = min(k, len(model.stages[0].vocabulary))
+    out = PCA(k=size, inputCol="features", outputCol="svd").fit(vectors).transform(vectors)
     a = vector_to_array("svd")
-    return out.select(key, *[F.get(a, F.lit(i)).alias(f"svd_{i}") for i in range(k)])
+    return out.select(key, *[(F.get(a, F.lit(i)) if i < size else F.lit(0.0)).alias(f"svd_{i}") for i in range(k)])
+
+
+def _has_terms(df: DataFrame, key: str, text: Column, least: int) -> bool:
+    """Whether any token stands in ``least`` rows; without one there is no vocabulary to fit."""
+    tokens = df.select(key, F.explode(F.array_distinct(_tokens(F.lower(text)))).alias("t"))
+    return not tokens.groupBy("t").count().where(F.col("count") >= least).limit(1).isEmpty()
 
 
 def topic_features(df: DataFrame, key: str, text: Column, k: int = 8, most: int = 200, least: int = 2, seed: int = 42,
@@ -83,6 +89,8 @@ def topic_features(df: DataFrame, key: str, text: Column, k: int = 8, most: int
     from pyspark.ml.feature import CountVectorizer
     from pyspark.ml.functions import vector_to_array
 
+    if not _has_terms(df, key, text, least):
+        return df.select(key, *[F.lit(1.0 / k).alias(f"topic_{i}") for i in range(k)], F.lit(0).alias("dominant_topic"))
     rows = df.select(key, _tokens(F.lower(text)).alias("tokens"))
     counts = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=most, minDF=least).fit(rows).transform(rows)
     topics = LDA(k=k, seed=seed, maxIter=iterations).fit(counts).transform(counts)

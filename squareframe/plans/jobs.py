@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +18,14 @@ from ..operators import plies as Y
 from ..operators import quality as Q
 from ..operators import tables as D
 from ..operators import tags as G
+from ..operators import text as X
 from ..session import cut_lineage
 from ..sources import readers as R
 from ..sources import store as W
 
+#: Raised whenever a feature changes, so that stages of older code are not read again.
+FEATURE_VERSION = 2
+PREDICTED_MARKER = r"\s*\(predicted[^()]*\)"
 DEFAULTS = {"fen": EMPTY_BOARD, "moves": "", "line": "", "themes": "", "opening_tags": ""}
 
 
@@ -73,13 +79,23 @@ def theme_features(df: DataFrame, key: str, most: int = 100, least: int = 5) ->
     return E.project(df, key, {**G.theme_columns(t), **G.one_hot(t, words, "theme"), **G.category_columns(t)})
 
 
-def opening_features(df: DataFrame, key: str, tag: str = "opening_tags", families: int = 30, variations: int = 50, keywords: int = 50,
-                     least: tuple[int, int, int] = (20, 10, 50)) -> DataFrame:
+def opening_features(df: DataFrame, key: str, tag: str = "opening_tags", families: int = 100, variations: int = 75, keywords: int = 200,
+                     least: tuple[int, int, int] = (20, 10, 50), vocabulary: DataFrame | None = None) -> DataFrame:
+    """Flags of families, variations and keywords. ``vocabulary`` (column ``tag``) leaves only tags that it lists, which also drops the marker of predicted ones,
+    and its names come first in the ranking; without it the marker is cut off and counts alone rank."""
+    if vocabulary is not None:
+        kept = G.listed_tags(df, key, tag, vocabulary).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "tag"))).alias("_l"))
+        df = df.select(key).join(kept, key, "left").select(key, F.coalesce(F.array_join("_l.tag", " "), F.lit("")).alias(tag))
+        listed = G.parsed_tags(vocabulary.select("tag", F.col("tag").alias("_t")), "tag", "_t")
+        known_fam, known_var = (c.select("name") for c in G.name_counts(listed))
+    else:
+        df = df.select(key, F.trim(F.regexp_replace(F.coalesce(tag, F.lit("")), PREDICTED_MARKER, "")).alias(tag))
+        known_fam = known_var = df.sparkSession.createDataFrame([], "name string")
     parsed = G.parsed_tags(df, key, tag)
     fam, var = G.name_counts(parsed)
     words = parsed.select(F.explode("parts").alias("token")).filter(F.length("token") > 2)
     top = lambda counts, n, lo: [r[0] for r in counts.filter(F.col("n") >= lo).orderBy(F.desc("n"), "name").limit(n).collect()]
-    fams, vars_ = top(fam, families, least[0]), top(var, variations, least[1])
+    fams, vars_ = ([r.name for r in G.top_names(c, known, n, lo).collect()] for c, known, n, lo in ((fam, known_fam, families, least[0]), (var, known_var, variations, least[1])))
     kws = top(G.vocabulary(words).withColumnRenamed("token", "name"), keywords, least[2])
     p = F.col("parts")
     rows = parsed.select(key, "n_tags", "parts", G.standard_family(p).alias("_f"), G.variation_columns(p)["variation"].alias("_v"))
@@ -93,13 +109,26 @@ def pattern_evidence(df: DataFrame, key: str, tag: str = "opening_tags", line: s
     return L.mapped_label(rows, L.pattern_mapping(rows, known, key), key)
 
 
-def complete_features(puzzles: DataFrame, key: str = "puzzle_id", infer_tags: bool = True, trees: int = 50, depth: int = 6) -> DataFrame:
-    """Seven feature sets side by side: position, moves, ECO, move analysis, themes, openings with inferred tags, provenance.
+def text_features(df: DataFrame, key: str, columns: tuple[str, ...] = ("themes", "opening_tags")) -> dict[str, DataFrame]:
+    """TF-IDF components, hashed tokens and topics of each text column, names prefixed by the column."""
+    sets = {}
+    for c in columns:
+        rows = df.select(key, F.translate(F.coalesce(c, F.lit("")), "_", " ").alias("_text"))
+        for kind, got in (("svd", X.svd_features(rows, key, F.col("_text"))), ("hash", X.hashed_features(rows, key, F.col("_text"))), ("topic", X.topic_features(rows, key, F.col("_text")))):
+            sets[f"{c}_{kind}"] = got.select(key, *[F.col(n).alias(f"{c}_{n}") for n in got.columns if n != key])
+    return sets
+
+
+def complete_features(puzzles: DataFrame, key: str = "puzzle_id", infer_tags: bool = True, trees: int = 50, depth: int = 6, vocabulary: DataFrame | None = None,
+                      text_vectors: bool = True) -> DataFrame:
+    """Feature sets side by side: position, moves, ECO, move analysis, themes, openings with inferred tags, provenance, text vectors.
+
+    A table without a notation column ``line`` gets the zero columns of the sets that read it. ``vocabulary``: see ``opening_features``.
 
     Decoded boards and the position, move and ECO sets are written once to the shared folder, because several later
     steps read them.
     """
-    df = preprocess(puzzles)
+    df = preprocess(puzzles if "line" in puzzles.columns else puzzles.withColumn("line", F.lit("")))
     boards = cut_lineage(B.decode_positions(df.select(key, "fen")).select(key, "white_to_move", *B.S.SETS))
     base = cut_lineage(D.align({"position": position_features(boards, key), "move": move_features(df, key), "eco": eco_features(df, key)}, key))
     sets = {"base": base, "analysis": move_analysis_features(df, key), "theme": theme_features(df, key)}
@@ -115,7 +144,10 @@ def complete_features(puzzles: DataFrame, key: str = "puzzle_id", infer_tags: bo
         sets["provenance"] = E.project(j, key, D.provenance_columns(F.col("opening_tags"), conf))
     else:
         tagged = df.select(key, "opening_tags")
-    sets["opening"] = opening_features(tagged, key)
+    tagged = cut_lineage(tagged)
+    sets["opening"] = opening_features(tagged, key, vocabulary=vocabulary)
+    if text_vectors:
+        sets |= text_features(df.select(key, "themes").join(tagged, key), key)
     return D.align(sets, key)
 
 
@@ -129,10 +161,14 @@ def data_job(train: DataFrame, test: DataFrame, root: str, key: str = "puzzle_id
     Q.require_columns(train, list(required))
     Q.require_columns(test, list(required), is_train=False)
     Q.require_complete(train, [c for c in required if c in train.columns])
+    Q.require_complete(test, [c for c in required if c in test.columns])
     both = R.union_tables(train, test)
     fp = W.fingerprint(both)
     ready = W.stage_or_compute(both, root, "preprocessed", preprocess, fp)
-    feats = W.stage_or_compute(ready, root, "features", lambda df: complete_features(df, key, **features), fp)
+    listed = features.get("vocabulary")
+    settings = sorted((k, W.fingerprint(v) if isinstance(v, DataFrame) else repr(v)) for k, v in features.items())
+    made = hashlib.md5(repr((fp, FEATURE_VERSION, key, settings, listed is None)).encode()).hexdigest()  # other settings or another version: another stage
+    feats = W.stage_or_compute(ready, root, "features", lambda df: complete_features(df, key, **features), made)
     joined = ready.select(key, "is_train", "rating").join(feats.drop("rating", "is_train"), key)
     profile = Q.target_profile(train, "rating").withColumn("out_of_range", Q.out_of_range(train, "rating").select("out_of_range").scalar())
     names = profile.columns

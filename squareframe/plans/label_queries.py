@@ -143,9 +143,6 @@ def fold_mean_forecast(spark, sf):
 
 # ---------------------------------------------------------------- learned labels
 
-_SMALL = {"trees": 15, "depth": 5}
-
-
 def _documents(spark, sf):
     """Materialised once: every fit and every prediction below reads the same rows."""
     return cut_lineage(I.document_features(spark, sf))
@@ -159,28 +156,28 @@ def _training(spark, sf):
 def family_classifier(spark, sf):
     rows = _documents(spark, sf)
     known = rows.filter(D.has_text(F.col("tag"))).withColumn("family", L.primary_family(F.col("tag")))
-    model = M.fit_classifier(known, "family", I.DOCUMENT_FEATURES, **_SMALL)
+    model = M.fit_classifier(known, "family", I.DOCUMENT_FEATURES)
     return M.classify(model, rows.filter(~D.has_text(F.col("tag"))), "doc_id")
 
 
 @register("variation_classifiers", "L2")
 def variation_classifiers(spark, sf):
     rows = _documents(spark, sf).withColumns({"family": F.col("lang"), "variation": F.col("source")})
-    models = M.variation_models(rows.filter(D.has_text(F.col("tag"))), "family", "variation", I.DOCUMENT_FEATURES, **_SMALL)
+    models = M.variation_models(rows.filter(D.has_text(F.col("tag"))), "family", "variation", I.DOCUMENT_FEATURES)
     return M.classify_variations(models, rows.filter(~D.has_text(F.col("tag"))), "doc_id", "family")
 
 
 @register("missing_tag_predictions", "L1 L2 L3 L4 L5")
 def missing_tag_predictions(spark, sf):
     rows = _documents(spark, sf)
-    return M.predict_missing(rows, "doc_id", "tag", L.primary_family(F.col("tag")), L.variation(F.col("tag")), I.DOCUMENT_FEATURES, **_SMALL)
+    return M.predict_missing(rows, "doc_id", "tag", L.primary_family(F.col("tag")), L.variation(F.col("tag")), I.DOCUMENT_FEATURES)
 
 
 @register("balanced_label_forest", "L16")
 def balanced_label_forest(spark, sf):
     rows = _documents(spark, sf)
     known = M.balanced_weights(rows.filter(D.has_text(F.col("tag"))).withColumn("family", L.primary_family(F.col("tag"))), "family")
-    model = M.fit_classifier(known, "family", I.DOCUMENT_FEATURES, weight="_w", **_SMALL)
+    model = M.fit_classifier(known, "family", I.DOCUMENT_FEATURES, weight="_w")
     pred = M.classify(model, rows.filter(~D.has_text(F.col("tag"))), "doc_id")
     hits = F.when(F.col("conf") >= 0.7, F.col("conf")).otherwise(0.0)
     return pred.select("doc_id", "label", "conf", *[F.when(F.col("label") == n, hits).otherwise(0.0).alias(f"open_fam_{n}") for n in M.class_names(model)])
@@ -204,7 +201,7 @@ def weighted_training_errors(spark, sf):
     """Forest trained with provenance weights; accuracy per provenance class on held-out rows."""
     rows = _documents(spark, sf).join(_weighted(spark, sf).select("doc_id", "weight", "high_confidence_inference", "has_tag"), "doc_id")
     test = P.in_test(F.col("doc_id"), 0.2)
-    model = M.fit_classifier(rows.filter(~test), "lang", I.DOCUMENT_FEATURES, weight="weight", **_SMALL)
+    model = M.fit_classifier(rows.filter(~test), "lang", I.DOCUMENT_FEATURES, weight="weight")
     pred = M.classify(model, rows.filter(test), "doc_id").join(rows.select("doc_id", "lang", "has_tag", "high_confidence_inference"), "doc_id")
     cls = F.when(F.col("has_tag") == 1, "original").when(F.col("high_confidence_inference") == 1, "inferred").otherwise("none")
     return pred.groupBy(cls.alias("provenance")).agg(F.count("*").alias("n"), rounded(F.avg((F.col("label") == F.col("lang")).cast("int"))).alias("accuracy"))
@@ -213,20 +210,19 @@ def weighted_training_errors(spark, sf):
 @register("embedding_clusters", "L15")
 def embedding_clusters(spark, sf):
     c = I.curve(spark, sf)
-    return M.clusters(c, "vec_id", [n for n in c.columns if n.startswith("success_prob_")], k=10)
+    return M.clusters(c, "vec_id", [n for n in c.columns if n.startswith("success_prob_")])
 
 
 @register("curve_embeddings", "L14")
 def curve_embeddings(spark, sf):
     c = I.curve(spark, sf)
     modes = {m: [n for n in c.columns if m in n] for m in ("rapid", "blitz")}
-    return M.curve_embeddings(c, "vec_id", modes, 4)
+    return M.curve_embeddings(c, "vec_id", modes)
 
 
 # ---------------------------------------------------------------- regressors
 
 _FX = I.TRAINING_FEATURES
-_QUICK = {"gbt": {"maxIter": 5, "maxDepth": 4}, "forest": {"numTrees": 8, "maxDepth": 6}}
 
 
 @register("regressor_errors", "L8 A10")
@@ -238,7 +234,7 @@ def regressor_errors(spark, sf):
     root, out = W.new_folder(spark, "models"), None
     for kind in ("linear", "forest", "gbt"):
         path = os.path.join(root, kind)
-        M.save_model(M.fit_regressor(train, kind, _FX, "rating", **_QUICK.get(kind, {})), path)
+        M.save_model(M.fit_regressor(train, kind, _FX, "rating"), path)
         e = V.regression_errors(M.with_prediction(M.load_model(path), held, "p"), "rating", "p").withColumn("model", F.lit(kind))
         out = e if out is None else out.unionByName(e)
     base = V.regression_errors(held.withColumn("p", train.agg(F.avg("rating")).scalar()), "rating", "p").withColumn("model", F.lit("mean"))
@@ -247,7 +243,7 @@ def regressor_errors(spark, sf):
 
 @register("feature_importances", "L20")
 def feature_importances(spark, sf):
-    model = M.fit_regressor(_training(spark, sf), "forest", _FX, "rating", **_QUICK["forest"])
+    model = M.fit_regressor(_training(spark, sf), "forest", _FX, "rating")
     return M.importances(model, _FX, spark)
 
 
@@ -261,7 +257,7 @@ def fold_training(spark, sf):
 def fold_averaged_forecast(spark, sf):
     rows = _training(spark, sf)
     test = P.in_test(F.col("l_orderkey"), 0.2, 7)
-    _, models = M.out_of_fold(rows.filter(~test), "l_orderkey", "linear", _FX, "rating", 3)
+    _, models = M.out_of_fold(rows.filter(~test), "l_orderkey", "linear", _FX, "rating")
     return M.averaged(models, rows.filter(test)).select("l_orderkey", "prediction")
 
 
@@ -269,14 +265,16 @@ def fold_averaged_forecast(spark, sf):
 def stacked_forecast(spark, sf):
     rows = _training(spark, sf)
     test = P.in_test(F.col("l_orderkey"), 0.2)
-    stack = M.build_stack(rows.filter(~test), "l_orderkey", "rating", _FX, bases=("forest", "linear"), meta="linear", k=3, **_QUICK)
+    stack = M.build_stack(rows.filter(~test), "l_orderkey", "rating", _FX, bases=("forest", "linear"), meta="linear")
     return stack.predict(rows.filter(test)).select("l_orderkey", "rating", "prediction")
 
 
 @register("meta_search", "L13 L12")
 def meta_search(spark, sf):
-    _, scores = M.search_regressor(_training(spark, sf), "gbt", _FX, "rating", {"maxDepth": [2, 4], "stepSize": [0.1, 0.3]}, maxIter=4)
-    return spark.createDataFrame([(int(p["maxDepth"]), float(p["stepSize"]), float(s)) for p, s in scores], "max_depth int, step_size double, rmse double")
+    """A hundred random picks of a penalised linear meta learner's parameters, each judged on the same hash split."""
+    picks = M.random_grid({"regParam": [round(0.001 * 1.6 ** i, 6) for i in range(25)], "elasticNetParam": [i / 9 for i in range(10)]}, 100)
+    _, scores = M.search_regressor(_training(spark, sf), "linear", _FX, "rating", picks, "l_orderkey")
+    return spark.createDataFrame([(float(p["regParam"]), float(p["elasticNetParam"]), float(s)) for p, s in scores], "reg_param double, elastic_net double, rmse double")
 
 
 @register("range_model_forecast", "L11")

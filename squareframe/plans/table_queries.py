@@ -404,8 +404,8 @@ def fold_errors(spark, sf):
     return V.fold_errors(I.rated(spark, sf).withColumn("fold", P.fold_of(F.col("o_orderkey"))), "fold", "rating", "prediction")
 
 
-_SCORES = """sc AS (SELECT 'quality' AS label, quality AS truth, round(n_chars % 1000 / 1000.0, 1) AS score FROM pl WHERE quality IS NOT NULL
-  UNION ALL SELECT 'toxic', toxic, round(n_chars % 777 / 777.0, 1) FROM pl WHERE toxic IS NOT NULL)"""
+_SCORES = """sc AS (SELECT 'quality' AS label, quality AS truth, n_chars % 1000 / 1000.0 AS score FROM pl WHERE quality IS NOT NULL
+  UNION ALL SELECT 'toxic', toxic, n_chars % 777 / 777.0 FROM pl WHERE toxic IS NOT NULL)"""
 
 
 @register("label_scores", "A13", O.with_(O.LABELS, _SCORES) + """, pairs AS (SELECT a.label, sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) / count(*) AS auc
@@ -415,7 +415,7 @@ _SCORES = """sc AS (SELECT 'quality' AS label, quality AS truth, round(n_chars %
   SELECT label, round(CAST(f1 AS DOUBLE), 6) AS f1, round(CAST(auc AS DOUBLE), 6) AS auc FROM f JOIN pairs USING (label)""")
 def label_scores(spark, sf):
     pl = I.partial_labels(spark, sf)
-    part = [pl.filter(f"{n} is not null").select(F.lit(n).alias("label"), F.col(n).alias("truth"), F.round(F.col("n_chars") % m / float(m), 1).alias("score"))
+    part = [pl.filter(f"{n} is not null").select(F.lit(n).alias("label"), F.col(n).alias("truth"), (F.col("n_chars") % m / float(m)).alias("score"))
             for n, m in (("quality", 1000), ("toxic", 777))]
     return V.label_scores(part[0].unionByName(part[1]), "label", "truth", "score")
 

@@ -106,7 +106,7 @@ def opening_tag_parts(spark, sf):
 
 @register("camel_case_parts", "T4 T20", "SELECT p_partkey, array_to_string(regexp_extract_all(upper(substr(p_name, 1, 1)) || substr(replace(p_name, ' ', 'X'), 2), '[A-Z][a-z0-9''\\-]*'), '|') AS parts FROM part")
 def camel_case_parts(spark, sf):
-    name = F.concat(F.upper(F.substring("p_name", 1, 1)), F.substring(F.replace("p_name", F.lit(" "), F.lit("X")), 2, 200))
+    name = F.concat(F.upper(F.substring("p_name", 1, 1)), F.substr(F.replace("p_name", F.lit(" "), F.lit("X")), F.lit(2)))
     return table(spark, sf, "part").select("p_partkey", F.array_join(G.tag_parts(name), "|").alias("parts"))
 
 
@@ -213,12 +213,12 @@ def hashed_tokens(spark, sf):
 
 @register("svd_text_features", "T17")
 def svd_text_features(spark, sf):
-    return X.svd_features(table(spark, sf, "documents"), "doc_id", F.col("text"), k=10, least=3, most=300)
+    return X.svd_features(table(spark, sf, "documents"), "doc_id", F.col("text"), k=10)
 
 
 @register("topic_text_features", "T19")
 def topic_text_features(spark, sf):
-    return X.topic_features(table(spark, sf, "documents"), "doc_id", F.col("text"), k=8, most=200, iterations=8)
+    return X.topic_features(table(spark, sf, "documents"), "doc_id", F.col("text"), k=8)
 
 
 # ---------------------------------------------------------------- scalar functions

@@ -29,10 +29,15 @@ def local_session(cpus: int | str = 8, memory: str = "16g", app: str = "squarefr
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder the cluster names in ``spark.checkpoint.dir``, else the one given to ``setCheckpointDir``.
+
+    A temporary folder is made only for a local master, where driver and tasks are one process; on a cluster each executor would write to its own disk.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", made)
     return made

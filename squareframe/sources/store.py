@@ -103,8 +103,14 @@ def export_table(df: DataFrame, root: str, name: str) -> tuple[str, str]:
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    """Ordered one-column text as one file. Submissions hold one short line per test row, so one writer is enough."""
-    lines.coalesce(1).write.mode("overwrite").text(path)
+    """Ordered one-column text. Part files are numbered in the order of the rows, so their names in order give the whole; no task holds more than its range."""
+    lines.write.mode("overwrite").text(path)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a stage or export folder on any file system Spark can reach."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def append_metrics(metrics: DataFrame, root: str) -> None:
