@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..fixed_values import LOSS_RANGES, MODEL_RANGES, RANGE_OVERLAP
+from ..fixed_values import LOSS_RANGES, RANGE_OVERLAP
 from .splits import with_sum_before
 
 
@@ -106,7 +106,3 @@ def combine_ranges(preds: DataFrame, key: str, pred: str = "pred", overlap: floa
     total, weighted = F.sum("w"), F.sum(F.col("w") * F.col(pred))
     fallback = F.lit(0.0) if zero_when_unweighted else F.avg(pred)
     return rows.groupBy(key).agg(F.when(total > 0, weighted / total).otherwise(fallback).alias("prediction"))
-
-
-def model_ranges(ranges=None) -> list[tuple[int, int]]:
-    return list(ranges or MODEL_RANGES)

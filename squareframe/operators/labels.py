@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,13 +112,14 @@ def exact_book(rows: DataFrame, book: DataFrame, key: str, fen: str = "fen") ->
 def similar_book(rows: DataFrame, book: DataFrame, key: str, name: str = "name", least: float = 0.85) -> DataFrame:
     """Most similar book position with similarity above ``least``; ties by name. ``rows`` and ``book`` hold board sets.
 
-    Exact blocking: with d differing squares allowed, the 64 squares are cut into d + 1 interleaved bands, and any
-    qualifying pair is equal on at least one whole band. So candidates come from an equality join on band contents
-    instead of all pairs, and none is missed.
+    Exact blocking: with d differing squares allowed, the 64 squares are cut into d + 2 interleaved bands, and any
+    qualifying pair is equal on at least two whole bands. So candidates come from an equality join on the contents of
+    two bands together instead of all pairs, and none is missed; two bands hold enough squares that empty ones are rare.
     """
     differing = math.ceil(64 * (1 - least) - 1e-9) - 1
-    bands = differing + 1
-    masks = [S.constant(sum(1 << s for s in range(64) if s % bands == j)) for j in range(bands)]
+    bands = differing + 2
+    of = [sum(1 << s for s in range(64) if s % bands == j) for j in range(bands)]
+    masks = [S.constant(a | b) for a, b in combinations(of, 2)]
 
     def banded(df, prefix, keep):
         planes = df.select(*keep, *[c.alias(f"{prefix}p{k}") for k, c in enumerate(B.bit_planes())])

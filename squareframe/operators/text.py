@@ -102,4 +102,4 @@ def argmax(values: Column) -> Column:
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
 
 
-__all__ = ["argmax", "hash_bucket", "hashed_features", "svd_features", "term_vectors", "tf_idf", "topic_features", "vocabulary", "words_of"]
+__all__ = ["argmax", "hash_bucket", "hashed_features", "svd_features", "term_vectors", "tf_idf", "topic_features", "vocabulary"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import splits as P
+from ..session import shared_folder
 from ..sources import store as W
 from . import inputs as I
 from . import jobs as J
@@ -26,9 +27,15 @@ def puzzles(spark, sf):
     return out.withColumn("puzzle_id", F.col("o_orderkey").cast("string")).drop("o_orderkey", "_b", "_p")
 
 
+def _features(spark, sf):
+    """The whole feature job, tag inference and text vectors included; a second query on the same input reads the stage of the first."""
+    rows = J.cut_lineage(puzzles(spark, sf))
+    return J.staged_features(rows, f"{shared_folder(spark)}/feature_stages")
+
+
 @register("feature_table", "L21")
 def feature_table(spark, sf):
-    return J.complete_features(J.cut_lineage(puzzles(spark, sf)))
+    return _features(spark, sf)
 
 
 @register("feature_table_core", "L21 J1 B3 B4", O.with_(O.BD, MATERIAL_CTE, O.LINES, O.TAGS, O.THEMES) + """SELECT CAST(o.o_orderkey AS VARCHAR) AS puzzle_id, coalesce(material_balance, 0) AS material_balance, coalesce(total_material, 0) AS total_material,
@@ -38,7 +45,7 @@ def feature_table(spark, sf):
   LEFT JOIN themes ON p_partkey = o.o_orderkey % (SELECT max(p_partkey) + 1 FROM part)""")
 def feature_table_core(spark, sf):
     """The whole job, tag inference included; the columns that plain SQL can restate."""
-    out = J.complete_features(J.cut_lineage(puzzles(spark, sf)))
+    out = _features(spark, sf)
     return out.select("puzzle_id", "material_balance", "total_material", "num_moves", "theme_count", F.col("has_original_tag").alias("had_opening_tags"))
 
 

@@ -151,6 +151,13 @@ def complete_features(puzzles: DataFrame, key: str = "puzzle_id", infer_tags: bo
     return D.align(sets, key)
 
 
+def staged_features(rows: DataFrame, root: str, key: str = "puzzle_id", fp: str | None = None, **features) -> DataFrame:
+    """The feature table of ``rows`` from the stage of the same input, settings and code version, else computed and saved there."""
+    settings = sorted((k, W.fingerprint(v) if isinstance(v, DataFrame) else repr(v)) for k, v in features.items())
+    made = hashlib.md5(repr((fp or W.fingerprint(rows), FEATURE_VERSION, key, settings)).encode()).hexdigest()
+    return W.stage_or_compute(rows, root, "features", lambda df: complete_features(df, key, **features), made)
+
+
 def data_job(train: DataFrame, test: DataFrame, root: str, key: str = "puzzle_id", required: tuple[str, ...] = ("puzzle_id", "fen", "moves", "rating"),
              run_id: str = "run", **features) -> tuple[DataFrame, DataFrame]:
     """Validate, unite, preprocess, build features (reusing the stage of the same input), split; figures go to the metric table.
@@ -165,10 +172,7 @@ def data_job(train: DataFrame, test: DataFrame, root: str, key: str = "puzzle_id
     both = R.union_tables(train, test)
     fp = W.fingerprint(both)
     ready = W.stage_or_compute(both, root, "preprocessed", preprocess, fp)
-    listed = features.get("vocabulary")
-    settings = sorted((k, W.fingerprint(v) if isinstance(v, DataFrame) else repr(v)) for k, v in features.items())
-    made = hashlib.md5(repr((fp, FEATURE_VERSION, key, settings, listed is None)).encode()).hexdigest()  # other settings or another version: another stage
-    feats = W.stage_or_compute(ready, root, "features", lambda df: complete_features(df, key, **features), made)
+    feats = staged_features(ready, root, key, fp, **features)
     joined = ready.select(key, "is_train", "rating").join(feats.drop("rating", "is_train"), key)
     profile = Q.target_profile(train, "rating").withColumn("out_of_range", Q.out_of_range(train, "rating").select("out_of_range").scalar())
     names = profile.columns
