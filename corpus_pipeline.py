@@ -17,8 +17,13 @@ from squareframe.session import shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier (text, source and language together) rejects go. The model is fitted on the labelled rows of ``docs``."""
-    return quality_bayes.hierarchical_quality(docs, queries.quality_model(spark, sf_dir, docs)).where("kept").select(*docs.columns)
+    """Documents that the classifier (text, source and language together) rejects go. The model is fitted on the labelled rows of ``docs``.
+
+    The columns travel under other names, so one that is called like a result of the classifier stays as it is.
+    """
+    own = {c: f"_own_{c}" for c in docs.columns}
+    judged = quality_bayes.hierarchical_quality(docs.withColumnsRenamed(own), queries.quality_model(spark, sf_dir, docs), own["text"], own["source"], own["lang"])
+    return judged.where("kept").select(*[F.col(new).alias(c) for c, new in own.items()])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

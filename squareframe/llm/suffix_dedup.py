@@ -375,8 +375,10 @@ def removed_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", leng
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated strings taken out of their texts, columns as before; ``n_chars``, where there is one, is counted again."""
-    carry = tuple(c for c in docs.columns if c not in (key, text))
-    out = removed_spans(docs, key, text, length, carry=carry, with_text=True).withColumn(text, F.col("kept_text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    own = {c: f"_own_{c}" for c in docs.columns}  # a column may be called like one of the figures
+    carry = tuple(own[c] for c in docs.columns if c not in (key, text))
+    out = removed_spans(docs.withColumnsRenamed(own), own[key], own[text], length, carry=carry, with_text=True)
+    got = {c: F.col("kept_text" if c == text else own[c]) for c in docs.columns}
+    if "n_chars" in got:
+        got["n_chars"] = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[x.alias(c) for c, x in got.items()])

@@ -359,3 +359,20 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(abs(taken[s] - goal[s]) <= 0.2 * goal[s] + 30 for s in goal)
     last = steps[5].collect()
     assert len(last) == steps[4].count() and all(r.decodes for r in last)
+
+
+def test_pipeline_keeps_columns_with_clashing_names(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(80)
+    names = ["quality", "kept", "n_bytes", "kept_text", "mark", "doc", "copies", "size", "fp", "key", "component_id", "site", "taken", "frac", "_n", "text_quality"]
+    wide = docs.select("*", *[F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in names])
+    wide = wide.unionByName(wide.limit(1)).unionByName(wide.limit(1).withColumns({"doc_id": F.lit(None).cast("long"), "text": F.lit(None).cast("string"), "source": F.lit(None).cast("string"), "lang": F.lit(None).cast("string")}))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, SF)
+        assert out.columns == wide.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}:{r.doc_id}" for r in rows for n in names if r.doc_id is not None), name
+    assert {"ids", "n_tokens", "decodes", "doc_id"} <= set(corpus_pipeline.STAGES[-1][1](spark, wide, SF).columns)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
