@@ -10,6 +10,7 @@ import itertools
 import random
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -97,20 +98,17 @@ def variation_models(train: DataFrame, family: str, variation: str, features: li
 
 
 def classify_variations(models: dict[str, PipelineModel], rows: DataFrame, key: str, family: str) -> DataFrame:
-    """(key, variation, variation_conf) for rows whose family has a model. One pass over the rows, whatever the number of
-    families: every model adds its answer to the row and the row's family picks one."""
+    """(key, variation, variation_conf) for rows whose family has a model. Rows are written once and split by family, so each meets the model of its own only."""
     if not models:
         return rows.select(key, F.lit("").alias("variation"), F.lit(0.0).alias("variation_conf")).limit(0)
-    known = rows.filter(F.col(family).isin(list(models)))
-    out = next(iter(models.values())).stages[1].transform(known)
-    chosen = None
-    for i, (f, m) in enumerate(models.items()):
-        p = F.col(f"_p{i}")
-        out = m.stages[-1].transform(out).withColumn(f"_p{i}", vector_to_array("probability")).drop("rawPrediction", "probability", "prediction")
+    known = cut_lineage(rows.filter(F.col(family).isin(list(models))))
+    p, parts = F.col("_p"), []
+    for f, m in models.items():
+        own = m.stages[1].transform(known.filter(F.col(family) == f))
+        scored = m.stages[-1].transform(own).withColumn("_p", vector_to_array("probability"))
         names = F.array(*[F.lit(n) for n in class_names(m)])
-        answer = F.struct(F.element_at(names, F.array_position(p, F.array_max(p)).cast("int")).alias("v"), F.array_max(p).alias("c"))
-        chosen = F.when(F.col(family) == f, answer) if chosen is None else chosen.when(F.col(family) == f, answer)
-    return out.select(key, chosen.alias("_a")).select(key, F.col("_a.v").alias("variation"), F.col("_a.c").alias("variation_conf"))
+        parts.append(scored.select(key, F.element_at(names, F.array_position(p, F.array_max(p)).cast("int")).alias("variation"), F.array_max(p).alias("variation_conf")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def predict_missing(df: DataFrame, key: str, tag: str, family: Column, variation: Column, features: list[str],

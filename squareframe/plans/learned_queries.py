@@ -39,6 +39,21 @@ def least_squares_importance(spark, sf):
     return M.importances(model, ["x"], spark).select("feature", F.round("importance", 6).alias("importance"))
 
 
+_W = "(1 + o_orderkey % 3)"
+
+
+@register("weighted_least_squares", "L19", f"""WITH r AS (SELECT {_X} AS x, {_Y} AS y, CAST({_W} AS DOUBLE) AS w FROM orders),
+  b AS (SELECT (sum(w) * sum(w * x * y) - sum(w * x) * sum(w * y)) / (sum(w) * sum(w * x * x) - sum(w * x) * sum(w * x)) AS b FROM r),
+  m AS (SELECT b, (sum(w * y) - b * sum(w * x)) / sum(w) AS a FROM r, b GROUP BY b)
+  SELECT CAST(w AS BIGINT) AS provenance, count(*) AS n, round(sqrt(avg((y - a - b * x) * (y - a - b * x))), 4) AS rmse FROM r, m GROUP BY w""")
+def weighted_least_squares(spark, sf):
+    """A fit with provenance weights, and its error in each class of rows."""
+    rows = cut_lineage(table(spark, sf, "orders").select(F.col("o_custkey").cast("double").alias("x"), (F.col("o_totalprice") / 150.0).alias("y"), (1 + F.col("o_orderkey") % 3).alias("provenance")))
+    rows = rows.withColumn("w", F.col("provenance").cast("double"))
+    out = M.with_prediction(M.fit_regressor(rows, "linear", ["x"], "y", weight="w", **_LEAST), rows, "p")
+    return out.groupBy("provenance").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg((F.col("y") - F.col("p")) ** 2)), 4).alias("rmse"))
+
+
 _FOLD = "CAST('0x' || substr(md5('42:' || CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % 5"
 
 
