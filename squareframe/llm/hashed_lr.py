@@ -134,14 +134,17 @@ def fit(labelled: DataFrame, key: str, text: str, label: Column, sample_rows: in
     gives the share (softened) for every text.
     """
     rows = labelled.select(F.col(key).alias("k"), F.col(text).alias("text"), label.cast("int").alias("y")).where("y in (0, 1)")
-    rows = rows.withColumn("h", F.xxhash64(F.lit("sample"), F.col("k").cast("string"), F.xxhash64("text")))
+    rows = rows.withColumn("h", F.xxhash64(F.lit("sample"), F.col("k").cast("string")))
     share = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows at most
     n1, n0 = share.get(1, 0), share.get(0, 0)
     prior = np.log((n1 + 1) / (n0 + 1))
     families = len(FAMILIES) if with_words else len(_GRAM)
     if not n1 or not n0:
         return Model(np.zeros((families, DIMS)), 0.0, 1.0, float(prior), with_words)
-    chosen = rows.where("y = 1").orderBy("h", "k").limit(sample_rows).unionByName(rows.where("y = 0").orderBy("h", "k").limit(sample_rows))
+    first = lambda df, y, *order: df.where(F.col("y") == y).orderBy(*order).limit(sample_rows)
+    keys = {r.h for y in (0, 1) for r in first(rows.select("h", "y"), y, "h").collect()}  # found without the texts, so only theirs are moved
+    few = rows.where(F.xxhash64(F.lit("sample"), F.col("k").cast("string")).isin(sorted(keys))).withColumn("t", F.xxhash64("text"))
+    chosen = first(few, 1, "h", "k", "t").unionByName(first(few, 0, "h", "k", "t"))
     got = (chosen.select("y", "text", (F.pmod("h", F.lit(5)) == 0).alias("held"))
            .mapInArrow(_rows(with_words), "y int, held boolean, idx array<int>, val array<float>").toArrow().combine_chunks())
     y, held = got["y"].to_numpy().astype(float), got["held"].to_numpy(zero_copy_only=False)
