@@ -117,10 +117,10 @@ def _scan(length: int, gram: int):
 
 
 def _cut_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, mark, text, wanted) to (kgram, doc, mark, a, at, piece)."""
+    """Rows with doc, mark, text and wanted to (kgram, doc, mark, a, at, piece); other columns are passed over."""
     for batch in batches:
-        data, off = flat(batch.column(2))
-        lists = batch.column(3)
+        data, off = flat(batch.column("text"))
+        lists = batch.column("wanted")
         n, w = lists.value_lengths().to_numpy(), lists.flatten()
         a, b, kgram = (w.field(i).to_numpy() for i in range(3))
         of = np.repeat(np.arange(len(n)), n)
@@ -131,7 +131,7 @@ def _cut_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = np.repeat(x - out[:-1], y) + np.arange(out[-1])
             pieces = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(out.astype(np.int32).tobytes()), pa.py_buffer(data[index].tobytes())])
             o = of[i:i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(kgram[i:i + (1 << 16)]), batch.column(0).take(pa.array(o)), batch.column(1).take(pa.array(o)), pa.array(a[i:i + (1 << 16)]),
+            yield pa.RecordBatch.from_arrays([pa.array(kgram[i:i + (1 << 16)]), batch.column("doc").take(pa.array(o)), batch.column("mark").take(pa.array(o)), pa.array(a[i:i + (1 << 16)]),
                                               pa.array(b[i:i + (1 << 16)] & 255), pieces], ["kgram", "doc", "mark", "a", "at", "piece"])
 
 
@@ -300,7 +300,8 @@ def _spans(rows: DataFrame, placed: DataFrame, length: int, gram: int, parts: in
     whole = found.where("gone").select("doc", "mark", "a", "e")
     wanted = found.where("not gone").select("doc", "mark", "a", "b", "kgram")
     lists = wanted.groupBy("doc", "mark").agg(F.collect_list(F.struct("a", "b", "kgram")).alias("wanted"))
-    pieces = placed.select("doc", "mark", "text").join(lists, ["doc", "mark"]).select("doc", "mark", "text", "wanted").mapInArrow(_cut_regions, "kgram long, doc long, mark long, a long, at long, piece binary")
+    # all columns, so that this is the exchange that the texts are trimmed from, and not another one
+    pieces = placed.join(lists, ["doc", "mark"]).mapInArrow(_cut_regions, "kgram long, doc long, mark long, a long, at long, piece binary")
     hot = wanted.groupBy("kgram").count().where(F.col("count") > HOT).select("kgram")
     some = not hot.isEmpty()
     cold = pieces.join(hot, "kgram", "left_anti") if some else pieces
@@ -358,7 +359,8 @@ def removed_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", leng
     """
     rows = docs.withColumn("doc", F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)))
     once = rows.groupBy("doc").count().where("count > 1").isEmpty()
-    rows = rows.withColumn("mark", F.lit(0).cast("long") if once else F.coalesce(F.xxhash64(text), F.lit(0)))
+    # not a literal: that would be folded out of the joins, whose partitioning would then differ from that of ``placed``
+    rows = rows.withColumn("mark", F.col("doc").bitwiseAND(F.lit(0)) if once else F.coalesce(F.xxhash64(text), F.lit(0)))
     rows = rows.select(*[F.col(c).alias(f"_c_{c}") for c in carry], "doc", "mark", F.coalesce(F.col(text), F.lit("")).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.repartition(parts, "doc", "mark")
