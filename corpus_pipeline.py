@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squareframe.llm import mixing, quality_bayes, queries, sentencepiece_codec, simhash, suffix_dedup
+from squareframe.llm import mixing, near_dedup, quality_bayes, queries, sentencepiece_codec, suffix_dedup
 from squareframe.session import shared_folder
 
 
@@ -27,8 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, by SimHash on five-word shingles, the smallest doc_id stays."""
-    return simhash.keep_one(docs)
+    """Of each group of near copies, by similarity of five-word shingles of 0.8 and more, the smallest doc_id stays. SimHash proposes the first links."""
+    return near_dedup.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -190,7 +190,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     """``docs`` with one row of each group: the one with the smallest key. A row with a null key stays only where no row of its group has a key; of equal rows
     (key and text) one stays. The groups are reduced to (key, hash of the text) before they meet the texts."""
     first = F.min(F.struct(F.col("key").isNull().alias("blank"), "key", "mark")).alias("first")
-    heads = _members(docs, key, text, shingle, distance).groupBy("root").agg(first).select(F.col("first.key").alias("_key"), F.col("first.mark").alias("_mark"))
+    return only_heads(docs, _members(docs, key, text, shingle, distance).groupBy("root").agg(first), key, text)
+
+
+def only_heads(docs: DataFrame, heads: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of ``docs`` that ``heads`` names in ``first``, a struct with key and mark; of equal rows one."""
+    heads = heads.select(F.col("first.key").alias("_key"), F.col("first.mark").alias("_mark"))
     marked = docs.withColumn("_text_mark", F.xxhash64(text))
     kept = marked.join(heads, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_text_mark") == F.col("_mark")), "left_semi")
     return kept.dropDuplicates([key, "_text_mark"]).select(*docs.columns)
