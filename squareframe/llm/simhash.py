@@ -188,7 +188,9 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = DISTANCE) -> DataFrame:
     """``docs`` with one row of each group: the one with the smallest key. A row with a null key stays only where no row of its group has a key; of equal rows
-    (key and text) one stays. The groups are reduced to (key, hash of the text) before they meet the texts."""
+    (key and text) one stays. The groups are reduced to (key, hash of the text) before they meet the texts.
+
+    Fingerprints alone decide, so texts that share one dominant word can be one group; ``near_dedup.keep_one`` verifies every link on the whole texts."""
     first = F.min(F.struct(F.col("key").isNull().alias("blank"), "key", "mark")).alias("first")
     return only_heads(docs, _members(docs, key, text, shingle, distance).groupBy("root").agg(first), key, text)
 

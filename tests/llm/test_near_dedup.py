@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import pytest
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,3 +68,9 @@ def test_similarity_at_the_border(spark):
     a = [f"x{i}" for i in range(13)]
     assert stage(spark, [(1, " ".join(a[:12])), (2, " ".join(a[:12] + ["y", "z"]))]) == [1]
     assert stage(spark, [(1, " ".join(a[:11])), (2, " ".join(a[:11] + ["y", "z"]))]) == [1, 2]
+
+@pytest.mark.parametrize("times", [200, 2000])
+def test_one_dominant_word_does_not_make_copies(spark, times):
+    rows = [(i, " ".join([f"{c}{k}" for k in range(100)] + ["pad"] * times)) for i, c in enumerate("ab")]
+    assert stage(spark, rows) == [0, 1]
+    assert stage(spark, [*rows, (2, rows[0][1] + " pad")]) == [0, 1]
