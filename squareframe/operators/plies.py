@@ -1,7 +1,7 @@
 """Replay of UCI move lists over a start position into a ply table.
 
-The board is carried as 64 letters through the move array in one ``aggregate``; every state is emitted and exploded with
-its move. No Python, no shuffle: a list stays in its row until it becomes plies.
+The board is carried as 64 letters through the move array in one ``aggregate``; the fold writes each state behind the others, and they are
+exploded once. No Python, no shuffle: a list stays in its row until it becomes plies.
 """
 
 from __future__ import annotations
@@ -84,34 +84,49 @@ def replay(games: DataFrame, key: str, fen: str = "fen", moves: str = "moves") -
     """One row per ply: key, ply, move, from_sq, to_sq, piece, captured, promotion, castling, playable, boards around it,
     whether the list was playable so far, and its length.
 
-    Plies are numbered from 1; the colour to move alternates with the token, playable or not. Games are spread by key
+    A list without a start board of 64 squares starts from the empty board, on which nothing is playable. Plies are numbered from 1; the colour to move alternates with the token, playable or not. Games are spread by key
     before they are replayed: the rows are still short then, the replay is the costly part, and every later
     aggregation on the key finds its partitioning in place.
     """
     parts = int(games.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    board = B.cells_from_placement(B.placement_key(F.col(fen)))
     start = games.repartition(parts, key).select(
-        key, tokens(F.col(moves)).alias("_m"), B.cells_from_placement(B.placement_key(F.col(fen))).alias("_c"),
+        key, tokens(F.col(moves)).alias("_m"), F.when(F.length(board) == 64, board).otherwise("." * 64).alias("_c"),
         (F.coalesce(F.get(F.split(fen, " "), F.lit(1)), F.lit("w")) == "w").alias("_w"))
-    before = F.struct(
-        F.col("_c").alias("cells"), F.lit(True).alias("playable"), F.lit(None).cast("int").alias("from_sq"), F.lit(None).cast("int").alias("to_sq"),
-        F.lit("").alias("piece"), F.lit("").alias("captured"), F.lit("").alias("promotion"), F.lit("").alias("castling"),
-        F.lit(True).alias("follows"))
     steps = F.transform(F.col("_m"), lambda m, i: F.struct(m.alias("m"), (F.col("_w") == (i % 2 == 0)).alias("w")))
+    begin = F.struct(F.col("_c").alias("cells"), F.lit(True).alias("follows"), F.col("_c").alias("log"))
 
-    def step(states, s):
-        last = F.element_at(states, -1)
-        return F.concat(states, F.array(apply_move(last["cells"], s["m"], s["w"], last["follows"])))
+    def step(acc, s):
+        return S.let(apply_move(acc["cells"], s["m"], s["w"], acc["follows"]), lambda r: F.struct(
+            r["cells"].alias("cells"), r["follows"].alias("follows"), F.concat(acc["log"], F.lit(" "), _written(r, s["m"])).alias("log")))
 
-    states = start.withColumn("_s", F.aggregate(steps, F.array(before), step))
+    folded = start.select(key, "_w", F.split(F.aggregate(steps, begin, step)["log"], " ").alias("_l"))
     # each ply gets the two states around it, never the array of all of them
-    around = F.transform(F.col("_m"), lambda m, i: F.struct(m.alias("move"), F.get("_s", i)["cells"].alias("before"), F.get("_s", i + 1).alias("r")))
-    rows = states.select(key, "_w", F.size("_m").alias("n_plies"), around.alias("_a")).select(key, "_w", "n_plies", F.posexplode("_a").alias("_i", "_p")).select(
-        key, "_w", "n_plies", "_i", F.col("_p.move").alias("move"), F.col("_p.before").alias("_before"), F.col("_p.r").alias("_r"))
-    r = F.col("_r")
+    around = F.transform(F.slice("_l", 2, F.size("_l") - 1), lambda s, i: F.struct(s.alias("s"), F.substring(F.get("_l", i), 1, 64).alias("before")))
+    # the outer explode infers no filter, into which the optimizer would copy the whole fold
+    rows = folded.select(key, "_w", (F.size("_l") - 1).alias("n_plies"), around.alias("_a")).select(
+        key, "_w", "n_plies", F.posexplode_outer("_a").alias("_i", "_p")).where("_i is not null").select(
+        key, "_w", "n_plies", "_i", F.col("_p.before").alias("before"), F.col("_p.s").alias("_s"))
+    letter = lambda at: F.substring("_s", at, 1)
+    play = letter(65) == "1"
+    text = lambda at: F.when(letter(at) == "-", "").otherwise(letter(at))
     return rows.select(
-        key, (F.col("_i") + 1).alias("ply"), "move", (F.col("_w") == (F.col("_i") % 2 == 0)).cast("int").alias("white_moves"),
-        r["playable"].cast("int").alias("playable"), *[r[n].alias(n) for n in ("from_sq", "to_sq", "piece", "captured", "promotion", "castling")],
-        F.col("_before").alias("before"), r["cells"].alias("cells"), r["follows"].alias("follows"), "n_plies")
+        key, (F.col("_i") + 1).alias("ply"), F.substring("_s", 75, 1 << 30).alias("move"), (F.col("_w") == (F.col("_i") % 2 == 0)).cast("int").alias("white_moves"),
+        play.cast("int").alias("playable"), F.when(play, F.substring("_s", 66, 2).cast("int")).alias("from_sq"), F.when(play, F.substring("_s", 68, 2).cast("int")).alias("to_sq"),
+        text(70).alias("piece"), text(71).alias("captured"), text(72).alias("promotion"), text(73).alias("castling"), "before",
+        F.substring("_s", 1, 64).alias("cells"), (letter(74) == "1").alias("follows"), "n_plies")
+
+
+def _written(r: Column, move: Column) -> Column:
+    """A state as 74 letters and its move: board, playable, two squares, piece, captured, promotion, castling, follows. Moves hold no blank.
+
+    A fold copies all it carries at every step; letters in one string are copied in one go, structs in an array one by one.
+    """
+    flag = lambda c: F.when(c, "1").otherwise("0")
+    square = lambda c: F.lpad(F.coalesce(c, F.lit(0)).cast("string"), 2, "0")
+    text = lambda c: F.when(c == "", "-").otherwise(c)
+    return F.concat(r["cells"], flag(r["playable"]), square(r["from_sq"]), square(r["to_sq"]), *[text(r[n]) for n in ("piece", "captured", "promotion", "castling")],
+                    flag(r["follows"]), move)
 
 
 def letter_balance(cells: Column) -> Column:

@@ -63,3 +63,24 @@ def test_patterns_and_castling(spark):
     assert castle[4]["white_queenside_castle"] == 1 and castle[4]["white_kingside_castle"] == 0
     best = {r["id"]: r for r in M.longest_pattern(df, "id", "moves").collect()}
     assert best[1]["moves_inferred_family"] == "Italian_Game" and abs(best[1]["moves_match_confidence"] - 0.95) < 1e-9 and 3 not in best
+
+
+def test_replay_folds_once_and_in_linear_time(spark):
+    import time
+
+    games = spark.createDataFrame([(1, START, "e2e4 e7e5"), (2, START, None), (3, START, "")], "id int, fen string, moves string")
+    plan = Y.replay(games, "id").where("ply > 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1 and not any("aggregate(" in line for line in plan.split("\n") if "Filter" in line)
+    assert {r["id"] for r in Y.replay(games, "id").collect()} == {1}
+    cost = {}
+    for plies in (200, 400):
+        moves = " ".join(["g1f3", "g8f6", "f3g1", "f6g8"] * (plies // 4))
+        rows = Y.replay(spark.range(400).select("id", F.lit(START).alias("fen"), F.lit(moves).alias("moves")), "id")
+        assert rows.count() == 400 * plies
+        best = []
+        for _ in range(3):
+            t = time.time()
+            rows.write.format("noop").mode("overwrite").save()
+            best.append(time.time() - t)
+        cost[plies] = min(best)
+    assert cost[400] < 2.6 * cost[200]  # 2 and some noise; copying all states at each ply would tend to 4
