@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from . import hashed_lr, mixing, quality_bayes, quality_rules, sentencepiece_codec, sharding, simhash, suffix_dedup, token_files, topk, url_filter
+from . import bpe_trie, hashed_lr, mixing, quality_bayes, quality_rules, sentencepiece_codec, sharding, simhash, suffix_dedup, token_files, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
+BYTE_PAIRS = "byte_bpe_50k.json"
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
@@ -103,3 +104,8 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     return quality_bayes.hierarchical_quality(docs, quality_model(spark, sf_dir)).drop("text")
+
+
+@_register("op13_bpe_trie")
+def op13(spark, sf_dir):
+    return bpe_trie.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_PAIRS))
