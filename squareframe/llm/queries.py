@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from . import bpe_trie, hashed_lr, mixing, quality_bayes, quality_rules, sentencepiece_codec, sharding, simhash, suffix_dedup, token_files, topk, url_filter
+from . import alignment, bpe_trie, hashed_lr, mixing, quality_bayes, quality_rules, sentencepiece_codec, sharding, simhash, suffix_dedup, token_files, topk, url_filter, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,6 +106,17 @@ def op10(spark, sf_dir):
     return quality_bayes.hierarchical_quality(docs, quality_model(spark, sf_dir)).drop("text")
 
 
+@_register("op11_tokenizer_alignment")
+def op11(spark, sf_dir):
+    return alignment.aligned(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_PAIRS), public_tokenizers.path(PIECES))
+
+
+@_register("op12_feast_whitening")
+def op12(spark, sf_dir):
+    white = whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return white.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 @_register("op13_bpe_trie")
 def op13(spark, sf_dir):
     return bpe_trie.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_PAIRS))
