@@ -20,6 +20,8 @@ from ..session import cut_lineage
 from .hashed_lr import Model
 
 KEEP_FROM = 0.5
+#: Groups that are broadcast at most: six numbers and two names each, a few megabytes.
+SMALL = 20_000
 _OWN = "_llm_p"
 
 
@@ -49,31 +51,41 @@ def _strength(groups: DataFrame, mean, prior) -> float:
     return float(np.clip(r.spread / max(r.between - r.within, 1e-9) - 1, 1.0, 1000.0))
 
 
-def hierarchical_quality(docs: DataFrame, model: Model, text: str = "text", site: str = "source", path: str = "lang", threshold: float = KEEP_FROM) -> DataFrame:
-    """``docs`` with ``text_quality``, ``site_quality``, ``path_quality``, ``quality`` and ``kept``.
+def hierarchical_quality(docs: DataFrame, model: Model, text: str = "text", site: str = "source", path: str = "lang", threshold: float = KEEP_FROM, with_text: bool = True) -> DataFrame:
+    """``docs`` with ``text_quality``, ``site_quality``, ``path_quality``, ``quality`` and ``kept``; without the text column, if so asked.
 
-    Null sites and paths are groups of their own. Ties with the threshold are kept. An empty table gives an empty result. Columns of the new names are replaced.
-    Groups are summed before they are shuffled, so a site that holds a third of all rows is a row per task; the groups join back by size, as Spark decides.
+    ``site`` and ``path`` name any two columns, the second finer than the first: host and first part of a url's path, or source and language. Null sites and paths are
+    groups of their own. Ties with the threshold are kept. An empty table gives an empty result. Columns of the new names are replaced. Texts are read whole, a slice
+    at a time. Groups are summed before they are shuffled, so a site that holds a third of all rows is a row per task. Up to ``SMALL`` groups are broadcast to the rows,
+    more are joined by shuffling. Without the text, rows are scored once and written narrow; with it they are scored once for the groups and once for the result,
+    which moves no text.
     """
     new = ["text_quality", "site_quality", "path_quality", "quality", "kept"]
     docs = docs.drop(*new, _OWN)
-    scored = with_probability(docs.select(F.col(site).alias("site"), F.col(path).alias("path"), F.col(text).alias("text")), model, "text").drop("text")
+    if with_text:
+        rows = with_probability(docs, model, text)
+        scored = with_probability(docs.select(F.col(site).alias("site"), F.col(path).alias("path"), F.col(text).alias("text")), model, "text").drop("text")
+    else:
+        rows = cut_lineage(with_probability(docs, model, text).drop(text))
+        scored = rows.select(F.col(site).alias("site"), F.col(path).alias("path"), _OWN)
     paths = scored.groupBy("site", "path").agg(F.count("*").alias("n"), F.sum(_OWN).alias("s"), F.sum(F.col(_OWN) ** 2).alias("ss"))
-    paths = cut_lineage(paths)  # one row per group; the texts are scored once for it
+    paths = cut_lineage(paths)  # one row per group
     sites = paths.groupBy("site").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
-    total = sites.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
+    total = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("groups")).first()
     m0 = float(np.clip((total.s + 1) / (total.n + 2), 1e-6, 1 - 1e-6)) if total.n else 0.5
     k_site = _strength(sites, F.col("s") / F.col("n"), F.lit(m0))
     site_mean = (F.lit(k_site * m0) + F.col("site_s")) / (F.lit(k_site) + F.col("site_n"))
     both = paths.join(sites.select(F.col("site").alias("_site"), F.col("n").alias("site_n"), F.col("s").alias("site_s")), F.col("site").eqNullSafe(F.col("_site"))).drop("_site")
     k_path = _strength(both, F.col("s") / F.col("n"), site_mean)
-    both = both.select(F.col("site").alias("_site"), F.col("path").alias("_path"), F.col("n").alias("_n"), F.col("s").alias("_s"), F.col("site_n").alias("_sn"), F.col("site_s").alias("_ss"))
-    p = F.col(_OWN)
-    joined = with_probability(docs, model, text).join(both, F.col(site).eqNullSafe(F.col("_site")) & F.col(path).eqNullSafe(F.col("_path")))
-    own_site = (F.lit(k_site * m0) + F.col("_ss") - p) / (F.lit(k_site) + F.col("_sn") - 1)
-    own_path = (F.lit(k_path) * F.col("site_quality") + F.col("_s") - p) / (F.lit(k_path) + F.col("_n") - 1)
+    mine = {c: f"_llm_{c}" for c in ("site", "path", "n", "s", "site_n", "site_s")}
+    both = both.select(*[F.col(c).alias(own) for c, own in mine.items()])
+    if total.groups <= SMALL:
+        both = F.broadcast(both)
+    p, g = F.col(_OWN), {c: F.col(own) for c, own in mine.items()}
+    joined = rows.join(both, F.col(site).eqNullSafe(g["site"]) & F.col(path).eqNullSafe(g["path"]))
+    own_site = (F.lit(k_site * m0) + g["site_s"] - p) / (F.lit(k_site) + g["site_n"] - 1)
+    own_path = (F.lit(k_path) * F.col("site_quality") + g["s"] - p) / (F.lit(k_path) + g["n"] - 1)
     clipped = lambda c: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), c))
     odds = _logit(p) + _logit(F.col("path_quality")) - F.lit(float(np.log(m0 / (1 - m0))))
     return (joined.withColumn("text_quality", p).withColumn("site_quality", clipped(own_site)).withColumn("path_quality", clipped(own_path))
-            .withColumn("quality", 1 / (1 + F.exp(-odds))).withColumn("kept", F.col("quality") >= threshold).drop(_OWN, "_site", "_path", "_n", "_s", "_sn", "_ss"))
-
+            .withColumn("quality", 1 / (1 + F.exp(-odds))).withColumn("kept", F.col("quality") >= threshold).drop(_OWN, *mine.values()))
