@@ -74,3 +74,22 @@ def test_one_dominant_word_does_not_make_copies(spark, times):
     rows = [(i, " ".join([f"{c}{k}" for k in range(100)] + ["pad"] * times)) for i, c in enumerate("ab")]
     assert stage(spark, rows) == [0, 1]
     assert stage(spark, [*rows, (2, rows[0][1] + " pad")]) == [0, 1]
+
+
+def test_texts_whose_polynomials_agree_are_told_apart(spark):
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"t{i}" for i in range(9))
+    rows = [(1, word), (2, other), (3, f"{word} {tail}"), (4, f"{other} {tail}"), (5, word)]
+    assert stage(spark, rows) == kept(rows) == [1, 2, 3, 4]
+
+
+def test_columns_with_clashing_names_and_long_texts(spark):
+    from squareframe.llm import near_dedup
+
+    long = " ".join(f"w{i % 997} v{i}" for i in range(60_000))
+    rows = [(1, long, 1, 2, 3), (2, long + " more", 4, 5, 6), (None, "alone", 7, 8, 9), (3, "", 1, 1, 1), (4, None, 1, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark int, head_key int, nid int")
+    kept_rows = near_dedup.keep_one(docs)
+    assert kept_rows.columns == docs.columns
+    assert {tuple(r) for r in kept_rows.collect()} == {rows[0], rows[2], rows[3]}
