@@ -14,6 +14,8 @@ from .hashed_lr import Model
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 KEEP_FROM = 0.5
+#: Bytes that are compared at a time.
+COMPARE = 1 << 20
 #: Characters that count as symbols; a fixed value.
 SYMBOLS = b"#*$%&|<>"
 _IS_SYMBOL = np.zeros(256, bool)
@@ -41,8 +43,32 @@ def _repeats(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return twice, later
 
 
+def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefix: Prefix) -> np.ndarray:
+    """A number for each substring, equal where and only where the bytes are.
+
+    Substrings are sorted by a hash; each is compared byte by byte with the first of its hash, and if any differs, all are numbered by their bytes.
+    """
+    sizes = ends - starts
+    hashes, first, number = np.unique(mixed(prefix.hash(starts, ends) + sizes.astype(np.uint64)), return_index=True, return_inverse=True)
+    like = first[number]
+    other = np.flatnonzero(like != np.arange(len(starts)))
+    good = bool((sizes[other] == sizes[like[other]]).all())
+    at = 0
+    while good and at < len(other):  # about COMPARE bytes at a time
+        end = max(at + 1, int(np.searchsorted(np.cumsum(sizes[other[at:at + COMPARE]]), COMPARE)) + at)
+        part = other[at:end]
+        n = sizes[part]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        good = bool((data[np.repeat(starts[part], n) + step] == data[np.repeat(starts[like[part]], n) + step]).all())
+        at = end
+    if good:
+        return number
+    known: dict[bytes, int] = {}
+    return np.array([known.setdefault(data[i:j].tobytes(), len(known)) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+
+
 def counts(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
-    """The five counts of each text of a slice. Words, windows and lines are compared by two 64-bit hashes together."""
+    """The five counts of each text of a slice. Words and lines are told apart by their bytes, windows by the numbers of their words."""
     n = len(off) - 1
     starts, ends, of = words(data, off)
     n_words = np.diff(of)
@@ -50,13 +76,16 @@ def counts(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     chars = np.concatenate([[0], np.cumsum(leads[ends] - leads[starts])])
     one = Prefix(data)
     text_of_word = np.repeat(np.arange(n), n_words)
-    a = mixed(one.hash(starts, ends) + (ends - starts).astype(np.uint64))
+    a = numbered(data, starts, ends, one)
     # windows of three words
     m = max(0, len(a) - 2)
     inside = text_of_word[:m] == text_of_word[2:]
     pos = np.flatnonzero(inside)
-    h = mixed(mixed(mixed(a[pos]) * np.uint64(5) + a[pos + 1]) * np.uint64(7) + a[pos + 2])
-    twice, _ = _repeats([h, text_of_word[pos]])
+    if int(a.max(initial=0)) < 1 << 21:
+        window = [a[pos] << 42 | a[pos + 1] << 21 | a[pos + 2]]
+    else:
+        window = [a[pos], a[pos + 1], a[pos + 2]]
+    twice, _ = _repeats([*window, text_of_word[pos]])
     covered = np.zeros(len(a), bool)
     for k in range(3):
         covered[pos[twice] + k] = True
@@ -69,7 +98,7 @@ def counts(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     worded = np.searchsorted(starts, begins) < np.searchsorted(starts, stops)
     begins, stops = begins[worded], stops[worded]
     text_of_line = np.searchsorted(off, begins, "right") - 1
-    _, later = _repeats([mixed(one.hash(begins, stops) + (stops - begins).astype(np.uint64)), text_of_line])
+    _, later = _repeats([numbered(data, begins, stops, one), text_of_line])
     dup = np.bincount(text_of_line[later], minlength=n)
     return [n_words, chars[of[1:]] - chars[of[:-1]], _per_text(_IS_SYMBOL[data], off), dup, repeat]
 

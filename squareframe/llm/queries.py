@@ -60,7 +60,7 @@ def op2(spark, sf_dir):
 
 @_register("op3_source_mixing")
 def op3(spark, sf_dir):
-    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 @_register("op4_token_files")
@@ -91,7 +91,8 @@ def op7(spark, sf_dir):
 @_register("op8_quality_rules")
 def op8(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality_rules.quality_rules(docs, quality_model(spark, sf_dir)).drop("text")
+    judged = quality_rules.quality_rules(docs, quality_model(spark, sf_dir))
+    return judged.select("doc_id", *quality_rules.NAMES, "base_failed", "kept", "quality")
 
 
 @_register("op9_sampled_sharding")
@@ -103,7 +104,7 @@ def op9(spark, sf_dir):
 @_register("op10_quality_bayes")
 def op10(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return quality_bayes.hierarchical_quality(docs, quality_model(spark, sf_dir)).drop("text")
+    return quality_bayes.hierarchical_quality(docs, quality_model(spark, sf_dir), with_text=False)
 
 
 @_register("op11_tokenizer_alignment")
