@@ -7,7 +7,7 @@
 3. Suffix sort. The remaining regions of a gram fetch their text. Suffixes from the anchors, and the reversed texts before them, are sorted by mergesort, in
    which prefix polynomial hashes and binary search find the common extension of two suffixes; bytes of neighbours are compared afterwards, and another base is
    taken if a hash lied. Common extensions of neighbours tell for every window which earlier regions share it.
-4. Grams with more than ``HOT`` regions are not gathered: their windows are grouped by 128-bit hashes with partial aggregation, and met again in a join.
+4. Grams with more than ``HOT`` regions are not gathered in one task: their windows are grouped by their own bytes with partial aggregation, and met again in a join.
 """
 
 from __future__ import annotations
@@ -269,7 +269,8 @@ def _binary(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(c.buffers()[2], np.uint8)[off[0]:off[-1]], off - off[0]
 
 
-def _hashed_windows(length: int):
+def _windows(length: int):
+    """(kgram, doc, mark, a, at, piece) to (window, doc, mark, a): each string of ``length`` bytes of a region."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = _binary(b.column(5))
@@ -277,9 +278,12 @@ def _hashed_windows(length: int):
             of = np.repeat(np.arange(len(many)), many)
             s = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
             x = off[:-1][of] + s
-            h1, h2 = Prefix(data).hash(x, x + length), Prefix(data, SECOND_BASE, SECOND_VALUE).hash(x, x + length)
-            yield pa.RecordBatch.from_arrays([pa.array(mixed(h1).view(np.int64)), pa.array(mixed(h2).view(np.int64)), b.column(1).take(pa.array(of)), b.column(2).take(pa.array(of)),
-                                              pa.array(b.column(3).to_numpy()[of] + s)], ["h1", "h2", "doc", "mark", "a"])
+            for i in range(0, len(x), 1 << 16):
+                k = slice(i, i + (1 << 16))
+                text = np.lib.stride_tricks.sliding_window_view(data, length)[x[k]]
+                yield pa.RecordBatch.from_arrays([
+                    pa.FixedSizeBinaryArray.from_buffers(pa.binary(length), len(text), [None, pa.py_buffer(text.tobytes())]).cast(pa.binary()),
+                    b.column(1).take(pa.array(of[k])), b.column(2).take(pa.array(of[k])), pa.array(b.column(3).to_numpy()[of[k]] + s[k])], ["window", "doc", "mark", "a"])
     return run
 
 
@@ -307,10 +311,10 @@ def _spans(rows: DataFrame, placed: DataFrame, length: int, gram: int, parts: in
     cold = pieces.join(hot, "kgram", "left_anti") if some else pieces
     cold = cold.repartition(parts, "kgram").sortWithinPartitions("kgram", "doc", "mark", "a")
     out = whole.unionByName(cold.mapInArrow(_resolve(length), "doc long, mark long, a long, e long"))
-    if some:
-        windows = pieces.join(hot, "kgram", "left_semi").mapInArrow(_hashed_windows(length), "h1 long, h2 long, doc long, mark long, a long")
-        least = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"))
-        out = out.unionByName(windows.join(least, ["h1", "h2"]).where(F.col("first") != place).select("doc", "mark", "a", (F.col("a") + length).alias("e")))
+    if some:  # the bytes themselves are the key, met by partial aggregation
+        windows = pieces.join(hot, "kgram", "left_semi").mapInArrow(_windows(length), "window binary, doc long, mark long, a long")
+        least = windows.groupBy("window").agg(F.min(place).alias("first"))
+        out = out.unionByName(windows.join(least, "window").where(F.col("first") != place).select("doc", "mark", "a", (F.col("a") + length).alias("e")))
     return out
 
 
