@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import MODEL_RANGES, RANGE_OVERLAP
 from ..session import cut_lineage, shared_folder
+from . import least_squares as LS
 from .evaluate import label_scores, range_weight
 from .labels import assemble_predictions, blend, joined_tag, overall_confidence
 from .splits import fold_of, in_test
@@ -211,7 +213,22 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def with_prediction(model: PipelineModel, df: DataFrame, out: str) -> DataFrame:
+class LineModel:
+    """A linear model that came from sums: its features and their line."""
+
+    def __init__(self, features: list[str], line: LS.Line):
+        self.features, self.line = features, line
+
+
+def linear_settings(kw: dict) -> dict | None:
+    """Penalty and its kind, where the settings of a linear model are no others and sums give its fit."""
+    known = {"regParam": 0.01, "elasticNetParam": 0.0, **kw}
+    return {"penalty": known["regParam"], "lasso": known["elasticNetParam"]} if set(known) == {"regParam", "elasticNetParam"} else None
+
+
+def with_prediction(model: PipelineModel | LineModel, df: DataFrame, out: str) -> DataFrame:
+    if isinstance(model, LineModel):
+        return df.withColumn(out, model.line.column(model.features))
     scored = model.transform(df)
     return scored.withColumnRenamed("prediction", out).drop("_x")
 
@@ -225,8 +242,12 @@ def importances(model: PipelineModel, features: list[str], spark) -> DataFrame:
 
 
 def out_of_fold(df: DataFrame, key: str, kind: str, features: list[str], target: str, k: int = 5, seed: int = 42, **kw):
-    """Predictions of every row by the model that did not see it, and the k models."""
+    """Predictions of every row by the model that did not see it, and the k models. Linear models of all folds come from one pass."""
     rows = df.withColumn("fold", fold_of(F.col(key), k, seed))
+    if kind == "linear" and (settings := linear_settings(kw)) is not None:
+        parts = fold_moments(rows, features, target, k)
+        lines = [m.fit(**settings) for m in LS.left_out(parts)]
+        return rows.select(key, "fold", target, LS.by_fold(lines, features, F.col("fold")).alias("prediction")), [LineModel(features, x) for x in lines]
     models = fit_side_by_side(df.sparkSession, [lambda i=i: fit_regressor(rows.filter(F.col("fold") != i), kind, features, target, **kw) for i in range(k)])
     parts = [with_prediction(m, rows.filter(F.col("fold") == i), "prediction").select(key, "fold", target, "prediction") for i, m in enumerate(models)]
     out = parts[0]
@@ -235,6 +256,11 @@ def out_of_fold(df: DataFrame, key: str, kind: str, features: list[str], target:
     return out, models
 
 
+def fold_moments(rows: DataFrame, features: list[str], target: str, k: int) -> list[LS.Moments]:
+    got = LS.moments(rows, features, target, F.array("fold"))
+    return [got.get(i, LS.Moments.none(len(features) + 1)) for i in range(k)]
+
+
 def averaged(models: list[PipelineModel], df: DataFrame, out: str = "prediction") -> DataFrame:
     """Mean prediction of several models, all on the same row."""
     rows = df
@@ -263,6 +289,15 @@ class Stack:
         return [f"{b}_pred" for b in self.bases] + (self.features if self.use_features else [])
 
     def fit(self, df: DataFrame, key: str, target: str, search: dict | None = None) -> "Stack":
+        base, meta = (linear_settings(self.kw.get(n, {})) for n in ("linear", self.meta_kind))
+        if set(self.bases) == {"linear"} and len(self.bases) == 1 and self.meta_kind == "linear" and base is not None and meta is not None and not search:
+            # folds, base and meta learner from one pass: a forecast is linear in the features, so its moments follow from theirs
+            parts = fold_moments(df.withColumn("fold", fold_of(F.col(key), self.k, self.seed)), self.features, target, self.k)
+            lines = [m.fit(**base) for m in LS.left_out(parts)]
+            total = sum(parts[1:], parts[0])
+            self.models["linear"] = LineModel(self.features, total.fit(**base))
+            self.meta = LineModel(self._meta_features(), LS.stacked(parts, lines, self.use_features).fit(**meta))
+            return self
         rows = df
         for b in self.bases:
             oof, _ = out_of_fold(df, key, b, self.features, target, self.k, self.seed, **self.kw.get(b, {}))
@@ -315,7 +350,28 @@ class RangeModels:
         self.models: dict[tuple, PipelineModel] = {}
         self.meta: PipelineModel | None = None
 
+    def _from_sums(self, df: DataFrame, target: str, settings: dict) -> "RangeModels":
+        """Linear ranges, their stand-ins and a linear meta learner from one pass: groups are (range, half) and the half of all rows that trains the meta learner."""
+        side = in_test(F.concat_ws("|", target, *self.features), 0.5).cast("int")
+        mine = [F.when(F.col(target).between(lo - self.overlap, hi + self.overlap), F.lit(2 * i) + side) for i, (lo, hi) in enumerate(self.ranges)]
+        last = 2 * len(self.ranges)
+        got = LS.moments(df, self.features, target, F.array_compact(F.array(*mine, F.when(side == 1, last))))
+        none = LS.Moments.none(len(self.features) + 1)
+        halves = {r: (got.get(2 * i, none), got.get(2 * i + 1, none)) for i, r in enumerate(self.ranges)}
+        used = [r for r, (a, b) in halves.items() if a.n + b.n >= self.least_rows]
+        self.models = {r: LineModel(self.features, (halves[r][0] + halves[r][1]).fit(**settings)) for r in used}
+        if self.meta_kind:
+            stand_ins = [halves[r][0].fit(**settings) for r in used]
+            width = len(self.features) + 1
+            matrix = np.concatenate([[np.append(s.coef, 0.0)] for s in stand_ins] + [np.eye(width)[-1:]])
+            seen = got.get(last, none).mapped(matrix, np.array([*(s.intercept for s in stand_ins), 0.0]))
+            self.meta = LineModel(self._names(), seen.fit(**linear_settings({})))
+        return self
+
     def fit(self, df: DataFrame, target: str) -> "RangeModels":
+        settings = linear_settings(self.kw)
+        if self.kind == "linear" and settings is not None and self.meta_kind in (None, "linear"):
+            return self._from_sums(df, target, settings)
         sizes = {(r["lo"], r["hi"]): r["n"] for r in rows_per_range(df.select(target), target, self.ranges, self.overlap).groupBy("lo", "hi").agg(F.count("*").alias("n")).collect()}
         used = [r for r in self.ranges if sizes.get(r, 0) >= self.least_rows]
         fits = [lambda r=r: fit_regressor(df.filter(F.col(target).between(r[0] - self.overlap, r[1] + self.overlap)), self.kind, self.features, target,
