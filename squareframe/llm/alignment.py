@@ -3,7 +3,7 @@
 1. Both tokenizers write a text as the same bytes, so a token is known by the byte where it ends. Where both have an end, a group ends.
 2. Most groups are one to one, in runs on one diagonal (a fixed difference of the two token numbers). A run is jumped by exponential probing: slices of the two arrays
    of ends are compared at the current shift, each twice as long as the one before, and halved again where they differ. Between runs the side that is behind
-   steps on until the ends meet; the pairs of tokens on that way are the links inside the group, and the shift is updated.
+   steps on until the ends meet, which is a group of its own, and the shift is updated.
 3. Documents are worked in blocks of bounded size. A block writes its distinct linked id pairs once, with counts; these meet in one aggregation over the corpus, and the
    totals go back to the block, not to each document. A document keeps the places of its pairs in its block's list.
 """
@@ -41,18 +41,20 @@ def align(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     n = len(ends_a)
     raw_a, raw_b = ends_a.astype(np.int64, copy=False).tobytes(), ends_b.astype(np.int64, copy=False).tobytes()
     list_a, list_b = ends_a.tolist(), ends_b.tolist()
-    run_a, run_b, sizes, near_a, near_b = [], [], [], [], []
+    run_a, run_b, sizes = [], [], []
     i = j = 0
     while i < n:
-        start, wide = i, 1
-        while i < n and raw_a[8 * i:8 * (i + wide)] == raw_b[8 * j:8 * (j + wide)]:
-            step = min(wide, n - i)  # slices cut at the ends of both arrays are equal only if as much is left of both
-            i, j, wide = i + step, j + step, wide * 2
-        while wide > 1:
-            wide //= 2
-            if i < n and raw_a[8 * i:8 * (i + wide)] == raw_b[8 * j:8 * (j + wide)]:
-                step = min(wide, n - i)
-                i, j = i + step, j + step
+        start = i
+        if list_a[i] == list_b[j]:
+            i, j, wide = i + 1, j + 1, 1
+            while i < n and raw_a[8 * i:8 * (i + wide)] == raw_b[8 * j:8 * (j + wide)]:
+                step = min(wide, n - i)  # slices cut at the ends of both arrays are equal only if as much is left of both
+                i, j, wide = i + step, j + step, wide * 2
+            while wide > 1:
+                wide //= 2
+                if i < n and raw_a[8 * i:8 * (i + wide)] == raw_b[8 * j:8 * (j + wide)]:
+                    step = min(wide, n - i)
+                    i, j = i + step, j + step
         if i > start:
             run_a.append(start)
             run_b.append(j - (i - start))
@@ -61,8 +63,6 @@ def align(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarra
             break
         end_a, end_b = list_a[i], list_b[j]
         while end_a != end_b:
-            near_a.append(i)
-            near_b.append(j)
             if end_a < end_b:
                 i += 1
                 end_a = list_a[i]
@@ -72,7 +72,12 @@ def align(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     size = np.array(sizes, np.int64)
     inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     group_a, group_b = np.repeat(np.array(run_a, np.int64), size) + inside, np.repeat(np.array(run_b, np.int64), size) + inside
-    return group_a, group_b, np.concatenate([group_a, np.array(near_a, np.int64)]), np.concatenate([group_b, np.array(near_b, np.int64)])
+    # inside a group, each end that only one side has is a link with the token of the other side around it
+    inner_a, inner_b = np.ones(n, bool), np.ones(len(ends_b), bool)
+    inner_a[group_a], inner_b[group_b] = False, False
+    near_a, near_b = np.flatnonzero(inner_a), np.flatnonzero(inner_b)
+    link_a = np.concatenate([group_a, near_a, np.searchsorted(ends_a, ends_b[near_b])])
+    return group_a, group_b, link_a, np.concatenate([group_b, np.searchsorted(ends_b, ends_a[near_a]), near_b])
 
 
 class _Digits:
@@ -116,6 +121,7 @@ class _Pair:
         self.bytes_a = self.a.bytes
         self.bytes_b = [self._piece(i) for i in range(self.b.vocab_size())]
         self.size_a, self.size_b = (np.array([len(t) for t in x], np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.empty_b = {i for i, t in enumerate(self.bytes_b) if not t}
         self.digits = _Digits(max(len(self.bytes_a), len(self.bytes_b)))
 
     def _piece(self, i: int) -> bytes:
@@ -126,18 +132,19 @@ class _Pair:
 
     def ids(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of both tokenizers for each text; none where the text is empty or either writes other bytes than a blank and the text."""
-        a = [np.frombuffer(x, "<i4").astype(np.int64) if t else np.zeros(0, np.int64) for x, t in zip(self.a.encode_all([" " + t for t in texts]), texts, strict=True)]
-        b: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
-        short = [k for k, t in enumerate(texts) if len(t) <= LONG_TEXT]
-        for k, x in zip(short, self.b.encode([texts[k] for k in short], num_threads=1), strict=True):
-            b[k] = np.array(x, np.int64)
+        none = np.zeros(0, np.int64)
+        a = [np.frombuffer(x, "<i4").astype(np.int64) for x in self.a.encode_all([" " + t for t in texts])]
+        b, short = [none] * len(texts), [k for k, t in enumerate(texts) if len(t) <= LONG_TEXT]
+        whole = dict(zip(short, self.b.encode([texts[k] for k in short], num_threads=1), strict=True))
         for k, t in enumerate(texts):
             if len(t) > LONG_TEXT and MARK not in t:  # with a mark its bytes differ in any case
-                b[k] = np.frombuffer(piece_codec(self.path_b).encode(t), "<i4").astype(np.int64)
-            want = b" " + t.encode()
-            if (not t or b"".join(map(self.bytes_a.__getitem__, a[k].tolist())) != want or b"".join(map(self.bytes_b.__getitem__, b[k].tolist())) != want
-                    or not self.size_b[b[k]].all()):
-                a[k] = b[k] = np.zeros(0, np.int64)
+                whole[k] = np.frombuffer(piece_codec(self.path_b).encode(t), "<i4").tolist()
+            want, ids = b" " + t.encode(), whole.get(k, [])
+            # the first tokenizer maps bytes one to one, so its lengths tell; the second one's bytes are compared
+            if t and self.size_a[a[k]].sum() == len(want) and b"".join(map(self.bytes_b.__getitem__, ids)) == want and (not self.empty_b or self.empty_b.isdisjoint(ids)):
+                b[k] = np.array(ids, np.int64)
+            else:
+                a[k] = none
         return a, b
 
 
