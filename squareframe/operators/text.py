@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,18 +66,102 @@ def term_vectors(df: DataFrame, key: str, text: Column, least: int = 2, most: in
     return model, model.transform(rows)
 
 
+#: Directions beyond those asked for, passes at most, and the relative change of singular values that ends them.
+SVD_SPARE, SVD_PASSES, SVD_SETTLED = 10, 40, 1e-7
+
+
+def truncated_svd(vectors: DataFrame, terms: int, k: int, features: str = "features", seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`truncated_svd_rows` of a vector column."""
+    return truncated_svd_rows(cut_lineage(vectors.select(_sparse(features))), terms, k, seed)
+
+
+def truncated_svd_rows(rows: DataFrame, terms: int, k: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """(singular values, terms x k right vectors) of the matrix of sparse rows, not centred: a randomised range finder.
+
+    A tall block of ``k + SVD_SPARE`` directions over the terms goes through the rows once per pass: each task multiplies its rows with the block and back, Spark adds the
+    results by term, and a tall-skinny QR makes the block orthonormal again. Nothing of terms x terms is made; the block (terms x directions, bounded by the
+    vocabulary's limit) is all that tasks and driver hold. Passes end when the values stand. Signs make each vector's largest entry positive.
+    """
+    size = min(k + SVD_SPARE, terms)
+    block, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((terms, size)))
+    last = None
+    for _ in range(SVD_PASSES):
+        product = _there_and_back(rows, block)
+        small = block.T @ product
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        found = np.sqrt(np.maximum(values[::-1][:k], 0))
+        if last is not None and np.abs(found - last).max() <= SVD_SETTLED * max(found.max(), 1e-300):
+            break
+        last = found
+        block, _ = np.linalg.qr(product)
+    right = (block @ turn[:, ::-1])[:, :k]
+    lead = np.abs(right).argmax(axis=0)
+    return found, right * np.sign(right[lead, np.arange(right.shape[1])])
+
+
+def _sparse(features: str) -> Column:
+    """Indices and values of a vector column as arrays."""
+    v = F.unwrap_udt(features)
+    every = F.when(F.size(v["values"]) > 0, F.sequence(F.lit(0), F.size(v["values"]) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.struct(F.when(v["type"] == 0, v["indices"]).otherwise(every).alias("i"), v["values"].alias("x")).alias("row")
+
+
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term and value of each entry of a batch of sparse rows."""
+    lists = batch.column(batch.num_columns - 1)
+    index = lists.field("i")
+    return np.repeat(np.arange(batch.num_rows), np.asarray(index.value_lengths())), np.asarray(index.flatten()), np.asarray(lists.field("x").flatten())
+
+
+def _there_and_back(rows: DataFrame, block: np.ndarray) -> np.ndarray:
+    """A' (A block): sums over the rows by task, then by term."""
+    terms, size = block.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            at, index, value = _entries(b)
+            if not len(index):
+                continue
+            total = np.zeros((terms, size)) if total is None else total
+            for c in range(size):
+                dots = np.bincount(at, weights=value * block[index, c], minlength=b.num_rows)
+                total[:, c] += np.bincount(index, weights=value * dots[at], minlength=terms)
+        if total is not None:
+            used = np.flatnonzero(total.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(total[used, c]) for c in range(size))], ["t", *(f"c{c}" for c in range(size))])
+
+    sums = rows.mapInArrow(run, "t long, " + ", ".join(f"c{c} double" for c in range(size))).groupBy("t").agg(*[F.sum(f"c{c}").alias(f"c{c}") for c in range(size)]).toArrow()
+    out = np.zeros(block.shape)
+    if sums.num_rows:
+        out[sums["t"].to_numpy()] = np.stack([sums[f"c{c}"].to_numpy() for c in range(size)], 1)
+    return out
+
+
 def svd_features(df: DataFrame, key: str, text: Column, k: int = 10, least: int = 2, most: int = 1000) -> DataFrame:
-    """(key, svd_0 .. svd_{k-1}): principal directions of the term vectors, keyed by row; zeros beyond the number of terms."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import vector_to_array
+    """(key, svd_0 .. svd_{k-1}): each text's TF-IDF vector in the ``k`` leading right singular directions, not centred; zeros beyond the rank or the number of terms.
 
+    ``most`` bounds the vocabulary and with it the memory (``most`` x (k + 10) numbers); 100,000 terms are about 16 MB for k = 10. Repeated rows are kept; texts without
+    a listed term have zeros.
+    """
     if not _has_terms(df, key, text, least):
         return df.select(key, *[F.lit(0.0).alias(f"svd_{i}") for i in range(k)])
     model, vectors = term_vectors(df, key, text, least, most)
-    size = min(k, len(model.stages[0].vocabulary))
-    out = PCA(k=size, inputCol="features", outputCol="svd").fit(vectors).transform(vectors)
-    a = vector_to_array("svd")
-    return out.select(key, *[(F.get(a, F.lit(i)) if i < size else F.lit(0.0)).alias(f"svd_{i}") for i in range(k)])
+    terms = len(model.stages[0].vocabulary)
+    rows = cut_lineage(vectors.select(key, _sparse("features")))  # read once per pass
+    _, right = truncated_svd_rows(rows.select("row"), terms, min(k, terms))
+    size = right.shape[1]
+    names = [f"svd_{i}" for i in range(size)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, index, value = _entries(b)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.bincount(at, weights=value * right[index, c], minlength=b.num_rows)) for c in range(size))], [key, *names])
+
+    fields = rows.select(key).schema
+    for n in names:
+        fields = fields.add(n, "double")
+    return rows.mapInArrow(run, fields).select(key, *names, *[F.lit(0.0).alias(f"svd_{i}") for i in range(size, k)])
 
 
 def _has_terms(df: DataFrame, key: str, text: Column, least: int) -> bool:
