@@ -20,6 +20,8 @@ BITS = 15
 DIMS = 1 << BITS
 #: Rows of each class that a fit reads at most, chosen by a hash of the key. Only the fit is bounded; counts and scores cover all rows.
 SAMPLE_ROWS = 600
+#: Bytes of whole texts that are scored at a time.
+SLICE = 1 << 18
 FAMILIES = ("char3", "char4", "word", "pair")
 STEPS = 150
 _GRAM = {3: np.uint32(0x9E3779B1), 4: np.uint32(0x85EBCA77)}
@@ -69,7 +71,7 @@ class Model:
         """Calibrated log-odds of each row of a string column, whole texts, a slice at a time."""
         data, off = flat(column)
         out = np.zeros(len(column))
-        for i, j in slices(off):
+        for i, j in slices(off, SLICE):
             out[i:j] = self.raw(data[off[i]:off[j]], off[i:j + 1] - off[i])
         return out * self.slope + self.shift
 

@@ -31,7 +31,9 @@ STARS, SAMPLE, COMMON = 4, 16, 1 << 17
 #: Bits of the map of nodes whose sets a join needs (the first bytes of their digests); others with the same bit come along and find no partner.
 BITS = 24
 #: Words of more bytes are hashed by xxhash: polynomials of words as long as this and regular can agree. Nodes that a task remembers, to give each once.
-LONG_WORD, SEEN = 255, 1 << 19
+LONG_WORD, SEEN = 255, 1 << 17
+#: Bytes of whole texts that are cut at a time.
+SLICE = 1 << 18
 #: Words of 64 bits of a node's sketch. A bit is the parity of the shingles that hash to it, so two sketches differ in no more bits than their sets in shingles.
 SKETCH = 32
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -74,7 +76,7 @@ def _prints(shingle: int):
         for b in batches:
             data, off = flat(b.column(2))
             node, marks = [], []
-            for i, j in slices(off):
+            for i, j in slices(off, SLICE):
                 h, o = shingle_sets(data[off[i]:off[j]], off[i:j + 1] - off[i], shingle)
                 node += _nodes(h, o)
                 own = np.zeros((j - i, STARS + 2 + SKETCH), np.int64)
@@ -102,7 +104,7 @@ def _each_node(shingle: int, make, names: list[str]):
         seen: set[bytes] = set()
         for b in batches:
             data, off = flat(b.column(0))
-            for i, j in slices(off):
+            for i, j in slices(off, SLICE):
                 h, o = shingle_sets(data[off[i]:off[j]], off[i:j + 1] - off[i], shingle)
                 node = _nodes(h, o)
                 if len(seen) > SEEN:

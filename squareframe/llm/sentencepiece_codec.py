@@ -243,6 +243,10 @@ class Codec:
                         self.chunks[parts[n]] = out[n]
         return b"".join(out)
 
+    def forget(self) -> None:
+        for memory in (self.known, self.chunks, self.borders):
+            memory.clear()
+
     def decode(self, ids) -> str:
         """The text of ids; the blank in front is dropped."""
         raw = b"".join(map(self.decoded.__getitem__, ids))
@@ -264,10 +268,10 @@ def _lists(ids: list[bytes]) -> tuple[pa.Array, pa.Array]:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4"))), pa.array(sizes)
 
 
-def encode_pieces(docs: DataFrame, path: str, text: str = "text", decoded: str | None = None) -> DataFrame:
+def encode_pieces(docs: DataFrame, path: str, text: str = "text", decoded: str | None = None, remember: bool = True) -> DataFrame:
     """``docs`` without the text column, with ``ids`` (array of int) and ``n_tokens``. A null text has no ids. Columns of these names are replaced.
 
-    ``decoded`` names a column for the MD5 digest of what the ids decode to, made in the same pass.
+    ``decoded`` names a column for the MD5 digest of what the ids decode to, made in the same pass. Without ``remember`` a task gives its memory of words back when it ends.
     """
     new = ["ids", "n_tokens", *([decoded] if decoded else [])]
     names = [c for c in docs.columns if c != text and c not in new]
@@ -282,6 +286,8 @@ def encode_pieces(docs: DataFrame, path: str, text: str = "text", decoded: str |
                 ids = [c.encode(str(view[x:y], "utf-8")) for x, y in zip(off[i:j].tolist(), off[i + 1:j + 1].tolist(), strict=True)]
                 digest = [pa.array([hashlib.md5(c.decode(array("i", x)).encode()).hexdigest() for x in ids], pa.string())] if decoded else []
                 yield pa.RecordBatch.from_arrays([*(b.column(n).slice(i, j - i) for n in names), *_lists(ids), *digest], [*names, *new])
+        if not remember:
+            c.forget()
 
     fields = docs.select(*names).schema.add("ids", ArrayType(IntegerType())).add("n_tokens", "long")
     return docs.select(*names, text).mapInArrow(run, fields.add(decoded, "string") if decoded else fields)

@@ -27,7 +27,7 @@ from .flat import BASE, BYTE_VALUE, SECOND_BASE, SECOND_VALUE, Prefix, flat, mix
 LENGTH = 100
 GRAM = 32
 #: Anchors that a task combines at a time, regions that are sorted at a time, and regions of one gram that are gathered at most.
-COMBINE, CHUNK, HOT = 1 << 20, 1 << 16, 20_000
+COMBINE, CHUNK, HOT = 1 << 18, 1 << 14, 20_000
 NULL_ID = -(1 << 63)
 
 
@@ -99,7 +99,7 @@ def _scan(length: int, gram: int):
         for batch in batches:
             data, off = flat(batch.column(2))
             docs, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for i, j in slices(off):
+            for i, j in slices(off, 1 << 18):
                 part, o = data[off[i]:off[j]], off[i:j + 1] - off[i]
                 p, first, last = _anchors(part, o, length, gram)
                 if not len(p):
