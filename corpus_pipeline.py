@@ -45,7 +45,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether decoding gives the text back."""
     path = public_tokenizers.path(queries.PIECES)
     marked = docs.withColumn("text_md5", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
-    coded = sentencepiece_codec.encode_pieces(marked, path, "text", "decoded_md5")
+    coded = sentencepiece_codec.encode_pieces(marked, path, "text", "decoded_md5", remember=False)
     return coded.withColumn("decodes", F.col("decoded_md5") == F.col("text_md5")).drop("decoded_md5", "text_md5")
 
 
@@ -57,6 +57,10 @@ STAGES = [
     ("SentencePiece encoding and decoding", pieces),
 ]
 
+#: Five stages share the memory of one executor: rows that go to Python at a time, and bytes that a task holds before it writes them.
+BATCH, ROWS_IN_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+ROW_GROUP_BYTES = 32 << 20
+
 #: A fitted model, hashes with rotations, and merges of pieces have no SQL form; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
@@ -65,7 +69,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet in the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/corpus_pipeline/{uuid.uuid4().hex}"
-    for n, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
-        docs = spark.read.parquet(f"{folder}/{n}")
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, ROWS_IN_BATCH)
+    try:
+        for n, (_, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{folder}/{n}")
+            docs = spark.read.parquet(f"{folder}/{n}")
+    finally:
+        spark.conf.set(BATCH, before)
     return docs
