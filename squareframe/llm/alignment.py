@@ -171,8 +171,15 @@ class Aligned:
         of = np.searchsorted(edge, link_a, "right") - 1
         self.n_links = np.bincount(of, minlength=len(texts))
         self.text, self.begin = _group_text(pair.digits, ids_a, ids_b, last_a, last_b) if len(ids_a) else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-        order = np.lexsort((link_b_ids := ids_b[link_b], link_a_ids := ids_a[link_a], of))
-        code, of = (link_a_ids << ID_BITS | link_b_ids)[order], of[order]
+        wide_a, wide_b = (max(1, len(x).bit_length()) for x in (pair.bytes_a, pair.bytes_b))
+        if len(texts).bit_length() + wide_a + wide_b < 64:  # text and both ids in one number
+            whole = np.sort(of << (wide_a + wide_b) | ids_a[link_a] << wide_b | ids_b[link_b])
+            of, code = whole >> (wide_a + wide_b), whole & ((1 << (wide_a + wide_b)) - 1)
+            code = (code >> wide_b) << ID_BITS | (code & ((1 << wide_b) - 1))
+        else:
+            code = ids_a[link_a] << ID_BITS | ids_b[link_b]
+            order = np.lexsort((code, of))
+            of, code = of[order], code[order]
         new = np.ones(len(code), bool)
         new[1:] = (code[1:] != code[:-1]) | (of[1:] != of[:-1])
         first = np.flatnonzero(new)

@@ -5,6 +5,7 @@ A slice holds about ``SLICE`` bytes of whole texts (one text, if that is longer)
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,3 +99,12 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     last[ends] = solid[ends]
     starts = np.flatnonzero(first)
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, off)
+
+
+def give_back() -> None:
+    """Return memory that is free to the system: workers outlive their tasks, and several stages share the memory of a machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .components import components
-from .flat import BASE, SECOND_BASE, SECOND_VALUE, Prefix, flat, mixed, slices, words
+from .flat import BASE, SECOND_BASE, SECOND_VALUE, Prefix, flat, give_back, mixed, slices, words
 from .simhash import close_edges, fingerprint, only_heads
 
 #: Similarity as a fraction, in whole numbers.
@@ -94,6 +94,7 @@ def _prints(shingle: int):
             flat_marks = np.concatenate(marks)
             lists = pa.ListArray.from_arrays(np.arange(0, flat_marks.size + 1, STARS + 2 + SKETCH, dtype=np.int32), pa.array(flat_marks.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.binary()), lists], ["key", "mark", "node", "marks"])
+        give_back()
     return run
 
 
@@ -114,6 +115,8 @@ def _each_node(shingle: int, make, names: list[str]):
                     cols = make(h, o, node, fresh)
                     if len(cols[0]):
                         yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], names)
+        seen.clear()
+        give_back()
     return run
 
 
@@ -170,6 +173,7 @@ def _holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = len(np.intersect1d(x, y, assume_unique=True))
             good[k] = both * LEAST[1] >= LEAST[0] * (len(x) + len(y) - both)
         yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good)), b.column(1).filter(pa.array(good))], ["u", "v"])
+    give_back()
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .flat import give_back
 from .hashed_lr import Model
 
 KEEP_FROM = 0.5
@@ -33,6 +34,7 @@ def with_probability(docs: DataFrame, model: Model, text: str, name: str = _OWN)
         for b in batches:
             p = 1 / (1 + np.exp(-np.clip(model.logit(b.column(text)), -12, 12)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(p)], [*names, name])
+        give_back()
 
     return docs.select(*names).mapInArrow(run, docs.select(*names).schema.add(name, "double"))
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .flat import flat
+from .flat import flat, give_back
 
 MARK = "▁"
 #: Segments, words and pairs of pieces that a Python worker remembers at most, and their length; beyond, it starts anew. About 200 MB in all.
@@ -288,6 +288,7 @@ def encode_pieces(docs: DataFrame, path: str, text: str = "text", decoded: str |
                 yield pa.RecordBatch.from_arrays([*(b.column(n).slice(i, j - i) for n in names), *_lists(ids), *digest], [*names, *new])
         if not remember:
             c.forget()
+            give_back()
 
     fields = docs.select(*names).schema.add("ids", ArrayType(IntegerType())).add("n_tokens", "long")
     return docs.select(*names, text).mapInArrow(run, fields.add(decoded, "string") if decoded else fields)

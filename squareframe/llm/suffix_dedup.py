@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from .flat import BASE, BYTE_VALUE, SECOND_BASE, SECOND_VALUE, Prefix, flat, mixed, slices
+from .flat import BASE, BYTE_VALUE, SECOND_BASE, SECOND_VALUE, Prefix, flat, give_back, mixed, slices
 
 LENGTH = 100
 GRAM = 32
@@ -113,6 +113,7 @@ def _scan(length: int, gram: int):
                     yield from flush()
         if held:
             yield from flush()
+        give_back()
     return run
 
 
@@ -258,6 +259,8 @@ def _resolve(length: int):
                     yield work(t.slice(0, cut).combine_chunks())
         if held:
             yield work(pa.Table.from_batches(held).combine_chunks())
+        held.clear()
+        give_back()
     return run
 
 
@@ -348,6 +351,7 @@ def _trim(names: list[str], length: int, with_text: bool):
                     texts.append(kept.decode("utf-8", "ignore"))
             cols = [b.column(c) for c in names] + [pa.array(np.diff(off)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string())]
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(texts, pa.string())] if with_text else []), [*names, *_NEW, *(["kept_text"] if with_text else [])])
+        give_back()
     return run
 
 
