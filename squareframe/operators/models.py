@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from ..fixed_values import MODEL_RANGES, RANGE_OVERLAP
 from ..session import cut_lineage, shared_folder
 from . import least_squares as LS
-from .evaluate import label_scores, range_weight
+from .evaluate import bucket_weight, label_scores, range_weight
 from .labels import assemble_predictions, blend, joined_tag, overall_confidence
+from .search import adaptive_search
 from .splits import fold_of, in_test
 from .tables import has_text
 
@@ -198,6 +199,15 @@ def fit_regressor(df: DataFrame, kind: str, features: list[str], target: str, we
     return without_summary(Pipeline(stages=[assembler(features), learner]).fit(df), df.sparkSession)
 
 
+def fit_bucket_weighted(df: DataFrame, kind: str, features: list[str], target: str, ranges=None, **kw) -> PipelineModel | LineModel:
+    """A regressor trained with the loss that weighs an error by the bucket of its target; rows outside all buckets take no part."""
+    rows = df.withColumn("_bucket_weight", bucket_weight(F.col(target), ranges)).where("_bucket_weight > 0")
+    if kind == "linear" and (settings := linear_settings(kw)) is not None:
+        got = LS.moments(rows, features, target, F.array(F.lit(0)), "_bucket_weight")
+        return LineModel(features, got.get(0, LS.Moments.none(len(features) + 1)).fit(**settings))
+    return fit_regressor(rows, kind, features, target, "_bucket_weight", **kw)
+
+
 def without_summary(model: PipelineModel, spark) -> PipelineModel:
     """The model as it is read back from the shared folder: without the training summary, which holds on to the session and its plans."""
     path = f"{shared_folder(spark)}/models/{uuid.uuid4().hex}"
@@ -303,7 +313,10 @@ class Stack:
             oof, _ = out_of_fold(df, key, b, self.features, target, self.k, self.seed, **self.kw.get(b, {}))
             rows = rows.join(oof.select(key, F.col("prediction").alias(f"{b}_pred")), key)
             self.models[b] = fit_regressor(df, b, self.features, target, **self.kw.get(b, {}))
-        if search:
+        if search and self.meta_kind == "gbt":  # depth, rounds and step; ``trials`` of them
+            choices = {n: search.get(n, v) for n, v in BOOSTED_CHOICES.items()}
+            self.meta, self.trials = search_boosted(rows, self._meta_features(), target, key, search.get("trials", 100), choices, self.seed)
+        elif search:
             self.meta, _ = search_regressor(rows, self.meta_kind, self._meta_features(), target, search, key, self.seed, **self.kw.get(self.meta_kind, {}))
         else:
             self.meta = fit_regressor(rows, self.meta_kind, self._meta_features(), target, **self.kw.get(self.meta_kind, {}))
@@ -336,6 +349,36 @@ def search_regressor(df: DataFrame, kind: str, features: list[str], target: str,
     return models[min(range(len(errors)), key=errors.__getitem__)], scores
 
 
+#: Settings of a boosted meta learner that a search chooses from.
+BOOSTED_CHOICES = {"maxDepth": [2, 3, 4], "stepSize": [0.05, 0.1, 0.2, 0.4], "maxIter": list(range(1, 17))}
+
+
+def search_boosted(df: DataFrame, features: list[str], target: str, key: str, trials: int = 100, choices: dict[str, list] | None = None, seed: int = 42):
+    """Best boosted regressor by an adaptive search over depth, rounds and step, judged by RMSE on a hash split; and the (settings, score) list.
+
+    Boosting adds trees to those before, so one fit with the most rounds tells the error of every smaller number: a trial with a depth and a step that were seen costs nothing.
+    """
+    choices = choices or BOOSTED_CHOICES
+    test = in_test(F.col(key), 0.2, seed)
+    columns = [key, target, *features]
+    train, held = cut_lineage(df.select(*columns).filter(~test)), cut_lineage(df.select(*columns).filter(test))
+    if held.isEmpty():
+        held = train
+    errors: dict[tuple, list[float]] = {}
+    most = max(choices["maxIter"])
+
+    def objective(p: dict) -> float:
+        shape = (p["maxDepth"], p["stepSize"])
+        if shape not in errors:
+            learner = REGRESSORS["gbt"](labelCol=target, maxDepth=shape[0], stepSize=shape[1], maxIter=most)
+            rows = assembler(features)
+            errors[shape] = learner.fit(rows.transform(train)).evaluateEachIteration(rows.transform(held), "squared")
+        return errors[shape][p["maxIter"] - 1] ** 0.5
+
+    best, done = adaptive_search(objective, choices, trials, seed)
+    return fit_regressor(df, "gbt", features, target, **best), done
+
+
 def random_grid(choices: dict[str, list], draws: int = 100, seed: int = 42) -> list[dict]:
     """``draws`` different random picks from the choices (all, if there are fewer): the parameters of a search without a full grid."""
     every = [dict(zip(choices, values)) for values in itertools.product(*choices.values())]

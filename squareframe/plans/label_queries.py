@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as V
 from ..operators import labels as L
+from ..operators import logistic as LL
 from ..operators import models as M
 from ..operators import splits as P
 from ..operators import tables as D
@@ -185,15 +186,15 @@ def balanced_label_forest(spark, sf):
 
 @register("label_model_scores", "L6 A13")
 def label_model_scores(spark, sf):
-    _, scores = M.fit_label_models(_documents(spark, sf), "doc_id", ["quality", "toxic"], I.DOCUMENT_FEATURES)
+    _, scores = LL.fit_label_lines(_documents(spark, sf), "doc_id", ["quality", "toxic"], I.DOCUMENT_FEATURES)
     return spark.createDataFrame(scores, "label string, auc double, verdict string")
 
 
 @register("multi_label_predictions", "L7")
 def multi_label_predictions(spark, sf):
     rows = _documents(spark, sf)
-    models, _ = M.fit_label_models(rows, "doc_id", ["quality", "toxic"], I.DOCUMENT_FEATURES, least_auc=0.0)
-    return M.multi_label(models, rows.filter("quality is null"), "doc_id", I.DOCUMENT_FEATURES, 0.3).select("doc_id", "labels")
+    models, _ = LL.fit_label_lines(rows, "doc_id", ["quality", "toxic"], I.DOCUMENT_FEATURES, least_auc=0.0)
+    return LL.label_texts(models, rows.filter("quality is null"), "doc_id", 0.3).select("doc_id", "labels")
 
 
 @register("weighted_training_errors", "L19")
@@ -277,6 +278,14 @@ def meta_search(spark, sf):
     return spark.createDataFrame([(float(p["regParam"]), float(p["elasticNetParam"]), float(s)) for p, s in scores], "reg_param double, elastic_net double, rmse double")
 
 
+@register("boosted_meta_search", "L13 L12")
+def boosted_meta_search(spark, sf):
+    """A stack whose boosted meta learner comes from an adaptive search of a hundred trials over depth, rounds and step: all trials with their errors."""
+    stack = M.build_stack(_training(spark, sf), "l_orderkey", "rating", _FX, bases=("linear",), meta="gbt", search={"trials": 100})
+    rows = [(n, p["maxDepth"], p["maxIter"], p["stepSize"], e) for n, (p, e) in enumerate(stack.trials)]
+    return spark.createDataFrame(rows, "trial int, depth int, rounds int, step double, rmse double")
+
+
 @register("range_model_forecast", "L11")
 def range_model_forecast(spark, sf):
     rows = _training(spark, sf)

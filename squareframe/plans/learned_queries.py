@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from ..operators import logistic as LL
 from ..operators import models as M
 from ..operators import text as X
 from ..session import cut_lineage
@@ -126,20 +127,40 @@ def recovered_variations(spark, sf):
     return M.classify_variations(models, rows.filter("l_orderkey % 3 = 0"), "key", "family").select("key", "variation")
 
 
-@register("separable_label_scores", "L6", """SELECT label, CAST(auc AS DOUBLE) AS auc, verdict FROM (VALUES ('late', 1.0, 'kept'), ('never', NULL, 'skipped')) v(label, auc, verdict) WHERE (SELECT count(*) FROM lineitem) > 0""")
+_HELD = "CAST('0x' || substr(md5('42:' || " + _KEY + "), 1, 8) AS BIGINT) < 858993459"
+
+
+@register("separable_label_scores", "L6", f"""WITH h AS (SELECT l_linenumber AS x, l_orderkey % 2 AS odd FROM lineitem WHERE {_HELD}),
+  a AS (SELECT sum(CASE WHEN p.odd = 1 AND q.odd = 0 THEN p.n * q.n * CASE WHEN p.x > q.x THEN 1.0 WHEN p.x = q.x THEN 0.5 ELSE 0 END END) / sum(CASE WHEN p.odd = 1 AND q.odd = 0 THEN p.n * q.n END) AS auc
+    FROM (SELECT x, odd, count(*) AS n FROM h GROUP BY 1, 2) p, (SELECT x, odd, count(*) AS n FROM h GROUP BY 1, 2) q),
+  d AS (SELECT corr(l_linenumber, l_orderkey % 2) >= 0 AS up FROM lineitem WHERE NOT {_HELD})
+  SELECT 'late' AS label, CAST(1.0 AS DOUBLE) AS auc, 'kept' AS verdict UNION ALL SELECT 'never', NULL, 'skipped'
+  UNION ALL SELECT 'odd', round(CAST(CASE WHEN up THEN auc ELSE 1 - auc END AS DOUBLE), 6), 'dropped' FROM a, d""")
 def separable_label_scores(spark, sf):
-    """A label that a threshold decides has an area of 1; a label without positives is skipped."""
-    rows = _lines(spark, sf).withColumn("late", (F.col("x") > 3).cast("int")).withColumn("never", F.lit(0))
-    _, scores = M.fit_label_models(rows, "key", ["late", "never"], ["x"])
-    return spark.createDataFrame(scores, "label string, auc double, verdict string")
+    """A label that a threshold decides has an area of 1; one that has nothing to do with the feature keeps the area of its order, and goes; one without positives is skipped."""
+    rows = _lines(spark, sf).withColumns({"late": (F.col("x") > 3).cast("int"), "never": F.lit(0), "odd": (F.col("l_orderkey") % 2).cast("int")})
+    _, scores = LL.fit_label_lines(rows, "key", ["late", "never", "odd"], ["x"])
+    return spark.createDataFrame(scores, "label string, auc double, verdict string").withColumn("auc", F.round("auc", 6))
 
 
 @register("separable_labels", "L7", f"SELECT {_KEY} AS key, CASE WHEN l_linenumber > 6 THEN 'late' WHEN l_linenumber < 2 THEN 'first' ELSE '' END AS labels FROM lineitem")
 def separable_labels(spark, sf):
     """Two labels of a line, each on one side of all others; every line is labelled."""
     rows = _lines(spark, sf).withColumn("late", (F.col("x") > 6).cast("int")).withColumn("first", (F.col("x") < 2).cast("int"))
-    models, _ = M.fit_label_models(rows, "key", ["first", "late"], ["x"], boosted=True)
-    return M.multi_label(models, rows, "key", ["x"]).select("key", "labels")
+    models, _ = LL.fit_label_lines(rows, "key", ["first", "late"], ["x"], ridge=1e-5)
+    return LL.label_texts(models, rows, "key").select("key", "labels")
+
+
+_WEIGHT = f"CASE WHEN {_Y} < 0 THEN 0 WHEN {_Y} < 1200 THEN 1.0 WHEN {_Y} < 1800 THEN 1.5 WHEN {_Y} < 2400 THEN 1.2 WHEN {_Y} < 3500 THEN 1.0 ELSE 0 END"
+
+
+@register("bucket_weighted_line", "A20 L8", f"""WITH r AS (SELECT o_orderkey, {_X} AS x, {_Y} AS y, CAST({_WEIGHT} AS DOUBLE) AS w FROM orders), s AS (SELECT sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM r),
+  b AS (SELECT mx, my, sum(w * (x - mx) * (y - my)) / sum(w * (x - mx) * (x - mx)) AS b FROM r, s GROUP BY 1, 2) SELECT o_orderkey, round(my + b * (x - mx), 3) AS prediction FROM r, b""")
+def bucket_weighted_line(spark, sf):
+    """A fit in which an error counts by the bucket of its target: the weights of the loss as weights of the rows."""
+    rows = _priced(spark, sf)
+    model = M.fit_bucket_weighted(rows, "linear", ["x"], "y", **_LEAST)
+    return M.with_prediction(model, rows, "p").select("o_orderkey", F.round("p", 3).alias("prediction"))
 
 
 # ---------------------------------------------------------------- vectors and clusters
