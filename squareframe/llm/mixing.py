@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators.splits import with_global_rank
 from ..session import cut_lineage
+from .simhash import unused
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -174,14 +175,16 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 
 def mixed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``docs`` with each row as often as the mix takes it. Rows equal in key, text and source share the sum of their copies in near equal parts."""
-    plan = mix(docs, key, text, source).groupBy(F.col(key).alias("_key"), F.col("mark").alias("_mark"), F.col("source").alias("_source")).agg(
-        F.sum("copies").alias("_copies"), F.count("*").alias("_twins")).where("_copies > 0")
+    """``docs`` with each row as often as the mix takes it. Rows equal in key, text and source share the sum of their copies in near equal parts. Columns of any name
+    ride along: those made here have names that no column has."""
+    k, mark, s, copies, twins, m, t, own, n = (unused(docs, x) for x in ("key", "mark", "source", "copies", "twins", "own_mark", "own_source", "own", "copy"))
+    plan = mix(docs.select(key, text, source), key, text, source).groupBy(F.col(key).alias(k), F.col("mark").alias(mark), F.col("source").alias(s)).agg(
+        F.sum("copies").alias(copies), F.count("*").alias(twins)).where(F.col(copies) > 0)
     plan = cut_lineage(plan)
-    rows = docs.withColumn("_m", F.xxhash64(text)).withColumn("_s", F.col(source).cast("string"))
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_m") == F.col("_mark")) & F.col("_s").eqNullSafe(F.col("_source"))
-    single = rows.join(plan.where("_twins = 1"), same).withColumn("_own", F.col("_copies"))
-    twins = Window.partitionBy("_key", "_mark", "_source").orderBy(F.xxhash64(*docs.columns))
-    several = rows.join(plan.where("_twins > 1"), same).withColumn("_own", F.floor((F.col("_copies") + F.col("_twins") - F.row_number().over(twins)) / F.col("_twins")))
-    taken = single.unionByName(several).where("_own > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_own").cast("int")))).select(*docs.columns)
+    rows = docs.withColumn(m, F.xxhash64(text)).withColumn(t, F.col(source).cast("string"))
+    same = F.col(key).eqNullSafe(F.col(k)) & (F.col(m) == F.col(mark)) & F.col(t).eqNullSafe(F.col(s))
+    single = rows.join(plan.where(F.col(twins) == 1), same).withColumn(own, F.col(copies))
+    order = Window.partitionBy(k, mark, s).orderBy(F.xxhash64(*docs.columns))
+    several = rows.join(plan.where(F.col(twins) > 1), same).withColumn(own, F.floor((F.col(copies) + F.col(twins) - F.row_number().over(order)) / F.col(twins)))
+    taken = single.unionByName(several).where(F.col(own) > 0)
+    return taken.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(own).cast("int")))).select(*docs.columns)

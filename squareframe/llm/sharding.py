@@ -16,6 +16,8 @@ from ..session import cut_lineage
 
 #: Ranges aimed at, samples drawn for each range, and how much above its share a range may be before it is divided.
 RANGES = 64
+#: Rows that a range should hold; more rows make more ranges, up to a number that fits into one search.
+ROWS_IN_RANGE, MOST_RANGES = 1 << 20, 512
 SAMPLES_PER_RANGE = 16
 OVERFULL = 2.0
 ORDER = ["_k1", "_k2", "_k3"]
@@ -23,7 +25,7 @@ ORDER = ["_k1", "_k2", "_k3"]
 
 @dataclass(frozen=True)
 class Splitters:
-    """Sorted boundary keys; their number follows ``RANGES``, not the data."""
+    """Sorted boundary keys, ``MOST_RANGES`` and those of three rounds of division at most."""
 
     keys: list[tuple[int, int, int]]
 
@@ -82,7 +84,8 @@ def shard(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "te
 
     Size is the UTF-8 length plus 1; a null text has size 1 and the checksum of no bytes. ``slot`` counts from 0 without gaps in each shard. Null keys come first
     among equal texts; rows that are equal in both are told apart by their place only, so which of them comes first doesn't matter. An empty table gives an empty
-    result. Only key, size and hashes are shuffled, never texts.
+    result. Only key, size and hashes are shuffled, never texts. Ranges follow the number of rows; one that is still overfull after three rounds of division
+    (rows equal in text and key can't be divided) costs time in its task, not the balance of the shards.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
@@ -90,8 +93,8 @@ def shard(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "te
     rows = docs.select(F.col(key).alias("key"), (F.octet_length(t) + F.lit(1)).cast("long").alias("size"), F.crc32(F.encode(t, "UTF-8")).alias("text_crc32"),
                        F.xxhash64(t).alias("_k1"), F.coalesce(F.xxhash64(F.lit("key"), F.col(key)), F.lit(0)).alias("_k2"))
     rows = cut_lineage(rows.withColumn("_k3", F.xxhash64("text_crc32", "_k1", "_k2")))  # texts are read once
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    dealt = splitters(rows, total).range_of(rows)
+    total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    dealt = splitters(rows, total, max(RANGES, min(MOST_RANGES, -(-n // ROWS_IN_RANGE)))).range_of(rows)
     order = Window.partitionBy("_range").orderBy("_k1", "_k2", F.col("key").asc_nulls_first())
     placed = dealt.withColumn("_at", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_nth", F.row_number().over(order))
     sizes = dealt.groupBy("_range").agg(F.sum("size").alias("_size"), F.count("*").alias("_n"))

@@ -197,16 +197,16 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
 
 def only_heads(docs: DataFrame, heads: DataFrame, key: str, text: str) -> DataFrame:
     """The rows of ``docs`` that ``heads`` names in ``first``, a struct with key and mark; of equal rows one. Columns of any name ride along."""
-    mark, own_key, own_mark = (_unused(docs, n) for n in ("mark", "head_key", "head_mark"))
+    mark, own_key, own_mark = (unused(docs, n) for n in ("mark", "head_key", "head_mark"))
     heads = heads.select(F.col("first.key").alias(own_key), F.col("first.mark").alias(own_mark))
     marked = docs.withColumn(mark, F.xxhash64(text))
     kept = marked.join(heads, F.col(key).eqNullSafe(F.col(own_key)) & (F.col(mark) == F.col(own_mark)), "left_semi")
     return kept.dropDuplicates([key, mark]).select(*docs.columns)
 
 
-def _unused(df: DataFrame, name: str) -> str:
-    """``name`` with as many underscores in front as no column has."""
-    taken = {c.lower() for c in df.columns}
+def unused(df: DataFrame, name: str) -> str:
+    """``name`` with an underscore, or as many more as it takes for a name that no column has."""
+    taken, name = {c.lower() for c in df.columns}, f"_{name}"
     while name.lower() in taken:
         name = "_" + name
     return name

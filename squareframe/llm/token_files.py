@@ -6,6 +6,7 @@ a reader of ``n_tokens`` touches no token page and a reader of a key range skips
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -22,6 +23,8 @@ from .flat import flat
 END_ID = 1
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
+#: Texts in a file at most, so that a running sum over one file is bounded.
+ROWS_IN_FILE = 1 << 20
 #: Words, and runs of letters or signs, that a Python worker remembers at most; beyond, it starts anew. Longer ones than LONGEST_KEPT are not kept.
 WORDS_KEPT, RUNS_KEPT, LONGEST_KEPT = 600_000, 400_000, 64
 #: ASCII and the composed Latin letters: no form changes under NFC, lower-casing goes letter by letter.
@@ -31,6 +34,12 @@ _PLAIN = re.compile(f"[\x21-\x7e\u00c0-\u00d6\u00d8-\u00de{_LETTERS}]*+").fullma
 _KEPT = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_LETTER = {b: b for b in _KEPT} | {b: 256 + n for n, b in enumerate(sorted({*range(256)} - _KEPT))}
 
+#: How the tokenizer that the shortcuts below stand for prepares a text.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
 _tokenizers: dict[str, Encoder] = {}
 
 
@@ -47,6 +56,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        kind = json.loads(self.library.to_str())
+        if kind["normalizer"] != NORMALIZER or kind["pre_tokenizer"] != PRE_TOKENIZER or kind["model"]["type"] != "BPE":
+            raise ValueError(f"{path} doesn't split texts as word_bpe_49k does")
         self.model = self.library.model
         self.words: dict[bytes, bytes] = {}
         self.runs: dict[str, bytes] = {}
@@ -118,19 +130,20 @@ def write_tokens(docs: DataFrame, folder: str, path: str, key: str = "doc_id", t
     ordered = docs.select(key, text, mark.alias("_mark")).repartitionByRange(F.col(key), F.col("_mark")).sortWithinPartitions(key, "_mark")
     (encode(ordered, path, key, text, end_id).write.mode("overwrite")
      .option("parquet.writer.version", "v2").option("parquet.enable.dictionary#n_tokens", "true").option("parquet.block.size", str(ROW_GROUP_BYTES))
-     .option("parquet.page.size", str(PAGE_BYTES)).option("parquet.page.write-checksum.enabled", "true").option("compression", "zstd").parquet(folder))
+     .option("parquet.page.size", str(PAGE_BYTES)).option("parquet.page.write-checksum.enabled", "true").option("maxRecordsPerFile", str(ROWS_IN_FILE)).option("compression", "zstd").parquet(folder))
 
 
 def read_index(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
     """(key, n_tokens, start, file, row): where each text lies in the whole stream of ids. Reads no token page.
 
-    Places inside a file come from a running sum per file, whose size the writer bounds; files are summed to a row each before their own running sum.
+    Places inside a file come from a running sum per file, whose rows the writer bounds; files are summed to a row each before their own running sum. Files stand in the
+    order of the two numbers in their names (task, and file of the task), which is that of the keys.
     """
-    # part files are numbered in key order
     rows = spark.read.parquet(folder).select(key, "n_tokens", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     inside = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("_all"))
-    line = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    number = lambda pattern: F.coalesce(F.regexp_extract("file", pattern, 1).try_cast("long"), F.lit(0))
+    line = Window.orderBy(number(r"^part-(\d+)"), number(r"-c(\d+)\."), "file").rowsBetween(Window.unboundedPreceding, -1)
     before = files.select("file", F.coalesce(F.sum("_all").over(line), F.lit(0)).alias("_before"))
     placed = rows.withColumn("_inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     return placed.join(before, "file").select(key, "n_tokens", (F.col("_before") + F.col("_inside")).alias("start"), "file", "row")

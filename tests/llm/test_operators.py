@@ -392,3 +392,63 @@ def test_quality_counts_of_texts_whose_hashes_agree(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality_rules.quality_rules(docs, model).collect()}
     assert got == {i: brute.quality_counts(t) for i, t in enumerate(texts)} and got[0][3] == 0
+
+
+def test_token_files_in_the_order_of_their_numbers(spark, tmp_path, docs, rows, monkeypatch):
+    """Starts follow the numbers in file names, not their letters: part-100000 comes after part-99999; and files are bounded."""
+    import os
+    import re
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(TOKENIZER)
+    monkeypatch.setattr(token_files, "ROWS_IN_FILE", 7)
+    token_files.write_tokens(docs, str(tmp_path / "t"), path)
+    names = sorted(n for n in os.listdir(tmp_path / "t") if n.startswith("part-"))
+    assert len(names) > 8
+    shift = 99_998  # the first tasks become part-99998, part-99999, the others part-100000 and so on
+    for n in names:
+        moved = re.sub(r"^part-(\d+)", lambda m: f"part-{int(m[1]) + shift:05d}", n)
+        os.rename(tmp_path / "t" / n, tmp_path / "t" / moved)
+        if os.path.exists(tmp_path / "t" / f".{n}.crc"):
+            os.rename(tmp_path / "t" / f".{n}.crc", tmp_path / "t" / f".{moved}.crc")
+    lib = Tokenizer.from_file(path)
+    want = brute.tokens([r[:2] for r in rows], lambda t: lib.encode(t, add_special_tokens=False).ids)
+    assert {r.doc_id: (r.start, r.n_tokens) for r in token_files.read_index(spark, str(tmp_path / "t")).collect()} == {k: v[:2] for k, v in want.items()}
+
+
+def test_token_files_hold_what_the_writer_promises(docs, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    token_files.write_tokens(docs, str(tmp_path / "t"), public_tokenizers.path(TOKENIZER))
+    for f in glob.glob(str(tmp_path / "t" / "part-*.parquet")):
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            cols = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c) for c in range(meta.num_columns)}
+            tokens = next(v for k, v in cols.items() if k.startswith("tokens"))
+            assert tokens.has_offset_index and tokens.has_column_index and tokens.compression == "ZSTD"
+            assert {"RLE_DICTIONARY", "DELTA_BINARY_PACKED", "PLAIN_DICTIONARY"} & set(tokens.encodings)
+            assert cols["doc_id"].statistics.has_min_max
+
+
+def test_another_tokenizer_is_refused():
+    with pytest.raises(ValueError):
+        token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_mixed_rows_keep_columns_with_made_names(spark):
+    names = ["_key", "_mark", "_source", "_copies", "_twins", "_own", "_own_mark", "_own_source", "_copy", "_m", "_s", "mark", "copies"]
+    df = spark.createDataFrame([(i, "w " * (i + 1), "s") for i in range(30)] * 2, "doc_id long, text string, source string")
+    wide = df.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    got = mixing.mixed_rows(wide)
+    assert got.columns == wide.columns and all(r[n] == f"{n}{r.doc_id}" for r in got.collect() for n in names)
+    assert got.count() == mixing.mixed_rows(df).count()
+
+
+def test_ranges_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_IN_RANGE", 20)
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), F.pmod(F.col("id"), F.lit(9)).cast("int")).alias("text"))
+    size = {r.shard: r.n for r in sharding.shard(df).groupBy("shard").agg(F.sum("size").alias("n")).collect()}
+    assert max(size.values()) - min(size.values()) <= 20
