@@ -16,7 +16,7 @@ def rows(spark):
     a, b = rng.normal(100, 5, 900), rng.normal(0, 1, 900)
     odds = (a - 100) / 5 - 2 * b
     y = {f"l{k}": (rng.random(900) < 1 / (1 + np.exp(-(odds * (k + 1) / 3 - k)))).astype(int) for k in range(4)}
-    data = [(i, float(a[i]), float(b[i]), 3.0, *[int(v[i]) if (i + k) % 7 else None for k, v in enumerate(y.values())], 0, 1) for i in range(900)]
+    data = [(i, float(a[i]), float(b[i]), 3.0, *[int(v[i]) if k == 0 or (i + k) % 7 else None for k, v in enumerate(y.values())], 0, 1) for i in range(900)]
     return spark.createDataFrame(data, "k int, a double, b double, c double, l0 int, l1 int, l2 int, l3 int, none int, all int").repartition(4).cache()
 
 
@@ -25,7 +25,8 @@ def test_lines_are_those_of_separate_fits(rows):
     for n in ("l0", "l1", "l2", "l3"):
         own = rows.where(F.col(n).isNotNull())
         want = M.LogisticRegression(labelCol=n, featuresCol="_x", regParam=0.01, tol=1e-12, maxIter=500).fit(M.assembler(X).transform(own))
-        assert got[n].coef == pytest.approx(want.coefficients.toArray(), rel=2e-3, abs=1e-3) and got[n].intercept == pytest.approx(want.intercept, rel=2e-3, abs=2e-2)
+        near = 1e-5 if n == "l0" else 1e-2  # the deviations that scale the penalty are those of all rows, also where a label is null
+        assert got[n].coef == pytest.approx(want.coefficients.toArray(), rel=near, abs=near) and got[n].intercept == pytest.approx(want.intercept, rel=near, abs=near)
     assert got["none"].coef.tolist() == [0, 0, 0] and got["none"].intercept < -5 < 5 < got["all"].intercept
 
 
