@@ -9,10 +9,11 @@ from __future__ import annotations
 import itertools
 import random
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -29,7 +30,7 @@ from . import least_squares as LS
 from .evaluate import bucket_weight, label_scores, range_weight
 from .labels import assemble_predictions, blend, joined_tag, overall_confidence
 from .search import adaptive_search
-from .splits import fold_of, in_test
+from .splits import fold_of, in_test, key_hash
 from .tables import has_text
 
 
@@ -463,6 +464,54 @@ def curve_embeddings(df: DataFrame, key: str, modes: dict[str, list[str]], k: in
     return out
 
 
+#: Curves whose kernel with every curve makes the map: those with the smallest key hashes.
+LANDMARKS = 256
+
+
+def kernel_embeddings(df: DataFrame, key: str, modes: dict[str, list[str]], k: int = 16, width: float = 1.5, landmarks: int = LANDMARKS, seed: int = 42) -> DataFrame:
+    """(key, {mode}_emb_0 .. {mode}_emb_{k-1}): ``k`` directions of a Gaussian kernel between curves, also where a curve has fewer levels than that.
+
+    Nystroem's map: ``landmarks`` curves (a bounded sample by key hash; only the map rests on it, every row is mapped) give the kernel's leading eigenvectors, and each curve
+    is placed by its kernel values with them, row by row. The kernel is ``width`` times the median distance of the landmarks wide. Rows with a null or non-finite level get
+    null components; directions beyond the rank are zero. Without a whole curve all components are null.
+    """
+    out = df.select(key)
+    for mode, cols in modes.items():
+        names = [f"{mode}_emb_{i}" for i in range(k)]
+        curve = F.array(*[F.col(c).cast("double") for c in cols])
+        rows = df.select(key, F.when(F.forall(curve, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), curve).alias("_c"))
+        chosen = rows.where("_c is not null").orderBy(key_hash(F.col(key), seed), key).limit(landmarks).select("_c").toArrow()
+        fields = rows.select(key).schema
+        for n in names:
+            fields = fields.add(n, "double")
+        if not chosen.num_rows:
+            out = out.join(rows.select(key, *[F.lit(None).cast("double").alias(n) for n in names]), key, "left")
+            continue
+        marks = np.array(chosen["_c"].to_pylist())
+        apart = ((marks[:, None] - marks[None]) ** 2).sum(axis=2)
+        scale = 2 * width * width * (float(np.median(apart[apart > 0])) if (apart > 0).any() else 1.0)
+        values, vectors = np.linalg.eigh(np.exp(-apart / scale))
+        values, vectors = values[::-1][:k], vectors[:, ::-1][:, :k]
+        live = values > 1e-10 * values[0]
+        to_map = np.zeros((len(marks), k))
+        to_map[:, :len(values)][:, live] = vectors[:, live] / np.sqrt(values[live])
+        to_map *= np.where(to_map[np.abs(to_map).argmax(axis=0), np.arange(k)] < 0, -1.0, 1.0)
+
+        def run(batches: Iterator[pa.RecordBatch], marks=marks, scale=scale, to_map=to_map, names=names) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                lists = b.column(1)
+                good = np.asarray(lists.is_valid())
+                x = np.asarray(lists.drop_null().flatten(), np.float64).reshape(-1, marks.shape[1])
+                far = (x * x).sum(axis=1)[:, None] + (marks * marks).sum(axis=1) - 2 * x @ marks.T
+                got = np.exp(-np.maximum(far, 0) / scale) @ to_map
+                whole = np.zeros((b.num_rows, len(names)))
+                whole[good] = got
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(whole[:, i], mask=~good) for i in range(len(names)))], [key, *names])
+
+        out = out.join(rows.mapInArrow(run, fields), key, "left")
+    return out
+
+
 def clusters(df: DataFrame, key: str, features: list[str], k: int = 50, seed: int = 42) -> DataFrame:
     """(key, position_cluster) by k-means over standardised features."""
     pipe = Pipeline(stages=[assembler(features), StandardScaler(inputCol="_x", outputCol="_s", withMean=True),

@@ -218,7 +218,7 @@ def embedding_clusters(spark, sf):
 def curve_embeddings(spark, sf):
     c = I.curve(spark, sf)
     modes = {m: [n for n in c.columns if m in n] for m in ("rapid", "blitz")}
-    return M.curve_embeddings(c, "vec_id", modes)
+    return M.kernel_embeddings(c, "vec_id", modes)
 
 
 # ---------------------------------------------------------------- regressors
