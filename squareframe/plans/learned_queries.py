@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from ..operators import discriminants as DA
 from ..operators import logistic as LL
 from ..operators import models as M
 from ..operators import text as X
@@ -127,6 +128,16 @@ def recovered_variations(spark, sf):
     return M.classify_variations(models, rows.filter("l_orderkey % 3 = 0"), "key", "family").select("key", "variation")
 
 
+@register("variations_of_many_families", "L2", f"""SELECT {_KEY} AS key, CASE WHEN l_linenumber <= 3 THEN 'a' || l_suppkey ELSE 'b' || l_suppkey END AS variation FROM lineitem
+  WHERE l_suppkey IN (SELECT l_suppkey FROM lineitem GROUP BY 1 HAVING count(*) >= 10 AND count(DISTINCT l_linenumber <= 3) = 2)""")
+def variations_of_many_families(spark, sf):
+    """A classifier for each supplier, all fitted together: the classes of a family are its own, and lie far apart on one feature."""
+    rows = cut_lineage(table(spark, sf, "lineitem").select(F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("key"), F.col("l_suppkey").cast("string").alias("family"),
+                                                           (F.when(F.col("l_linenumber") <= 3, 0.0).otherwise(10.0) + F.col("l_quantity") / 100).alias("x"), F.col("l_tax").alias("z"), "l_linenumber"))
+    known = rows.withColumn("variation", F.concat(F.when(F.col("l_linenumber") <= 3, "a").otherwise("b"), "family"))
+    return DA.classify_families(DA.fit_families(known, "family", "variation", ["x", "z"]), rows, "key", "family", ["x", "z"]).select("key", "variation")
+
+
 _HELD = "CAST('0x' || substr(md5('42:' || " + _KEY + "), 1, 8) AS BIGINT) < 858993459"
 
 
