@@ -277,7 +277,16 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     first = F.min(F.struct(F.col("key").isNull().alias("blank"), "key", "mark")).alias("first")
     nodes = cut_lineage(prints.groupBy("node").agg(first, F.first("marks").alias("marks")).withColumn("nid", F.monotonically_increasing_id()))
     sure = _verified(texts, _likely(_first_links(nodes), nodes), nodes, shingle)
-    rest = _verified(texts, _likely(_other_pairs(texts, nodes, components(sure), shingle), nodes), nodes, shingle)
-    tied = components(sure.unionByName(rest)).toDF("nid", "component")
+    # of the other pairs first one for each node: what it ties needs no further pair, so a cluster of many groups isn't verified group by group
+    likely = _likely(_other_pairs(texts, nodes, components(sure), shingle), nodes)
+    star = likely.groupBy("u").agg(F.min("v").alias("v"))
+    sure = cut_lineage(sure.unionByName(_verified(texts, star, nodes, shingle)))
+    groups = components(sure)
+    apart = likely.join(groups.toDF("u", "g"), "u", "left").join(groups.toDF("v", "h"), "v", "left").where(F.coalesce("g", "u") != F.coalesce("h", "v"))
+    left = cut_lineage(apart.select("u", "v").join(star, ["u", "v"], "left_anti"))
+    if not left.isEmpty():
+        sure = sure.unionByName(_verified(texts, left, nodes, shingle))
+        groups = components(sure)
+    tied = groups.toDF("nid", "component")
     heads = nodes.select("nid", "first").join(tied, "nid", "left").groupBy(F.coalesce("component", "nid").alias("root")).agg(F.min("first").alias("first"))
     return only_heads(docs, heads, key, text)

@@ -201,7 +201,9 @@ def only_heads(docs: DataFrame, heads: DataFrame, key: str, text: str) -> DataFr
     heads = heads.select(F.col("first.key").alias(own_key), F.col("first.mark").alias(own_mark))
     marked = docs.withColumn(mark, F.xxhash64(text))
     kept = marked.join(heads, F.col(key).eqNullSafe(F.col(own_key)) & (F.col(mark) == F.col(own_mark)), "left_semi")
-    return kept.dropDuplicates([key, mark]).select(*docs.columns)
+    if not marked.groupBy(key, mark).count().where("count > 1").isEmpty():  # narrow rows tell whether the texts have to move once more
+        kept = kept.dropDuplicates([key, mark])
+    return kept.select(*docs.columns)
 
 
 def unused(df: DataFrame, name: str) -> str:
