@@ -3,7 +3,8 @@
 1. Sampling. Every window of ``length`` bytes takes its smallest ``GRAM``-byte gram as anchor, so two equal windows have equal anchors at equal places, and only
    about one suffix in 35 is looked at. An anchor's region is the text of all windows it stands for.
 2. Bucketing. Anchors are shuffled by the hash of their gram. Regions with equal hashes (128 bits with the gram's) but the first are removed whole; a gram with one
-   region has no common extension and is dropped. Each task does this for its own rows before the shuffle, so copies cost one row per task.
+   region has no common extension and is dropped. Each task does this for its own rows before the shuffle, so copies cost one row per task. Of the regions that it
+   has of one gram, the first ``FEW`` are dealt by the gram, the others by gram and region: so a gram in very many different places isn't gathered anywhere.
 3. Suffix sort. The remaining regions of a gram fetch their text. Suffixes from the anchors, and the reversed texts before them, are sorted by mergesort, in
    which prefix polynomial hashes and binary search find the common extension of two suffixes; bytes of neighbours are compared afterwards, and another base is
    taken if a hash lied. Common extensions of neighbours tell for every window which earlier regions share it.
@@ -28,6 +29,8 @@ LENGTH = 100
 GRAM = 32
 #: Anchors that a task combines at a time, regions that are sorted at a time, and regions of one gram that are gathered at most.
 COMBINE, CHUNK, HOT = 1 << 18, 1 << 14, 20_000
+#: Regions of one gram, of those that a task combines, that are dealt by the gram; two or more, so that whoever has another one there learns that it has company.
+FEW = 4
 NULL_ID = -(1 << 63)
 
 
@@ -73,11 +76,14 @@ def _merge(doc, mark, a, end):
     return doc[first], mark[first], a[first], stop
 
 
-_ROW = "kgram long, region long, doc long, mark long, a long, b long"
+_ROW = "deal long, kgram long, region long, doc long, mark long, a long, b long"
 
 
 def _scan(length: int, gram: int):
-    """(doc, mark, text) to anchors (b = size of the region << 8 | place of the anchor) and intervals already known to go (b = -size)."""
+    """(doc, mark, text) to anchors (b = size of the region << 8 | place of the anchor) and intervals already known to go (b = -size).
+
+    ``deal`` is the gram's hash, or another number for a gram's regions beyond ``FEW``, which are thereby known to have company.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -93,8 +99,13 @@ def _scan(length: int, gram: int):
             d, m, x, end = _merge(doc[later], mark[later], a[later], a[later] + (b[later] >> 8))
             keep = head
             spread = mixed(mixed(d.view(np.uint64)) + x.view(np.uint64)).view(np.int64)
-            cols = [np.concatenate([u[keep], v]) for u, v in ((kgram, spread), (region, np.zeros_like(spread)), (doc, d), (mark, m), (a, x), (b, x - end))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kgram", "region", "doc", "mark", "a", "b"])
+            k, r = kgram[keep], region[keep]
+            fresh = np.concatenate([[True], k[1:] != k[:-1]])
+            nth = np.arange(len(k)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+            deal = np.where(nth < FEW, k, mixed(mixed(k.view(np.uint64)) + r.view(np.uint64)).view(np.int64))
+            cols = [deal, k, r, doc[keep], mark[keep], a[keep], b[keep]]
+            cols = [np.concatenate(uv) for uv in zip(cols, (spread, spread, np.zeros_like(spread), d, m, x, x - end), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["deal", "kgram", "region", "doc", "mark", "a", "b"])
 
         for batch in batches:
             data, off = flat(batch.column(2))
@@ -293,11 +304,12 @@ def _windows(length: int):
 def _spans(rows: DataFrame, placed: DataFrame, length: int, gram: int, parts: int) -> DataFrame:
     """(doc, mark, a, e) intervals to remove, some of them overlapping. ``placed``: the rows dealt by (doc, mark)."""
     spark = rows.sparkSession
-    anchors = rows.mapInArrow(_scan(length, gram), _ROW).repartition(parts, "kgram")
-    region = Window.partitionBy("kgram", "region").orderBy("doc", "mark", "a")
+    anchors = rows.mapInArrow(_scan(length, gram), _ROW).repartition(parts, "deal")
+    region = Window.partitionBy("deal", "kgram", "region").orderBy("doc", "mark", "a")
+    gram_here = Window.partitionBy("deal", "kgram")
     place = F.struct("doc", "mark", "a")
     ranked = anchors.withColumn("first", F.first(place).over(region)).withColumn("nth", F.row_number().over(region))
-    ranked = ranked.withColumn("several", F.min("region").over(Window.partitionBy("kgram")) != F.max("region").over(Window.partitionBy("kgram")))
+    ranked = ranked.withColumn("several", (F.col("deal") != F.col("kgram")) | (F.min("region").over(gram_here) != F.max("region").over(gram_here)))
     gone = (F.col("b") < 0) | (F.col("first") != place)
     size = F.when(F.col("b") < 0, -F.col("b")).otherwise(F.shiftright("b", 8))
     found = ranked.where(gone | (F.col("several") & (F.col("nth") == 1))).select("doc", "mark", "a", "b", "kgram", gone.alias("gone"), (F.col("a") + size).alias("e"))

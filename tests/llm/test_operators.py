@@ -94,6 +94,24 @@ def test_suffix_dedup_hot_grams_and_slices(spark, docs, rows, monkeypatch):
     assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.removed_spans(docs).collect()} == brute.dedup([r[:2] for r in rows])
 
 
+def test_suffix_dedup_deals_a_hot_gram_to_many_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefgh"))
+    own = ["".join(rng.choice(letters, 70)) for _ in range(400)]
+    line = "a passage that stands in every text between others, whole "
+    rows = [(i, own[i % 390] + line + own[(i * 7 + i // 390) % 390][:60]) for i in range(400)]
+    rows += [(500 + k, rows[k * 9][1][20:] + "x" * k) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.dedup(rows)
+    for few in (suffix_dedup.FEW, 2):
+        monkeypatch.setattr(suffix_dedup, "FEW", few)
+        assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.removed_spans(df.repartition(3)).collect()} == want
+    anchors = df.select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("mark"), "text").coalesce(1).mapInArrow(suffix_dedup._scan(100, 32), suffix_dedup._ROW)
+    by_gram = anchors.where("b > 0").groupBy("kgram").agg(F.count("*").alias("n"), F.count_if(F.col("deal") == F.col("kgram")).alias("here"))
+    top = by_gram.orderBy(F.desc("n")).first()
+    assert top.n > 300 and top.here == 2
+
+
 def test_suffix_dedup_repeated_keys(spark):
     rnd = random.Random(11)
     t, u = ("".join(rnd.choice("abcdefgh ") for _ in range(n)) for n in (153, 253))
