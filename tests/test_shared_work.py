@@ -79,3 +79,26 @@ def test_replay_of_long_games(spark):
     got = rows.agg(F.count("*"), F.sum("playable"), F.max("ply")).first()
     assert tuple(got) == (240, 240, 240)
     assert rows.where("ply % 4 = 0").select("cells").distinct().count() == 1
+
+
+def test_shared_values_are_worked_on_once(spark, monkeypatch):
+    fens = ["rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1", "4k3/8/8/8/8/8/8/4K2R w - - 0 1", None]
+    rows = [(str(i), fens[i % 3], ["e2e4 e7e5", "h1h8"][i % 2], "a b", "Ruy_Lopez", ["e4 e5", "d4"][i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "puzzle_id string, fen string, moves string, themes string, opening_tags string, line string")
+    seen = {}
+    for owner, name in ((J, "position_features"), (J, "move_features"), (J.Y, "replay")):
+        def counted(rows, key, *rest, _f=getattr(owner, name), _n=name):
+            seen[_n] = rows.count()
+            return _f(rows, key, *rest)
+        monkeypatch.setattr(owner, name, counted)
+    got = J.complete_features(df, "puzzle_id", infer_tags=False, text_vectors=False)
+    assert seen == {"position_features": 3, "move_features": 2, "replay": 6}
+    assert got.count() == 60 and got.drop("puzzle_id").distinct().count() == 6
+    assert {(r.total_material, r.n_moves, r.opening_num_tags) for r in got.collect()} == {(78, 2, 1), (78, 1, 1), (5, 2, 1), (5, 1, 1), (0, 2, 1), (0, 1, 1)}
+
+
+def test_rows_of_a_value_are_read_without_the_others(spark):
+    rows = spark.createDataFrame([(i, ["a", "2024", "", None][i % 4]) for i in range(40)], "k int, v string")
+    parts = M.split_rows(rows, "v", ["2024", "a"])
+    assert [{r.v for r in p.collect()} for p in parts] == [{"2024"}, {"a"}] and [p.count() for p in parts] == [10, 10]
+    assert all("PartitionFilters: [isnotnull(_part" in p._jdf.queryExecution().executedPlan().toString() for p in parts)
