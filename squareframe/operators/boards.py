@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,14 +78,13 @@ def decode_positions(df: DataFrame, fen: str = "fen") -> DataFrame:
 
 
 def sets_from_cells(df: DataFrame, cells: str = "cells") -> DataFrame:
-    """64 letters to twelve BIGINT sets: one translate and one base conversion each, no per-square work."""
+    """64 letters to twelve BIGINT sets, no per-square work: the letters' numbers from 1 as four planes of bits, by one translate and one base
+    conversion each, then a set as the squares whose four bits are those of its number."""
     alphabet = S.LETTERS + "."
     bits = F.reverse(F.col(cells))
-    sets = {}
-    for i, name in enumerate(S.SETS):
-        mask = "".join("1" if j == i else "0" for j in range(13))
-        sets[name] = F.conv(F.translate(bits, alphabet, mask), 2, -10).cast("long")
-    return df.withColumns(sets)
+    planes = {f"_plane{k}": F.conv(F.translate(bits, alphabet, "".join(str((i + 1) % 13 >> k & 1) for i in range(13))), 2, -10).cast("long") for k in range(4)}
+    sets = {name: reduce(S.common, [F.col(p) if (i + 1) >> k & 1 else F.bitwise_not(F.col(p)) for k, p in enumerate(planes)]) for i, name in enumerate(S.SETS)}
+    return df.withColumns(planes).withColumns(sets).drop(*planes)
 
 
 def sets_from_squares(long: DataFrame, key, sq: str = "sq", pc: str = "pc") -> DataFrame:

@@ -102,3 +102,28 @@ def test_rows_of_a_value_are_read_without_the_others(spark):
     parts = M.split_rows(rows, "v", ["2024", "a"])
     assert [{r.v for r in p.collect()} for p in parts] == [{"2024"}, {"a"}] and [p.count() for p in parts] == [10, 10]
     assert all("PartitionFilters: [isnotnull(_part" in p._jdf.queryExecution().executedPlan().toString() for p in parts)
+
+
+def test_a_list_is_replayed_once_for_all_its_games(spark):
+    start = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1"
+    lists = [(start, "e2e4 e7e5"), (None, "e2e4"), (start, None)]
+    games = spark.createDataFrame([(i, *lists[i % 3]) for i in range(30)], "k int, fen string, moves string")
+    seen = []
+
+    def work(rows, at):
+        seen.append(rows.count())
+        return Y.replay(rows, at)
+
+    shared = Y.per_list(games, "k", work)
+    assert seen == [3]
+    plain = Y.replay(games, "k")
+    assert sorted(map(str, shared.select(*plain.columns).collect())) == sorted(map(str, plain.collect())) and shared.count() == 30
+
+
+def test_facts_of_a_first_move_come_from_one_row_per_list(spark, monkeypatch):
+    rows = [("a", "4k3/8/8/8/8/8/8/R3K3 w - - 0 1", "a1a8 e8e7 a8a7 z9z9"), ("b", "4k3/P7/8/8/8/8/8/4K3 w - - 0 1", "a7a8q"), ("c", None, "e2e4 e7e5"), ("d", None, "")]
+    seen, checks = [], Y.with_checks
+    monkeypatch.setattr(Y, "with_checks", lambda plies: seen.append(plies.count()) or checks(plies))
+    got = Y.suggested_move_facts(spark.createDataFrame(rows, "k string, fen string, moves string"), "k", "fen", "moves")
+    assert {tuple(r) for r in got.collect()} == {("a", 0, 1, 0, "R", 2), ("b", 0, 1, 1, "P", 0), ("c", 0, 0, 0, "", 0)}
+    assert seen == [3]
