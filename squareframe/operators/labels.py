@@ -135,8 +135,9 @@ def similar_book(rows: DataFrame, book: DataFrame, key: str, name: str = "name",
 # ---------------------------------------------------------------- transpositions and clusters
 
 def signature_labels(signatures: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
-    """Dominant label and its share per position signature."""
-    return dominant_label(signatures.join(labels, key), "signature", label)
+    """Dominant label and its share per position signature. Labels that stand several times at a key are counted before they meet its signatures."""
+    counted = labels.groupBy(key, label).agg(F.count("*").alias("_n"))
+    return dominant_label(signatures.join(counted, key), "signature", label, F.col("_n"))
 
 
 def transposed_labels(signatures: DataFrame, known: DataFrame, key: str, discount: float = 0.9) -> DataFrame:

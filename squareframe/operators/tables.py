@@ -243,9 +243,9 @@ def label_shares(df: DataFrame, split: str, label: str) -> DataFrame:
     return counts.select(split, label, (F.col("n") / F.sum("n").over(Window.partitionBy(split))).alias("share"))
 
 
-def dominant_label(df: DataFrame, group: str, label: str) -> DataFrame:
-    """Most frequent label per group with its share and the group size; ties by name. Two partial aggregations."""
-    counts = df.groupBy(group, label).agg(F.count("*").alias("n"))
+def dominant_label(df: DataFrame, group: str, label: str, times: Column | None = None) -> DataFrame:
+    """Most frequent label per group with its share and the group size; ties by name. Two partial aggregations. ``times``: how often a row counts."""
+    counts = df.groupBy(group, label).agg(F.sum(F.lit(1) if times is None else times).alias("n"))
     top = counts.groupBy(group).agg(
         F.min(F.struct((-F.col("n")).alias("m"), F.col(label).alias("l"))).alias("b"), F.sum("n").alias("sample_size"))
     return top.select(group, F.col("b.l").alias("dominant"), (-F.col("b.m") / F.col("sample_size")).alias("share"), "sample_size")
