@@ -11,7 +11,7 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,40 +60,40 @@ class Encoder:
         if kind["normalizer"] != NORMALIZER or kind["pre_tokenizer"] != PRE_TOKENIZER or kind["model"]["type"] != "BPE":
             raise ValueError(f"{path} doesn't split texts as word_bpe_49k does")
         self.model = self.library.model
-        self.words: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = _Remembered(self._word, WORDS_KEPT)
+        self.runs: dict[str, bytes] = _Remembered(self._run, RUNS_KEPT)
         self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LETTERS}]+|[0-9]|[^a-z0-9{_LETTERS}]+").findall
 
     def _run(self, run: str) -> bytes:
-        got = self.runs.get(run)
-        if got is None:
-            if len(self.runs) >= RUNS_KEPT:
-                self.runs.clear()
-            spelled = run if run.isascii() else run.encode().decode("latin-1").translate(_BYTE_LETTER)
-            got = array("i", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-            if len(run) <= LONGEST_KEPT:
-                self.runs[run] = got
-        return got
+        spelled = run if run.isascii() else run.encode().decode("latin-1").translate(_BYTE_LETTER)
+        return array("i", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
-        if "<|" not in text and _PLAIN(text):
-            got = b"".join(map(self._run, self.split(text.lower())))
-        else:
-            got = array("i", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-        if len(self.words) >= WORDS_KEPT:
-            self.words.clear()
-        if len(word) <= LONGEST_KEPT:
-            self.words[word] = got
-        return got
+        if text.isascii() and text.isalpha():  # one run
+            return self.runs[text.lower()]
+        if "<|" not in text and (text.isascii() and text.isprintable() or _PLAIN(text)):
+            return b"".join(map(self.runs.__getitem__, self.split(text.lower())))
+        return array("i", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: bytes) -> bytes:
         """Ids of a text as 32-bit integers. Blanks 0x20 and 0x09 to 0x0D part words; other white space stays inside and is the library's matter."""
-        parts = text.split()
-        ids = list(map(self.words.get, parts))
-        if None in ids:
-            ids = [self._word(w) if got is None else got for w, got in zip(parts, ids, strict=True)]
-        return b"".join(ids)
+        return b"".join(map(self.words.__getitem__, text.split()))
+
+
+class _Remembered(dict):
+    """Values of ``make`` by key, ``most`` at once: beyond, the memory starts anew. Only a missing key costs a call from Python."""
+
+    def __init__(self, make: Callable, most: int):
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        got = self.make(key)
+        if len(self) >= self.most:
+            self.clear()
+        if len(key) <= LONGEST_KEPT:
+            self[key] = got
+        return got
 
 
 def _encoder(path: str) -> Encoder:

@@ -470,3 +470,19 @@ def test_ranges_follow_the_rows(spark, monkeypatch):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), F.pmod(F.col("id"), F.lit(9)).cast("int")).alias("text"))
     size = {r.shard: r.n for r in sharding.shard(df).groupBy("shard").agg(F.sum("size").alias("n")).collect()}
     assert max(size.values()) - min(size.values()) <= 20
+
+
+def test_words_are_remembered_up_to_a_limit():
+    import public_tokenizers
+
+    from squareframe.llm import token_files
+
+    made = []
+    kept = token_files._Remembered(lambda k: made.append(k) or k * 2, 2)
+    assert [kept[k] for k in ("a", "b", "a", "c", "a")] == ["aa", "bb", "aa", "cc", "aa"] and made == ["a", "b", "c", "a"] and len(kept) == 2
+    long = "x" * (token_files.LONGEST_KEPT + 1)
+    assert kept[long] == long * 2 and long not in kept
+    encoder = token_files.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    for text in ("Plain words IT'S don't a1b2", "straße Ünï ſharp x\x00y \x7f", "<|endoftext|> a<|b", "", "日本  x", "K İx"):
+        want = encoder.library.encode(text, add_special_tokens=False).ids
+        assert memoryview(encoder.encode(text.encode())).cast("i").tolist() == want, text
