@@ -6,7 +6,8 @@
    join nodes into groups, so that a large group of near copies is never compared with itself.
 3. All other pairs: in any one order of the shingles, two sets of similarity ``LEAST`` and more share one of their first ``n - ceil(LEAST * n) + 1`` shingles. The
    order puts shingles last that are frequent in a sample of the nodes; the result doesn't depend on it. A node's first shingles cross the network once, dealt by shingle;
-   sorted by size there, each meets only partners that can reach ``LEAST``. Pairs of different groups that meet are verified too.
+   those of shingles that two groups hold go on with the sketch of their node; sorted by size there, each meets only partners that can reach ``LEAST``. Pairs of
+   different groups whose sketches allow it are verified too.
 """
 
 from __future__ import annotations
@@ -211,12 +212,13 @@ def _first_links(nodes: DataFrame) -> DataFrame:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (s, n, nid, g, i) sorted by shingle and size to pairs of different groups that can be similar by their sizes and the places of the shingle."""
+    """Rows (s, n, nid, g, i, p, sketch) sorted by shingle and size to pairs of different groups that can be similar by their sizes, the places of the shingle and their
+    sketches. Two nodes whose shingles before this one (p, at place i - 1) are equal too have met there."""
     t, w = LEAST
-    held: list[np.ndarray] = []
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def pairs(rows):
-        s, n, nid, g, i = rows
+    def pairs(rows, sketch):
+        s, n, nid, g, i, p = rows
         last = np.append(np.flatnonzero(s[1:] != s[:-1]) + 1, len(s))
         last = last[np.searchsorted(last, np.arange(len(s)), "right")]  # end of each row's run
         live, step, found = np.arange(len(s)), 1, []
@@ -224,9 +226,13 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             live = live[w * n[live] >= t * n[live + step]]  # sizes rise in a run: none further on fits either
             a, b = live, live + step
             shared = np.minimum(i[a], i[b]) + np.minimum(n[a] - i[a], n[b] - i[b])  # at most, as the shingle stands at these places of both orders
-            fits = (g[a] != g[b]) & ((t + w) * shared >= t * (n[a] + n[b]))
-            if fits.any():
-                a, b = a[fits], b[fits]
+            fits = (g[a] != g[b]) & ((t + w) * shared >= t * (n[a] + n[b])) & ~((i[a] > 0) & (i[b] > 0) & (p[a] == p[b]))
+            a, b = a[fits], b[fits]
+            if len(a):
+                apart = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64)
+                near = (w + t) * apart <= (w - t) * (n[a] + n[b])
+                a, b = a[near], b[near]
+            if len(a):
                 found.append(np.stack([np.maximum(nid[a], nid[b]), np.minimum(nid[a], nid[b])], 1))
                 if sum(map(len, found)) > 1 << 20:
                     yield np.unique(np.concatenate(found), axis=0)
@@ -235,23 +241,30 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if found:
             yield np.unique(np.concatenate(found), axis=0)
 
+    def joined():
+        return np.concatenate([x for x, _ in held], axis=1), np.concatenate([x for _, x in held])
+
     def out(x):
         return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["u", "v"])
 
     for b in batches:
-        held.append(np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(5)]))
-        if sum(x.shape[1] for x in held) >= 1 << 16:
-            rows = np.concatenate(held, axis=1)
+        sketch = np.asarray(b.column(6).flatten()).view(np.uint64).reshape(-1, SKETCH)
+        held.append((np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(6)]), sketch))
+        if sum(len(x) for _, x in held) >= 1 << 16:
+            rows, sketch = joined()
             cut = int(np.searchsorted(rows[0], rows[0, -1]))  # the last shingle may go on
-            held = [rows[:, cut:]]
+            held = [(rows[:, cut:], sketch[cut:])]
             if cut:
-                yield from map(out, pairs(rows[:, :cut]))
+                yield from map(out, pairs(rows[:, :cut], sketch[:cut]))
     if held:
-        yield from map(out, pairs(np.concatenate(held, axis=1)))
+        yield from map(out, pairs(*joined()))
 
 
 def _other_pairs(texts: DataFrame, nodes: DataFrame, groups: DataFrame, shingle: int) -> DataFrame:
-    """(u, v): nodes of different groups that share a shingle of their prefixes and can be similar by their sizes and its places."""
+    """(u, v): nodes of different groups that share a shingle of their prefixes and can be similar by their sizes, its places and their sketches.
+
+    Sketches travel only with the rows of shingles that two groups hold.
+    """
     counted = texts.mapInArrow(_each_node(shingle, _sampled, ["s"]), "s long").groupBy("s").count().where("count > 2")
     common = counted.orderBy(F.desc("count"), "s").limit(COMMON).toArrow()
     h = common["s"].to_numpy().view(np.uint64)
@@ -259,8 +272,13 @@ def _other_pairs(texts: DataFrame, nodes: DataFrame, groups: DataFrame, shingle:
     make = _prefixes(h[o], common["count"].to_numpy()[o])
     own = texts.mapInArrow(_each_node(shingle, make, ["node", "n", "first"]), "node binary, n int, first array<long>").dropDuplicates(["node"])  # a node comes from every task that has it
     tied = nodes.select("node", "nid").join(groups.toDF("nid", "g"), "nid", "left").select("node", "nid", F.coalesce("g", "nid").alias("g"))
-    rows = own.join(tied, "node").select("n", "nid", "g", F.posexplode("first").alias("i", "s")).select("s", "n", "nid", "g", "i")
+    rows = own.join(tied, "node").select("n", "nid", "g", "first", F.posexplode("first").alias("i", "s"))
+    rows = rows.select("s", "n", "nid", "g", "i", F.coalesce(F.get("first", F.col("i") - 1), "s").alias("p"))
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "s")
+    met = rows.groupBy("s").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("s")
+    sketches = nodes.select("nid", F.slice("marks", STARS + 3, SKETCH).alias("sketch"))
+    rows = rows.join(met, "s", "left_semi").join(sketches, "nid").select("s", "n", "nid", "g", "i", "p", "sketch")
     return rows.repartition(parts, "s").sortWithinPartitions("s", "n", "nid").mapInArrow(_meet, "u long, v long").distinct()
 
 
@@ -278,7 +296,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     nodes = cut_lineage(prints.groupBy("node").agg(first, F.first("marks").alias("marks")).withColumn("nid", F.monotonically_increasing_id()))
     sure = _verified(texts, _likely(_first_links(nodes), nodes), nodes, shingle)
     # of the other pairs first one for each node: what it ties needs no further pair, so a cluster of many groups isn't verified group by group
-    likely = _likely(_other_pairs(texts, nodes, components(sure), shingle), nodes)
+    likely = cut_lineage(_other_pairs(texts, nodes, components(sure), shingle))
     star = likely.groupBy("u").agg(F.min("v").alias("v"))
     sure = cut_lineage(sure.unionByName(_verified(texts, star, nodes, shingle)))
     groups = components(sure)

@@ -93,3 +93,22 @@ def test_columns_with_clashing_names_and_long_texts(spark):
     kept_rows = near_dedup.keep_one(docs)
     assert kept_rows.columns == docs.columns
     assert {tuple(r) for r in kept_rows.collect()} == {rows[0], rows[2], rows[3]}
+
+
+def test_pairs_meet_once_and_only_where_their_sketches_allow_it():
+    """60 nodes of far sketches under one frequent shingle make no row; two alike that share 40 neighbouring shingles make one."""
+    import numpy as np
+    import pyarrow as pa
+
+    from squareframe.llm import near_dedup as N
+
+    bits = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, (60, N.SKETCH))
+
+    def made(rows):
+        cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(6)]
+        batch = pa.RecordBatch.from_arrays([*cols, pa.array([bits[r[6]].tolist() for r in rows], pa.list_(pa.int64()))], ["s", "n", "nid", "g", "i", "p", "sketch"])
+        return [p for b in N._meet(iter([batch])) for p in zip(*(c.to_pylist() for c in b.columns))]
+
+    assert made([(5, 300, k, k, 0, 5, k) for k in range(60)]) == []
+    assert made([(s, 300, k, k, s, max(s - 1, 0), 0) for s in range(40) for k in (1, 2)]) == [(2, 1)]
+    assert sorted(made([(s, 300, k, k, s, 100 * k + s, 0) for s in range(2) for k in (1, 2)])) == [(2, 1)]
