@@ -42,13 +42,18 @@ class Codec:
         self.ids = {p: i for i, p in enumerate(pieces) if i not in special and i not in set(byte_ids)}
         self.halves: dict[str, tuple[str, str] | None] = {}
         self.borders: dict[int, bool] = {}
+        self.follow: list[dict[int, bool]] = [{} for _ in pieces]  # for each piece: what was tried behind it
+        self.followed = 0
+        self.letters = {p for p in self.ids if len(p) == 1}
         self.known: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # words of the memory before, so that frequent ones outlive its end
         self.machine = ahocorasick.Automaton()
         for p, i in self.ids.items():
             if (p.strip(MARK) or p == MARK) and (not merges or self._reachable(p)):  # runs of marks have a rule of their own
-                self.machine.add_word(p, (i, len(p)))
+                self.machine.add_word(p, (i, len(p), self.follow[i]))
         self.machine.make_automaton()
+        self.anything = dict.fromkeys(self.ids.values(), True)  # what may stand at the start of a word
         self.runs = sorted((len(p) for p in self.ids if not p.strip(MARK)), reverse=True)
         self.decoded = [p.replace(MARK, " ").encode() for p in pieces]
         for n, i in enumerate(byte_ids):
@@ -61,6 +66,7 @@ class Codec:
         letter = r"[^\W\d_" + re.escape("".join(sorted(odd))) + "]"
         other = r"[\W\d_" + re.escape("".join(sorted(odd))) + "]"
         self.split = re.compile(f" *+{letter}++|(?:(?! ){other}| ++(?!{letter}))++").findall
+        self.one = re.compile(f"{letter}++").fullmatch
 
     @classmethod
     def load(cls, path: str) -> Codec:
@@ -133,8 +139,42 @@ class Codec:
 
     # encoding
 
+    def _merged_path(self, word: str) -> list[int]:
+        """``best_path`` for merges and a word whose characters all have a piece: only one path reaches a position, so no score is kept, but what may follow its last piece."""
+        n = len(word)
+        after: list[dict[int, bool] | None] = [None] * (n + 1)
+        last, start = [-1] * (n + 1), [0] * (n + 1)
+        after[0] = self.anything
+        for end, (i, size, follow) in self.machine.iter(word):
+            s = end + 1 - size
+            may = after[s]
+            if may is None:
+                continue
+            ok = may.get(i)
+            if ok is None:
+                ok = may[i] = self._border_stands(self.pieces[last[s]], self.pieces[i])
+                self.followed += 1
+            if ok:
+                end += 1
+                after[end], last[end], start[end] = follow, i, s
+        if self.followed > BORDERS_KEPT:
+            self._unfollow()
+        out: list[int] = []
+        while n:
+            out.append(last[n])
+            n = start[n]
+        out.reverse()
+        return out
+
+    def _unfollow(self) -> None:
+        for tried in self.follow:
+            tried.clear()
+        self.followed = 0
+
     def best_path(self, word: str) -> list[int]:
         """Pieces of a string without runs of marks. Position e keeps the best score of a path that ends there, its last piece and where that starts."""
+        if self.merges and self.letters.issuperset(word):
+            return self._merged_path(word)
         n = len(word)
         score, last, start = [None] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
         score[0] = 0.0
@@ -146,7 +186,7 @@ class Codec:
             if score[e - 1] is not None and (score[e] is None or score[e - 1] + UNKNOWN_SCORE > score[e]):
                 score[e], last[e], start[e] = score[e - 1] + UNKNOWN_SCORE, -1, e - 1
 
-        for end, (i, size) in self.machine.iter(word):
+        for end, (i, size, _) in self.machine.iter(word):
             while strange and strange[0] <= end:
                 unknown(strange.pop(0))
             e = end + 1
@@ -234,18 +274,24 @@ class Codec:
             return b"".join(self._segments(" " + text))
         out = list(map(self.chunks.get, parts))
         if None in out:
-            if len(self.chunks) > WORDS_KEPT:
-                self.chunks.clear()
+            if len(self.chunks) > WORDS_KEPT // 2:
+                self.older, self.chunks = self.chunks, {}
+            older = self.older.get
             for n, got in enumerate(out):
                 if got is None:
-                    out[n] = b"".join(self._segments(" " + parts[n]))
+                    if (got := older(parts[n])) is not None:
+                        out[n] = self.chunks[parts[n]] = got
+                        continue
+                    # letters alone are one segment, which needs no second entry among the segments
+                    out[n] = array("i", self.best_path(MARK + parts[n])).tobytes() if self.one(parts[n]) else b"".join(self._segments(" " + parts[n]))
                     if len(parts[n]) <= LONGEST_KEPT:
                         self.chunks[parts[n]] = out[n]
         return b"".join(out)
 
     def forget(self) -> None:
-        for memory in (self.known, self.chunks, self.borders):
+        for memory in (self.known, self.chunks, self.older, self.borders):
             memory.clear()
+        self._unfollow()
 
     def decode(self, ids) -> str:
         """The text of ids; the blank in front is dropped."""
