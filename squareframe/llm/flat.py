@@ -23,6 +23,8 @@ SECOND_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) +
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+#: Powers that are made at once at least; more come by doubling, as far as a caller's slices need them.
+LEAST_POWERS = 1 << 16
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -30,7 +32,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i up to n at least; odd bases have inverses."""
     got = _powers.get(base)
     if got is None or len(got[0]) <= n:
-        size = max(SLICE * 2, 1 << (n + 1).bit_length())
+        size = max(LEAST_POWERS, 1 << (n + 1).bit_length())
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
             out = np.ones(size, np.uint64)

@@ -37,6 +37,8 @@ LONG_WORD, SEEN = 255, 1 << 17
 SLICE = 1 << 18
 #: Words of 64 bits of a node's sketch. A bit is the parity of the shingles that hash to it, so two sketches differ in no more bits than their sets in shingles.
 SKETCH = 32
+#: Rows that a task lets meet at a time (more where one shingle has more), and pairs whose sketches are compared at a time.
+MET, SOME = 1 << 15, 1 << 13
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -154,10 +156,11 @@ def _prefixes(common: np.ndarray, rank: np.ndarray):
 
 
 def _needed(bits: np.ndarray):
-    """Whole sets of the nodes whose bit is set."""
+    """Whole sets of the nodes whose bit is set. Eight bits stay in a byte: each worker holds the map."""
 
     def make(h, o, node, fresh):
-        fresh = fresh & bits[_lead(node)]
+        lead = _lead(node)
+        fresh = fresh & (bits[lead >> 3] >> (lead & 7) & 1).astype(bool)
         size = np.diff(o)
         own = h[np.repeat(fresh, size)]
         ends = np.concatenate([[0], np.cumsum(size[fresh] * 8)]).astype(np.int32)
@@ -194,8 +197,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, nodes: DataFrame, shingle: int
     held = low.groupBy(F.shiftright("x", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("m")).toArrow()  # 2**18 rows at most
     table = np.zeros(1 << (BITS - 6), np.int64)
     table[held["w"].to_numpy()] = held["m"].to_numpy()
-    bits = np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
-    sets = texts.mapInArrow(_each_node(shingle, _needed(bits), ["node", "shingles"]), "node binary, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = texts.mapInArrow(_each_node(shingle, _needed(table.view(np.uint8)), ["node", "shingles"]), "node binary, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
     both = named.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     return cut_lineage(both.select("u", "v", "x", "y").mapInArrow(_holds, "u long, v long"))
 
@@ -229,12 +231,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fits = (g[a] != g[b]) & ((t + w) * shared >= t * (n[a] + n[b])) & ~((i[a] > 0) & (i[b] > 0) & (p[a] == p[b]))
             a, b = a[fits], b[fits]
             if len(a):
-                apart = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64)
+                apart = np.concatenate([np.bitwise_count(sketch[a[k:k + SOME]] ^ sketch[b[k:k + SOME]]).sum(axis=1, dtype=np.int64) for k in range(0, len(a), SOME)])
                 near = (w + t) * apart <= (w - t) * (n[a] + n[b])
                 a, b = a[near], b[near]
             if len(a):
                 found.append(np.stack([np.maximum(nid[a], nid[b]), np.minimum(nid[a], nid[b])], 1))
-                if sum(map(len, found)) > 1 << 20:
+                if sum(map(len, found)) > 1 << 18:
                     yield np.unique(np.concatenate(found), axis=0)
                     found = []
             step += 1
@@ -250,7 +252,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sketch = np.asarray(b.column(6).flatten()).view(np.uint64).reshape(-1, SKETCH)
         held.append((np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(6)]), sketch))
-        if sum(len(x) for _, x in held) >= 1 << 16:
+        if sum(len(x) for _, x in held) >= MET:
             rows, sketch = joined()
             cut = int(np.searchsorted(rows[0], rows[0, -1]))  # the last shingle may go on
             held = [(rows[:, cut:], sketch[cut:])]
