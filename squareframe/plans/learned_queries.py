@@ -103,11 +103,11 @@ def range_line_forecast(spark, sf):
 
 # ---------------------------------------------------------------- labels that are thresholds
 
-def _lines(spark, sf):
-    """A row per line item; its number within the order decides every label below."""
+def _lines(spark, sf, written=True):
+    """A row per line item; its number within the order decides every label below. What reads few of the columns reads them from the table."""
     key = F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_linenumber").cast("double").alias("x"), key.alias("key"))
-    return cut_lineage(rows)
+    return cut_lineage(rows) if written else rows
 
 
 _KEY = "concat_ws('_', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
@@ -115,8 +115,9 @@ _KEY = "concat_ws('_', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
 
 @register("recovered_families", "L1 L16", f"SELECT {_KEY} AS key, CASE WHEN l_linenumber <= 3 THEN 'near' ELSE 'far' END AS label FROM lineitem WHERE l_orderkey % 3 = 0")
 def recovered_families(spark, sf):
-    rows = _lines(spark, sf).withColumn("family", F.when(F.col("x") <= 3, "near").otherwise("far"))
-    known = M.balanced_weights(rows.filter("l_orderkey % 3 != 0"), "family")
+    rows = _lines(spark, sf, False).withColumn("family", F.when(F.col("x") <= 3, "near").otherwise("far"))
+    shared = cut_lineage(M.shared_rows(rows.filter("l_orderkey % 3 != 0"), ["family", "x"]))
+    known = M.balanced_weights(shared, "family", count="_n")
     return M.classify(M.fit_classifier(known, "family", ["x"], weight="_w"), rows.filter("l_orderkey % 3 = 0"), "key").select("key", "label")
 
 
