@@ -126,19 +126,23 @@ def squares_table(boards: DataFrame, key, cells: str = "cells") -> DataFrame:
 def cells_from_sets(df: DataFrame) -> DataFrame:
     """Add the 64-letter text of a board held as sets (used to write positions out).
 
-    The twelve sets fold to four bit planes of the piece number first, so each square needs four bit tests.
+    The twelve sets fold to four bit planes of the piece number first. Each quarter of a plane is spread to one bit in four, so that four planes together are the
+    numbers of sixteen squares as hexadecimal digits. All of it is arithmetic in generated code; no expression runs square by square.
     """
-    planes = bit_planes()
-    one = F.lit(1).cast("long")
-
-    def text(p):
-        def letter(i):
-            bits = [F.call_function("shiftrightunsigned", p[f"p{k}"], i).bitwiseAND(one) * (1 << k) for k in range(4)]
-            return F.substring(F.lit("." + S.LETTERS), (bits[0] + bits[1] + bits[2] + bits[3]).cast("int") + 1, F.lit(1))
-
-        return F.array_join(F.transform(F.array(*[F.lit(i) for i in range(64)]), letter), "")
-
-    return df.withColumn("cells", S.let(F.struct(*[c.alias(f"p{k}") for k, c in enumerate(planes)]), text))
+    names = [c for c in df.columns if c != "cells"]
+    quarters = [(k, q) for k in range(4) for q in range(4)]
+    rows = df.select(*names, *[c.alias(f"_p{k}") for k, c in enumerate(bit_planes())])
+    low = S.constant(0xFFFF)
+    rows = rows.select(*names, *[F.shiftrightunsigned(f"_p{k}", 16 * q).bitwiseAND(low).alias(f"_p{k}{q}") for k, q in quarters])
+    for by, mask in ((24, 0x000000FF000000FF), (12, 0x000F000F000F000F), (6, 0x0303030303030303), (3, 0x1111111111111111)):
+        rows = rows.select(*names, *[F.col(f"_p{k}{q}").bitwiseOR(F.shiftleft(f"_p{k}{q}", by)).bitwiseAND(S.constant(mask)).alias(f"_p{k}{q}") for k, q in quarters])
+
+    def sixteen(q):
+        digits = reduce(Column.bitwiseOR, [F.shiftleft(f"_p{k}{q}", k) for k in range(4)])
+        return F.reverse(F.lpad(F.hex(digits), 16, "0"))
+
+    text = F.translate(F.concat(*[sixteen(q) for q in range(4)]), "0123456789ABC", "." + S.LETTERS)
+    return rows.select(*names, F.explode_outer(F.array(text)).alias("cells"))  # a filter on the text would else be moved down with copies of every step
 
 
 def pieces(boards: DataFrame, key, carry: list[str] | None = None) -> DataFrame:
