@@ -112,3 +112,12 @@ def test_pairs_meet_once_and_only_where_their_sketches_allow_it():
     assert made([(5, 300, k, k, 0, 5, k) for k in range(60)]) == []
     assert made([(s, 300, k, k, s, max(s - 1, 0), 0) for s in range(40) for k in (1, 2)]) == [(2, 1)]
     assert sorted(made([(s, 300, k, k, s, 100 * k + s, 0) for s in range(2) for k in (1, 2)])) == [(2, 1)]
+
+
+def test_shuffle_files_of_a_step_go_with_it(spark, monkeypatch):
+    """While stages run Spark removes what a finished step shuffled; the session's own setting comes back."""
+    seen, name = [], "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    spark.conf.set(name, "false")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", lambda spark, docs, sf: (seen.append(spark.conf.get(name)), docs)[1])])
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert seen == ["true"] and spark.conf.get(name) == "false"
