@@ -18,7 +18,8 @@ def tf_idf(df: DataFrame, key: str, text: Column, least: int = 1, most: int | No
     """(key, token, weight): tf times smooth idf, each row scaled to length 1.
 
     Counts per (key, token) are made once and written; document frequencies come from those counts. Weights are spread by key once: the norm is an
-    aggregate on that partitioning, joined back in place, so a long document is never one window frame.
+    aggregate on that partitioning, joined back in place, so a long document is never one window frame. In both joins the long side is neither sorted nor held:
+    tasks hold their share of the vocabulary (one row per token) or of the norms (one row per key).
     """
     counts = cut_lineage(token_rows(df, key, text).groupBy(key, "token").agg(F.count("*").alias("tf")))  # the text is split once
     if most is None:
@@ -29,9 +30,9 @@ def tf_idf(df: DataFrame, key: str, text: Column, least: int = 1, most: int | No
     n_docs = df.agg(F.count("*")).scalar()
     idf = vocab.select("token", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    weighted = counts.join(idf, "token").select(key, "token", (F.col("tf") * F.col("idf")).alias("w")).repartition(parts, key)
+    weighted = counts.join(idf.hint("shuffle_hash"), "token").select(key, "token", (F.col("tf") * F.col("idf")).alias("w")).repartition(parts, key)
     norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norms, key).select(key, "token", (F.col("w") / F.col("norm")).alias("weight"))
+    return weighted.join(norms.hint("shuffle_hash"), key).select(key, "token", (F.col("w") / F.col("norm")).alias("weight"))
 
 
 def hash_bucket(token: Column, buckets: int) -> Column:
