@@ -109,20 +109,26 @@ def pick(values: list[str], index: Column) -> Column:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(o_orderkey, moves): algebraic move list per order."""
-    return table(spark, sf_dir, "orders").select(
-        "o_orderkey",
-        F.trim(F.concat(pick(OPENINGS, F.col("o_orderkey") % len(OPENINGS)), F.lit(" "),
-                        pick(CONTINUATIONS, F.col("o_custkey") % len(CONTINUATIONS)))).alias("moves"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", line_text().alias("moves"))
+
+
+def line_text() -> Column:
+    """Algebraic move list of a row of ``orders``."""
+    return F.trim(F.concat(pick(OPENINGS, F.col("o_orderkey") % len(OPENINGS)), F.lit(" "), pick(CONTINUATIONS, F.col("o_custkey") % len(CONTINUATIONS))))
 
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(o_orderkey, tags): zero to two opening tags per order."""
-    t = table(spark, sf_dir, "orders")
+    return table(spark, sf_dir, "orders").select("o_orderkey", tag_text().alias("tags"))
+
+
+def tag_text() -> Column:
+    """Opening tags of a row of ``orders``."""
     fam, det = F.col("o_orderkey") % len(TAG_FAMILIES), F.col("o_custkey") % len(TAG_DETAILS)
     family, detail = pick(TAG_FAMILIES, fam), pick(TAG_DETAILS, det)
     full = F.when(detail == "", family).otherwise(F.concat(family, F.lit("_"), detail))
     two = F.when(F.col("o_custkey") % 3 == 0, F.concat(family, F.lit(" "), full)).otherwise(full)
-    return t.select("o_orderkey", F.when((F.col("o_orderkey") + F.col("o_custkey")) % 5 == 0, "").otherwise(two).alias("tags"))
+    return F.when((F.col("o_orderkey") + F.col("o_custkey")) % 5 == 0, "").otherwise(two)
 
 
 def themes(spark: SparkSession, sf_dir: str) -> DataFrame:

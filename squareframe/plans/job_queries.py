@@ -15,15 +15,17 @@ from .registry import register, table
 
 
 def puzzles(spark, sf):
-    """A puzzle per order, all of them: the board and UCI moves of its block of line items, its tags, its line, the words of a part, its mean line price."""
+    """A puzzle per order, all of them: the board and UCI moves of its block of line items, its tags, its line, the words of a part, its mean line price.
+
+    Parts grow with the tables and their words are long, while their file is small: they meet the orders in an exchange, not on the driver.
+    """
     games = I.uci_games(spark, sf).select(F.col("board_id").alias("_b"), "fen", "moves")
     rating = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg((F.avg("l_extendedprice") / 25).cast("int").alias("rating"))
-    tags = I.tags(spark, sf).withColumnRenamed("tags", "opening_tags")
-    lines = I.lines(spark, sf).withColumnRenamed("moves", "line")
     themes = I.themes(spark, sf).withColumnRenamed("p_partkey", "_p")
     parts = table(spark, sf, "part").agg(F.max("p_partkey") + 1).scalar()
-    orders = table(spark, sf, "orders").select("o_orderkey", F.expr("o_orderkey div 8").alias("_b"), (F.col("o_orderkey") % parts).alias("_p"))
-    out = orders.join(tags, "o_orderkey").join(lines, "o_orderkey").join(rating, "o_orderkey", "left").join(games, "_b", "left").join(themes, "_p", "left")
+    orders = table(spark, sf, "orders").select("o_orderkey", F.expr("o_orderkey div 8").alias("_b"), (F.col("o_orderkey") % parts).alias("_p"),
+                                               I.tag_text().alias("opening_tags"), I.line_text().alias("line"))
+    out = orders.join(themes.hint("merge"), "_p", "left").join(rating, "o_orderkey", "left").join(games, "_b", "left")
     return out.withColumn("puzzle_id", F.col("o_orderkey").cast("string")).drop("o_orderkey", "_b", "_p")
 
 

@@ -193,7 +193,8 @@ def data_job(train: DataFrame, test: DataFrame, root: str, key: str = "puzzle_id
     fp = W.fingerprint(both)
     ready = W.stage_or_compute(both, root, "preprocessed", preprocess, fp)
     feats = staged_features(ready, root, key, fp, **features)
-    joined = ready.select(key, "is_train", "rating").join(feats.drop("rating", "is_train"), key)
+    # both sides have all rows; a few columns of a wide, well packed stage look small to Spark, which would broadcast them
+    joined = ready.select(key, "is_train", "rating").join(feats.drop("rating", "is_train").hint("merge"), key)
     profile = Q.target_profile(train, "rating").withColumn("out_of_range", Q.out_of_range(train, "rating").select("out_of_range").scalar())
     names = profile.columns
     metrics = profile.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in names])).alias("m")).select("m.*")
