@@ -21,10 +21,10 @@ def theme_columns(text: Column) -> dict[str, Column]:
     return {"theme_count": F.size(toks), "has_themes": (F.size(toks) > 0).cast("int")}
 
 
-def token_rows(df: DataFrame, key: str, text: Column, lower: bool = True) -> DataFrame:
-    """(key, token), one row per token occurrence: those of :func:`tokens`, but blanks go as rows, inside generated code, not by a lambda over each list."""
+def token_rows(df: DataFrame, key: str | tuple[str, ...], text: Column, lower: bool = True) -> DataFrame:
+    """(key or keys, token), one row per token occurrence: those of :func:`tokens`, but blanks go as rows, inside generated code, not by a lambda over each list."""
     t = F.explode_outer(F.split(F.lower(text) if lower else text, r"\s+")).alias("token")  # an outer one: no filter that splits again is inferred
-    return df.select(key, t).where("token != ''")
+    return df.select(*([key] if isinstance(key, str) else key), t).where("token != ''")
 
 
 def vocabulary(rows: DataFrame, token: str = "token", least: int = 1, most: int | None = None, times: Column | None = None) -> DataFrame:

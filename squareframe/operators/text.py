@@ -7,32 +7,43 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from .tags import token_rows, vocabulary
 
 
 def tf_idf(df: DataFrame, key: str, text: Column, least: int = 1, most: int | None = None) -> DataFrame:
     """(key, token, weight): tf times smooth idf, each row scaled to length 1.
 
-    Counts per (key, token) are made once and written; document frequencies come from those counts. Weights are spread by key once: the norm is an
-    aggregate on that partitioning, joined back in place, so a long document is never one window frame. In both joins the long side is neither sorted nor held:
-    tasks hold their share of the vocabulary (one row per token) or of the norms (one row per key).
+    Keys are dealt to as many parts as there are shuffle partitions. Texts are spread by part and split once; a part writes its tokens as lists of keys and counts, which meet
+    the document frequencies and go back to their part as lists, so that a token is moved once per part and not once per text. In the join the long side is neither sorted nor held:
+    tasks hold their share of the vocabulary (one row per token). Norms are sums over a key's rows within its part; a list is at most as long as its part has keys.
     """
-    counts = cut_lineage(token_rows(df, key, text).groupBy(key, "token").agg(F.count("*").alias("tf")))  # the text is split once
-    if most is None:
-        vocab = counts.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("n")).filter(F.col("df") >= least)
-    else:
-        vocab = counts.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("n")).filter(F.col("df") >= least).orderBy(
-            F.desc("n"), F.asc("token")).limit(most)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.select(_part_of(df, key, parts).alias("_part"), F.col(key).alias("_key"), text.alias("_text")).repartition(parts, "_part")
+    rows = token_rows(dealt, ("_part", "_key"), F.col("_text"))
+    counts = rows.groupBy("_part", "_key", "token").agg(F.count("*").alias("tf"))
+    lists = counts.groupBy("_part", "token").agg(F.collect_list(F.struct("_key", "tf")).alias("l"), F.sum("tf").alias("n"))
+    lists = written(lists.select("_part", "token", "n", F.col("l._key").alias("keys"), F.col("l.tf").alias("tfs")), "term_lists")
+    vocab = lists.groupBy("token").agg(F.sum(F.size("keys")).alias("df"), F.sum("n").alias("n")).filter(F.col("df") >= least)
+    if most is not None:
+        vocab = vocab.orderBy(F.desc("n"), F.asc("token")).limit(most)
     n_docs = df.agg(F.count("*")).scalar()
     idf = vocab.select("token", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    weighted = counts.join(idf.hint("shuffle_hash"), "token").select(key, "token", (F.col("tf") * F.col("idf")).alias("w")).repartition(parts, key)
-    norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norms.hint("shuffle_hash"), key).select(key, "token", (F.col("w") / F.col("norm")).alias("weight"))
+    back = written(lists.drop("n").join(idf.hint("shuffle_hash"), "token"), "term_lists")  # the files of this exchange go before those of the next are written
+    each = back.repartition(parts, "_part").select("_part", "token", "idf", F.explode(F.arrays_zip("keys", "tfs")).alias("d"))
+    weighted = each.select("_part", F.col("d.keys").alias(key), "token", (F.col("d.tfs") * F.col("idf")).alias("w")).where(F.col(key).isNotNull())
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("_part", key)))
+    return weighted.select(key, "token", (F.col("w") / norm).alias("weight"))
+
+
+def _part_of(df: DataFrame, key: str, parts: int) -> Column:
+    """A number for each key, of as many as ``parts``, which Spark's exchange sends to different tasks: those of its first numbers that it sends to each."""
+    at = df.sparkSession.range(32 * parts).select(F.col("id").cast("int").alias("i")).groupBy(F.pmod(F.hash("i"), F.lit(parts))).agg(F.min("i").alias("i"))
+    numbers = sorted(r.i for r in at.collect())
+    return F.element_at(F.array(*[F.lit(i) for i in numbers]), (F.pmod(F.xxhash64(key), F.lit(len(numbers))) + 1).cast("int"))
 
 
 def hash_bucket(token: Column, buckets: int) -> Column:
